@@ -59,4 +59,60 @@ from chunkwell.sources.documents import documents_from_table, read_documents
 from chunkwell.sources.uris import classify_sources, infer_source_name
 from chunkwell.streaming.ingest import ingest_incremental
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "answer_summary",
+    "apply_model",
+    "build_context",
+    "build_index",
+    "build_prompts",
+    "check_request",
+    "chunk_basic",
+    "chunk_by_title",
+    "chunk_documents",
+    "chunk_metadata",
+    "chunk_params_by_type",
+    "chunk_windows",
+    "classify_sources",
+    "clean_texts",
+    "collection_stats",
+    "configure",
+    "documents_from_table",
+    "element_rows",
+    "embed_hashed",
+    "embed_queries",
+    "embed_texts",
+    "fetch_rows",
+    "filter_hits",
+    "format_hits",
+    "index_coverage",
+    "infer_source_name",
+    "ingest_documents",
+    "ingest_incremental",
+    "ingest_summary",
+    "list_collections",
+    "merge_metadata",
+    "merged_view",
+    "partition_documents",
+    "partition_html",
+    "partition_text",
+    "prepare_chunks",
+    "query_contract",
+    "read_all",
+    "read_collection",
+    "read_documents",
+    "route_collection",
+    "search_ann",
+    "search_batch",
+    "search_collections",
+    "search_documents",
+    "similarity_score",
+    "source_attribution",
+    "storage_stats",
+    "store_chunks",
+    "string_map",
+    "threshold_filter",
+    "unmatched_queries",
+    "validate_embeddings",
+    "validate_requests",
+    "vector_search",
+]

@@ -93,12 +93,10 @@ def index_rows(
         return pa.array(out, pa.list_(pa.int32()))
 
     keep = [c for c in ("collection_name", *filter_columns) if c in collection.columns]
+    once = buckets.asNondeterministic()  # the filter ``posexplode`` brings must not repeat it
     return collection.select(
-        F.posexplode(buckets(F.col(vector_col))).alias("table_no", "bucket"),
-        F.col(id_col),
-        F.col(vector_col),
-        *keep,
-    )
+        id_col, vector_col, *keep, once(F.col(vector_col)).alias("_buckets")
+    ).select(F.posexplode("_buckets").alias("table_no", "bucket"), id_col, vector_col, *keep)
 
 
 def build_index(

@@ -111,7 +111,9 @@ def embed_texts(
         yield from _run_batches(texts, load, batch_size, _vectors)
 
     rows = df if keep_blank else df.where(~is_blank(F.col(text_col)))
-    return rows.withColumn(embedding_col, vectors(cleaned(F.col(text_col))))
+    # once per row, whatever filters follow: a model call is never duplicated
+    once = vectors.asNondeterministic()
+    return rows.withColumn(embedding_col, once(cleaned(F.col(text_col))))
 
 
 def embed_hashed(

@@ -121,18 +121,29 @@ def _excerpt(df: DataFrame) -> Column:
     )
 
 
+def context_of(hits: DataFrame) -> Column:
+    """Aggregate of one question's hits: numbered excerpts in rank order."""
+    part = F.struct(F.col("rank").alias("rank"), _excerpt(hits).alias("text"))
+    parts = F.array_sort(F.collect_list(part))
+    return F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
+
+
+def scores_of() -> Column:
+    """Aggregate of one question's hits: its scores in rank order."""
+    part = F.struct(
+        F.col("rank").alias("rank"), score_text(F.col("similarity_score")).alias("score")
+    )
+    return F.array_join(
+        F.transform(F.array_sort(F.collect_list(part)), lambda s: s["score"]), ", "
+    )
+
+
 def build_context(hits: DataFrame, query_id_col: str = "query_id") -> DataFrame:
     """One row per question: its hits as numbered excerpts in rank order.
 
     A question has at most ``limit`` hits, so the collected list is bounded.
     """
-    listed = hits.groupBy(query_id_col).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("rank").alias("rank"), _excerpt(hits).alias("text")))
-        ).alias("_parts")
-    )
-    joined = F.array_join(F.transform("_parts", lambda p: p["text"]), "\n")
-    return listed.select(query_id_col, joined.alias("context"))
+    return hits.groupBy(query_id_col).agg(context_of(hits).alias("context"))
 
 
 def build_prompts(
@@ -178,7 +189,7 @@ def apply_model(
         )
 
     prompt = F.struct(F.col(system_col).alias("system"), F.col(user_col).alias("user"))
-    return prompts.withColumn(answer_col, answers(prompt))
+    return prompts.withColumn(answer_col, answers.asNondeterministic()(prompt))
 
 
 def answer_summary(
@@ -186,13 +197,8 @@ def answer_summary(
 ) -> DataFrame:
     """Per question: number of sources, collection, scores in rank order."""
     name = collection_name if isinstance(collection_name, Column) else F.lit(collection_name)
-    scores = F.array_sort(
-        F.collect_list(F.struct("rank", score_text(F.col("similarity_score")).alias("score")))
-    )
     return hits.groupBy(query_id_col).agg(
         F.count(F.lit(1)).alias("sources_consulted"),
         F.max(name).alias("collection_name"),
-        F.array_join(F.transform(scores, lambda s: s["score"]), ", ").alias(
-            "similarity_scores"
-        ),
+        scores_of().alias("similarity_scores"),
     )

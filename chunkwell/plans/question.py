@@ -14,10 +14,10 @@ from chunkwell.operators.requests import (
     SIMILARITY_THRESHOLD,
 )
 from chunkwell.operators.results import (
-    answer_summary,
     apply_model,
-    build_context,
     build_prompts,
+    context_of,
+    scores_of,
 )
 from chunkwell.operators.search import NO_HIT_ADVICE
 from chunkwell.plans.search import ranked_chunks
@@ -46,8 +46,12 @@ def query_contract(
         collection, questions, limit, QUESTION_MAX_LIMIT, similarity_threshold,
         columns=columns, **options,
     )
-    # contents and scores of a question are gathered by the same key: one shuffle
-    found = build_context(hits).join(answer_summary(hits, collection_name), "query_id")
+    # one aggregate for all of it: the ranking below it runs once
+    found = hits.groupBy("query_id").agg(
+        context_of(hits).alias("context"),
+        F.count(F.lit(1)).alias("sources_consulted"),
+        scores_of().alias("similarity_scores"),
+    )
     rows = questions.select("query_id", "query_text").join(found, "query_id", "left")
     prompts = build_prompts(rows).withColumns(
         {
