@@ -188,11 +188,11 @@ def chunk_windows(
 ) -> DataFrame:
     """Fixed character windows over the whole text, elements or not."""
     check_window_sizes(max_chunk_size, chunk_overlap)
-    keep = [c for c in df.columns if c not in (text_col, "max_chunk_size", "chunk_overlap")]
+    keep = [c for c in df.columns if c != text_col]
     windows = sliding_windows(F.col(text_col), max_chunk_size, chunk_overlap)
     # ``with_computed`` first: ``explode`` alone would make Catalyst add a
     # "not empty" filter that evaluates the windows a second time
-    return with_computed(df.select(*keep, text_col), "_windows", windows).select(
+    return with_computed(df, "_windows", windows).select(
         *keep, F.posexplode("_windows").alias("chunk_index", "content")
     )
 

@@ -11,6 +11,9 @@ from chunkwell.session import shared_dir
 from chunkwell.sources.collections import collection_rows
 from chunkwell.sources.documents import TEXT_FILES, as_documents
 
+# The columns of Spark's binary file source.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def ingest_incremental(
     spark: SparkSession,
@@ -32,7 +35,11 @@ def ingest_incremental(
     """
     if checkpoint is None:
         checkpoint = f"{shared_dir(spark)}/ingest-{collection_name}"
-    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", TEXT_FILES)
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
+        .option("pathGlobFilter", TEXT_FILES)
+    )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     chunks = prepare_chunks(as_documents(reader.load(source)), **options)
