@@ -24,11 +24,13 @@ NL = "chr(10)"
 
 # text to elements ---------------------------------------------------------------
 
-_ELEMENTS = f"""
+def _elements(source: str) -> str:
+    """``elements(doc_id, element_index, …)`` of ``source(doc_id, text)``."""
+    return f"""
 pages_of AS (
   SELECT doc_id, unnest(string_split(text, chr(12))) AS page,
          generate_subscripts(string_split(text, chr(12)), 1) AS page_number
-  FROM documents),
+  FROM {source}),
 lines_of AS (
   SELECT doc_id, page_number, unnest(string_split(page, {NL})) AS line,
          generate_subscripts(string_split(page, {NL}), 1) AS line_number
@@ -56,11 +58,11 @@ def _windows(text: str, size: str, overlap: str) -> str:
     )
 
 
-def _packed(by_title: bool) -> str:
+def _packed(by_title: bool, source: str = "documents") -> str:
     flush = "p.cur + 2 + length(e.text) > 1000"
     if by_title:
         flush = f"({flush} OR e.category = 'Title')"
-    return f"""{_ELEMENTS},
+    return f"""{_elements(source)},
 pack AS (
   SELECT doc_id, element_index, length(text) AS cur, 0 AS grp
   FROM elements WHERE element_index = 0
@@ -255,8 +257,12 @@ FROM embeddings""",
     "read_collection": """
 SELECT vec_id::VARCHAR AS chunk_id, 'label_3' AS collection_name, 'vector ' || vec_id AS content
 FROM embeddings WHERE label = 3""",
-    "ingest_incremental": f"WITH RECURSIVE {_packed(True)} {_CHUNK_ROWS}",
-    "partition_text": f"""WITH {_ELEMENTS}
+    "ingest_incremental": f"""
+WITH RECURSIVE files AS (
+  SELECT doc_id // 50 AS doc_id, string_agg(text, {NL} ORDER BY doc_id) AS text
+  FROM documents GROUP BY doc_id // 50),
+{_packed(True, "files")} {_CHUNK_ROWS}""",
+    "partition_text": f"""WITH {_elements('documents')}
 SELECT doc_id, element_index::BIGINT AS element_index, category, text,
        page_number::BIGINT AS page_number FROM elements""",
     "partition_html": f"""

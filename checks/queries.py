@@ -107,15 +107,21 @@ def read_collection(spark, sf_dir):
 
 @query
 def ingest_incremental(spark, sf_dir):
-    """One text file per document, ingested by a stream that stops when done."""
+    """Files of fifty documents each, ingested by a stream that stops when done."""
     landing, root, state = (fresh_dir(spark) for _ in range(3))
-    files = texts(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
-    files.write.partitionBy("doc_id").text(landing)
+    files = texts(spark, sf_dir).withColumn("file_no", F.floor(F.col("doc_id") / 50))
+    (
+        files.repartition("file_no")
+        .sortWithinPartitions("file_no", "doc_id")
+        .select("file_no", "content")
+        .write.partitionBy("file_no")
+        .text(landing)
+    )
     cw.ingest_incremental(
         spark, f"{landing}/*", root, "stream", checkpoint=state, max_files_per_trigger=5000
     ).awaitTermination()
     return cw.read_collection(spark, root, "stream").select(
-        F.regexp_extract("document_url", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"),
+        F.regexp_extract("document_url", r"file_no=(\d+)", 1).cast("bigint").alias("doc_id"),
         "chunk_index",
         "content",
         "element_type",
@@ -134,6 +140,7 @@ def partition_text(spark, sf_dir):
 @query
 def partition_html(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"))
+    pages = cw.spread(pages)
     parted = cw.partition_html(pages)
     titles = F.filter("elements", lambda e: e["category"] == "Title")
     return parted.select(

@@ -26,14 +26,15 @@ def fresh_dir(spark: SparkSession) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as document rows ``doc/<doc_id>.txt`` with two caller fields."""
-    rows = table(spark, sf_dir, "documents").withColumn(
+    rows = cw.spread(table(spark, sf_dir, "documents")).withColumn(
         "uri", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     )
     return cw.documents_from_table(rows, "uri", "text", metadata=FIELDS)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return cw.spread(rows)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,16 @@
 """Document retrieval on Spark: chunk, embed, store and search text at scale."""
 
-from chunkwell.functions.metadata import merge_metadata, merged_view, string_map
-from chunkwell.operators.ann import build_index, search_ann
-from chunkwell.operators.chunking import (
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so executors
+# need pyspark, numpy and pyarrow, but not the package itself.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from chunkwell.functions.metadata import merge_metadata, merged_view, string_map  # noqa: E402
+from chunkwell.operators.ann import build_index, search_ann  # noqa: E402
+from chunkwell.operators.chunking import (  # noqa: E402
     chunk_basic,
     chunk_by_title,
     chunk_documents,
@@ -10,21 +18,21 @@ from chunkwell.operators.chunking import (
     chunk_params_by_type,
     chunk_windows,
 )
-from chunkwell.operators.elements import (
+from chunkwell.operators.elements import (  # noqa: E402
     element_rows,
     partition_documents,
     partition_html,
     partition_text,
 )
-from chunkwell.operators.embedding import (
+from chunkwell.operators.embedding import (  # noqa: E402
     clean_texts,
     embed_hashed,
     embed_queries,
     embed_texts,
     validate_embeddings,
 )
-from chunkwell.operators.requests import check_request, validate_requests
-from chunkwell.operators.results import (
+from chunkwell.operators.requests import check_request, validate_requests  # noqa: E402
+from chunkwell.operators.results import (  # noqa: E402
     answer_summary,
     apply_model,
     build_context,
@@ -32,8 +40,8 @@ from chunkwell.operators.results import (
     format_hits,
     source_attribution,
 )
-from chunkwell.operators.routing import index_coverage, route_collection
-from chunkwell.operators.search import (
+from chunkwell.operators.routing import index_coverage, route_collection  # noqa: E402
+from chunkwell.operators.search import (  # noqa: E402
     fetch_rows,
     filter_hits,
     search_batch,
@@ -43,11 +51,11 @@ from chunkwell.operators.search import (
     unmatched_queries,
     vector_search,
 )
-from chunkwell.plans.ingest import ingest_documents, ingest_summary, prepare_chunks
-from chunkwell.plans.question import query_contract
-from chunkwell.plans.search import search_documents
-from chunkwell.session import configure
-from chunkwell.sources.collections import (
+from chunkwell.plans.ingest import ingest_documents, ingest_summary, prepare_chunks  # noqa: E402
+from chunkwell.plans.question import query_contract  # noqa: E402
+from chunkwell.plans.search import search_documents  # noqa: E402
+from chunkwell.session import configure  # noqa: E402
+from chunkwell.sources.collections import (  # noqa: E402
     collection_stats,
     list_collections,
     read_all,
@@ -55,9 +63,9 @@ from chunkwell.sources.collections import (
     storage_stats,
     store_chunks,
 )
-from chunkwell.sources.documents import documents_from_table, read_documents
-from chunkwell.sources.uris import classify_sources, infer_source_name
-from chunkwell.streaming.ingest import ingest_incremental
+from chunkwell.sources.documents import documents_from_table, read_documents, spread  # noqa: E402
+from chunkwell.sources.uris import classify_sources, infer_source_name  # noqa: E402
+from chunkwell.streaming.ingest import ingest_incremental  # noqa: E402
 
 __all__ = [
     "answer_summary",
@@ -108,6 +116,7 @@ __all__ = [
     "similarity_score",
     "source_attribution",
     "storage_stats",
+    "spread",
     "store_chunks",
     "string_map",
     "threshold_filter",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from hashlib import md5
+from itertools import chain
 
 import numpy as np
 
@@ -16,39 +17,52 @@ import numpy as np
 TOKEN = re.compile(r"[^\W_]+")
 
 #: Distinct tokens remembered per task; beyond that the memory starts afresh.
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 400_000
 
 DEFAULT_DIMS = 256
 
 
-def hashed_model(dims: int = DEFAULT_DIMS) -> Callable[[Sequence[str]], list]:
-    """A function from texts to unit vectors; a text without tokens gives None.
+class _Slots(dict):
+    """Token to slot, ``2 * bucket`` plus 1 if its sign is negative.
 
     A token's first six md5 hex digits choose the bucket, the seventh the sign.
     """
-    if dims < 1:
-        raise ValueError("dims must be at least 1")
-    known: dict[str, tuple[int, int]] = {}
 
-    def place(token: str) -> tuple[int, int]:
-        digest = md5(token.encode("utf-8", "surrogatepass")).hexdigest()
-        if len(known) >= CACHE_TOKENS:
-            known.clear()
-        known[token] = slot = (int(digest[:6], 16) % dims, 1 if int(digest[6], 16) < 8 else -1)
+    def __init__(self, dims: int) -> None:
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        digest = md5(token.encode("utf-8", "surrogatepass")).digest()
+        bucket = int.from_bytes(digest[:3], "big") % self.dims
+        slot = 2 * bucket + (digest[3] >= 0x80)
+        if len(self) >= CACHE_TOKENS:
+            self.clear()
+        self[token] = slot
         return slot
 
+
+def hashed_model(dims: int = DEFAULT_DIMS) -> Callable[[Sequence[str]], list]:
+    """A function from texts to unit vectors; a text without tokens gives None."""
+    if dims < 1:
+        raise ValueError("dims must be at least 1")
+    slots = _Slots(dims)
+
     def embed(texts: Sequence[str]) -> list:
-        out: list = []
-        for text in texts:
-            tokens = TOKEN.findall(text.lower())
-            slots = [known.get(t) or place(t) for t in tokens]
-            if not slots:
-                out.append(None)
-                continue
-            buckets, signs = zip(*slots)
-            sums = np.bincount(buckets, weights=signs, minlength=dims)
-            norm = np.sqrt(np.dot(sums, sums))
-            out.append((sums / norm).astype(np.float32) if norm else None)
-        return out
+        tokens = [TOKEN.findall(text.lower()) for text in texts]
+        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        placed = np.fromiter(
+            map(slots.__getitem__, chain.from_iterable(tokens)), np.int64, int(counts.sum())
+        )
+        text_no = np.repeat(np.arange(len(texts)), counts)
+        sums = np.bincount(
+            text_no * dims + (placed >> 1),
+            weights=1.0 - 2.0 * (placed & 1),
+            minlength=len(texts) * dims,
+        ).reshape(len(texts), dims)
+        norms = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            units = (sums / norms[:, None]).astype(np.float32)
+        return [unit if norm else None for unit, norm in zip(units, norms)]
 
     return embed

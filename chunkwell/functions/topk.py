@@ -106,20 +106,40 @@ class Winners:
 class Queries:
     """Query ids, unit vectors, and each query's own limit and least score."""
 
-    def __init__(self, table: pa.Table, raw: bool, width: int | None = None) -> None:
-        table = table.combine_chunks()
-        vectors = table["vector"]
-        if isinstance(vectors, pa.ChunkedArray):
-            vectors = vectors.combine_chunks()
-        rows, self.vectors = to_matrix(vectors, width)
-        kept = table.take(pa.array(rows))
-        self.ids = kept["query_id"].combine_chunks()
-        self.limits = kept["lim"].to_numpy().astype(np.int64)
-        least = kept["least"].to_numpy(zero_copy_only=False).astype(np.float64)
-        # no threshold and a threshold of zero both mean: any score will do
-        self.least = np.where(np.isnan(least) | (least == 0), -np.inf, least)
+    def __init__(
+        self,
+        ids: pa.Array,
+        vectors: np.ndarray,
+        limits: np.ndarray,
+        least: np.ndarray,
+        raw: bool,
+    ) -> None:
+        self.ids = ids
+        self.vectors = vectors
+        self.limits = limits
+        self.least = least
         self.raw = raw
 
+    @classmethod
+    def from_table(cls, table: pa.Table, raw: bool) -> Queries:
+        """From columns ``query_id, vector, lim, least``; unusable vectors drop out."""
+        vectors = table["vector"].combine_chunks()
+        rows, matrix = to_matrix(vectors, None)
+        kept = table.take(pa.array(rows, pa.int64()))
+        least = kept["least"].to_numpy().astype(np.float64)
+        return cls(
+            kept["query_id"].combine_chunks(),
+            matrix,
+            kept["lim"].to_numpy().astype(np.int64),
+            # no threshold and a threshold of zero both mean: any score will do
+            np.where(np.isnan(least) | (least == 0), -np.inf, least),
+            raw,
+        )
+
+    def parts(self) -> tuple:
+        """The constructor's arguments, all of public types, to send to tasks."""
+        return self.ids, self.vectors, self.limits, self.least, self.raw
+
     def __len__(self) -> int:
         return len(self.limits)
 

@@ -105,10 +105,13 @@ def chunk_metadata(
     )
     keep = [c for c in df.columns if c not in (chunks_col, "content", "elements")]
     kept = F.filter(stripped, lambda c: c["content"] != "")
-    return with_computed(df, chunks_col, kept).select(
-        *keep,
-        F.size(chunks_col).alias("total_chunks"),
-        F.posexplode(chunks_col).alias("chunk_index", "_c"),
+    # the count is taken below the explode: above it, every chunk row would have to
+    # carry all chunks of its document along
+    counted = with_computed(df, chunks_col, kept).select(
+        *keep, chunks_col, F.size(chunks_col).alias("total_chunks")
+    )
+    return counted.select(
+        *keep, "total_chunks", F.posexplode(chunks_col).alias("chunk_index", "_c")
     ).select(
         *keep,
         "chunk_index",

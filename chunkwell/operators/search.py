@@ -172,10 +172,10 @@ def bounded_queries(rows: DataFrame, max_limit: int, raw: bool) -> Queries | Non
     """
     head = rows.select(F.size("vector").alias("width")).head()
     if head is None:
-        return Queries(rows.limit(0).toArrow(), raw)
+        return Queries.from_table(rows.limit(0).toArrow(), raw)
     room = min(BROADCAST_BYTES // (8 * head["width"]), BROADCAST_HITS // max_limit)
     table = rows.limit(room + 1).toArrow()
-    return Queries(table, raw) if table.num_rows <= room else None
+    return Queries.from_table(table, raw) if table.num_rows <= room else None
 
 
 def _hit_schema(id_type: T.DataType, query_type: T.DataType, group_type: T.DataType) -> T.StructType:
@@ -194,11 +194,11 @@ def broadcast_top_k(
     rows: DataFrame, queries: Queries, schema: T.StructType, probes: np.ndarray | None = None
 ) -> DataFrame:
     """Local winners of every task; ``rows`` holds ``(id, vector, grp)``."""
-    shared = rows.sparkSession.sparkContext.broadcast((queries, probes))
+    shared = rows.sparkSession.sparkContext.broadcast((queries.parts(), probes))
 
     def winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, p = shared.value
-        yield from local_top_k(batches, q, p)
+        parts, mask = shared.value
+        yield from local_top_k(batches, Queries(*parts), mask)
 
     return rows.mapInArrow(winners, schema)
 
@@ -233,7 +233,7 @@ def _block_top_k(
         out = _empty_hits(schema)
         if q.num_rows and r.num_rows:
             batches = r.select(["id", "vector", "grp"]).to_batches(max_chunksize=10_000)
-            found = list(local_top_k(batches, Queries(q, raw)))
+            found = list(local_top_k(batches, Queries.from_table(q, raw)))
             if found:
                 out = pa.Table.from_batches(found)
         return out

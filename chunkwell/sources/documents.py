@@ -43,6 +43,20 @@ def read_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return as_documents(reader.load(path))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Put a table that comes in a few large pieces on all cores.
+
+    Chunking and embedding follow the layout of the scan, which for a table of
+    many files is what one wants: no shuffle. A table with fewer scan tasks than
+    cores would leave cores idle, so that one, and only that one, is dealt out
+    again. For tables as they come from storage; the scan is planned, not run.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores)
+
+
 def documents_from_table(
     df: DataFrame,
     uri_col: str,
