@@ -26,8 +26,8 @@ SCORE_DECIMALS = 9
 def to_matrix(vectors: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
     """``(rows with a usable vector, their unit vectors in double)``.
 
-    NULL, empty and zero vectors have no direction and are left out; a vector
-    of another width is an error.
+    NULL, empty, zero and non-finite vectors have no direction and are left out;
+    a vector of another width is an error.
     """
     sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(sizes)
@@ -42,7 +42,7 @@ def to_matrix(vectors: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndar
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(rows), width)
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    usable = norms > 0  # also false for NaN
+    usable = (norms > 0) & np.isfinite(norms)
     if not usable.all():
         rows, matrix, norms = rows[usable], matrix[usable], norms[usable]
     matrix /= norms[:, None]

@@ -25,12 +25,12 @@ from chunkwell.functions.topk import Queries, to_matrix
 from chunkwell.operators.search import (
     DEFAULT_LIMIT,
     _check,
-    _hit_schema,
-    _query_rows,
     bounded_queries,
     broadcast_top_k,
     finish_hits,
+    hit_schema,
     merge_winners,
+    query_rows,
 )
 
 #: Buckets are directories; more bits than this would make too many of them.
@@ -194,16 +194,13 @@ def search_ann(
     probes = max(1, int(n_buckets * DEFAULT_PROBE_SHARE)) if probes is None else probes
     if not 1 <= probes <= n_buckets:
         raise ValueError(f"probes must be within 1 to {n_buckets}")
-    query_rows = _query_rows(
-        queries, limit, similarity_threshold, query_id_col, query_vector_col
+    asked = query_rows(
+        queries, limit, limit, similarity_threshold, query_id_col, query_vector_col
     )
     index = spark.read.parquet(f"{place}/vectors")
     predicate = metadata_predicate(index, metadata_filter)
     if predicate is not None:
         index = index.where(predicate)
-    schema = _hit_schema(
-        index.schema[id_col].dataType, query_rows.schema["query_id"].dataType, T.IntegerType()
-    )
 
     def probe(batch: Queries) -> DataFrame:
         if len(batch) and batch.width != spec["dims"]:
@@ -216,9 +213,9 @@ def search_ann(
             F.col(spec["path"]).cast("array<float>").alias("vector"),
             (F.col("table_no") * n_buckets + F.col("bucket")).cast("int").alias("grp"),
         )
-        return broadcast_top_k(rows, batch, schema, mask)
+        return broadcast_top_k(rows, batch, hit_schema(rows, asked), mask)
 
-    batches = list(_query_batches(query_rows, limit, raw))
+    batches = list(_query_batches(asked, spec["dims"], limit, raw))
     local = reduce(DataFrame.unionByName, map(probe, batches))
     ranked = merge_winners(local, limit, distinct=spec["tables"] > 1)
     return finish_hits(
@@ -227,7 +224,9 @@ def search_ann(
     )
 
 
-def _query_batches(query_rows: DataFrame, limit: int, raw: bool) -> Iterator[Queries]:
+def _query_batches(
+    asked: DataFrame, width: int, limit: int, raw: bool
+) -> Iterator[Queries]:
     """All queries, in as few batches of broadcast size as it takes.
 
     Hashed ids say which batch a query is in. Should one come out too large,
@@ -238,9 +237,8 @@ def _query_batches(query_rows: DataFrame, limit: int, raw: bool) -> Iterator[Que
         found = []
         for b in range(blocks):
             block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b
-            batch = bounded_queries(
-                query_rows if blocks == 1 else query_rows.where(block), limit, raw
-            )
+            part = asked if blocks == 1 else asked.where(block)
+            batch = bounded_queries(part, width, limit, raw)
             if batch is None:
                 break
             found.append(batch)

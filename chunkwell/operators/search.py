@@ -67,7 +67,7 @@ def similarity_score(a: Column, b: Column, score: str = "unit") -> Column:
     differ = (F.size(a) != F.size(b)) & (F.size(a) > 0) & (F.size(b) > 0)
     return (
         F.when(differ, F.raise_error(F.lit("vectors have different widths")).cast("double"))
-        .when((F.size(a) > 0) & (F.size(b) > 0) & (norms > 0), value)
+        .when((F.size(a) > 0) & (F.size(b) > 0) & (norms > 0) & (norms < float("inf")), value)
     )
 
 
@@ -145,47 +145,61 @@ def vector_search(
     return threshold_filter(top, similarity_threshold).select(*columns, "similarity_score")
 
 
-def _query_rows(
+def query_rows(
     queries: DataFrame,
     limit: int | str,
+    max_limit: int,
     similarity_threshold: float | str | None,
     query_id_col: str,
     query_vector_col: str,
 ) -> DataFrame:
+    """Queries as ``query_id, vector, lim, least``, the last two maybe per query."""
+
     def value(given: object, kind: str) -> Column:
         column = F.col(given) if isinstance(given, str) else F.lit(given)
         return column.cast(kind)
 
+    lim = value(limit, "bigint")
+    if isinstance(limit, str):
+        wrong = F.raise_error(F.lit(f"limit is outside 1 to {max_limit}")).cast("bigint")
+        lim = F.when(lim.between(1, max_limit), lim).otherwise(wrong)
     return queries.select(
         F.col(query_id_col).alias("query_id"),
         F.col(query_vector_col).cast("array<float>").alias("vector"),
-        value(limit, "bigint").alias("lim"),
+        lim.alias("lim"),
         value(similarity_threshold, "double").alias("least"),
-    ).where(F.size("vector") > 0)
+    )
 
 
-def bounded_queries(rows: DataFrame, max_limit: int, raw: bool) -> Queries | None:
+def bounded_queries(
+    rows: DataFrame, width: int, max_limit: int, raw: bool
+) -> Queries | None:
     """The query table in memory if it is small enough to broadcast, else None.
 
-    The bound is checked before anything large moves: one row tells the width,
-    and never more than one row above the bound is fetched.
+    The bound is checked before any vector moves. The count needs no vectors, so
+    it does not run the model that makes them.
     """
-    head = rows.select(F.size("vector").alias("width")).head()
-    if head is None:
-        return Queries.from_table(rows.limit(0).toArrow(), raw)
-    room = min(BROADCAST_BYTES // (8 * head["width"]), BROADCAST_HITS // max_limit)
-    table = rows.limit(room + 1).toArrow()
-    return Queries.from_table(table, raw) if table.num_rows <= room else None
+    room = min(BROADCAST_BYTES // (8 * max(1, width)), BROADCAST_HITS // max_limit)
+    if rows.count() > room:
+        return None
+    return Queries.from_table(rows.where(F.size("vector") > 0).toArrow(), raw)
+
 
+def vector_width(rows: DataFrame) -> int:
+    """Width of the first usable vector of a collection, 0 if there is none."""
+    first = rows.select(F.size("vector").alias("n")).where("n > 0").head()
+    return first["n"] if first else 0
 
-def _hit_schema(id_type: T.DataType, query_type: T.DataType, group_type: T.DataType) -> T.StructType:
+
+def hit_schema(rows: DataFrame, queries: DataFrame) -> T.StructType:
+    """Columns of a local winner."""
     return T.StructType(
         [
-            T.StructField("query_id", query_type),
-            T.StructField("id", id_type),
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("id", rows.schema["id"].dataType),
             T.StructField("similarity_score", T.DoubleType()),
             T.StructField("lim", T.LongType()),
-            T.StructField("grp", group_type),
+            T.StructField("grp", rows.schema["grp"].dataType),
         ]
     )
 
@@ -204,14 +218,14 @@ def broadcast_top_k(
 
 
 def _block_top_k(
-    rows: DataFrame, queries: DataFrame, schema: T.StructType, raw: bool
+    rows: DataFrame, queries: DataFrame, width: int, schema: T.StructType, raw: bool
 ) -> DataFrame:
     """Local winners when the queries are too many for one task.
 
     Both sides get block numbers of bounded size and every pair of blocks is
     one group. Block numbers come from hashed ids, so no key can grow a block.
     """
-    width = queries.select(F.size("vector").alias("w")).head()["w"]
+    queries = queries.where(F.size("vector") > 0)
     per_block = max(1, BLOCK_BYTES // (8 * width))
     query_blocks = -(-queries.count() // per_block)
     row_blocks = -(-rows.count() // per_block)
@@ -322,28 +336,27 @@ def search_batch(
             raise ValueError("limit must be at least 1")
         max_limit = limit
     source = filter_hits(collection, metadata_filter) if filter_mode == "pre" else collection
-    group = F.col(group_col) if group_col else F.lit("")
+    if group_col:
+        source = source.where(F.col(group_col).isNotNull())
     rows = source.select(
         F.col(id_col).alias("id"),
         F.col(vector_col).cast("array<float>").alias("vector"),
-        group.alias("grp"),
-    )
-    query_rows = _query_rows(
-        queries, limit, similarity_threshold, query_id_col, query_vector_col
+        (F.col(group_col) if group_col else F.lit("")).alias("grp"),
     )
-    schema = _hit_schema(
-        rows.schema["id"].dataType,
-        query_rows.schema["query_id"].dataType,
-        rows.schema["grp"].dataType,
+    asked = query_rows(
+        queries, limit, max_limit, similarity_threshold, query_id_col, query_vector_col
     )
-    bounded = bounded_queries(query_rows, max_limit, raw)
+    schema = hit_schema(rows, asked)
+    width = vector_width(rows)
+    bounded = bounded_queries(asked, width, max_limit, raw)
     if bounded is not None:
         local = broadcast_top_k(rows, bounded, schema)
         max_hits = len(bounded) * max_limit if group_col is None else None
     else:
-        local, max_hits = _block_top_k(rows, query_rows, schema, raw), None
+        local, max_hits = _block_top_k(rows, asked, width, schema, raw), None
     return finish_hits(
-        merge_winners(local, max_limit), collection, metadata_filter if filter_mode == "post" else None,
+        merge_winners(local, max_limit), collection,
+        metadata_filter if filter_mode == "post" else None,
         id_col=id_col, query_id_col=query_id_col, group_col=group_col, columns=columns,
         max_hits=max_hits,
     )

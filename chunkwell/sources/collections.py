@@ -28,18 +28,26 @@ def collection_rows(
     collection_name: str | Column,
     source_metadata: Mapping[str, object] | None = None,
     ingest_id: str = "",
+    row_ids: bool = True,
 ) -> DataFrame:
     """Chunks with vectors in the stored layout; absent columns become NULL.
 
-    A chunk without an id gets one from its collection, document, position and
-    the ingest it came with: every ingest adds rows of its own, as a store that
-    hands out ids would, and a retried task writes the same ids again.
+    A chunk without an id gets one made of its collection, document, position,
+    ingest and row, so every stored row has an id of its own, as in a store that
+    hands out ids, even if a document comes twice. Ids are fixed by being written.
     """
     name = collection_name if isinstance(collection_name, Column) else F.lit(collection_name)
     own = F.col("metadata") if "metadata" in df.columns else string_map(None)
     url = F.col("document_url" if "document_url" in df.columns else "doc_uri")
     new_id = F.sha2(
-        F.concat_ws("\x1f", name, url, F.col("chunk_index").cast("string"), F.lit(ingest_id)),
+        F.concat_ws(
+            "\x1f",
+            name,
+            url,
+            F.col("chunk_index").cast("string"),
+            F.lit(ingest_id),
+            F.monotonically_increasing_id().cast("string") if row_ids else F.lit(""),
+        ),
         256,
     )
     given = {

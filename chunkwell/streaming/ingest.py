@@ -43,7 +43,10 @@ def ingest_incremental(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     chunks = prepare_chunks(as_documents(reader.load(source)), **options)
-    rows = collection_rows(chunks.where(F.size("embedding") > 0), collection_name)
+    # a path arrives once per stream, so ids need no row number, which streams lack
+    rows = collection_rows(
+        chunks.where(F.size("embedding") > 0), collection_name, row_ids=False
+    )
     writer = (
         rows.writeStream.format("parquet")
         .outputMode("append")
