@@ -223,11 +223,12 @@ _PATH_NAME = (
 def _html_text(expr: str) -> str:
     """Inner HTML of a flat element as text: no tags, entities decoded, blanks joined."""
     plain = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
+    # these old entities also count without their semicolon
     for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"),
-        ("&nbsp;", " "), ("&amp;", "&"),
+        ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;", "'"), ("&#39;", "'"),
+        ("&nbsp;?", " "), ("&amp;?", "&"),
     ):
-        plain = f"replace({plain}, {_quoted(entity)}, {_quoted(char)})"
+        plain = f"regexp_replace({plain}, {_quoted(entity)}, {_quoted(char)}, 'g')"
     return f"trim(regexp_replace({plain}, '[\\s ]+', ' ', 'g'))"
 
 
