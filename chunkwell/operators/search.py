@@ -33,6 +33,10 @@ BROADCAST_BYTES = 64 << 20
 BROADCAST_HITS = 2_000_000
 #: Hits are broadcast to fetch their rows only if they are fewer than this.
 FETCH_BROADCAST_HITS = 200_000
+#: A scan is scored by at most this many tasks per core, but never chained into
+#: fewer than the second number: a young cluster does not know its size yet.
+TASKS_PER_CORE = 8
+LEAST_TASKS = 20_000
 #: Vectors per side of a block pair when the queries are too many to broadcast.
 BLOCK_BYTES = 64 << 20
 
@@ -122,8 +126,10 @@ def vector_search(
 ) -> DataFrame:
     """Top ``limit`` rows for one query: ``content, metadata, similarity_score``.
 
-    Every task keeps ``limit`` rows (``TakeOrderedAndProject``); the table is
-    never sorted. Ties break by ascending id.
+    Every task keeps ``limit`` ids and scores (``TakeOrderedAndProject``); the
+    table is never sorted, and contents are read for the winners only. Ties
+    break by ascending id, which must be unique in the collection. The result
+    comes in order.
     """
     _check(filter_mode, score)
     if limit < 1:
@@ -131,18 +137,37 @@ def vector_search(
     if columns is None:
         columns = [c for c in ("content", "metadata") if c in collection.columns]
     rows = filter_hits(collection, metadata_filter) if filter_mode == "pre" else collection
+    order = [F.desc_nulls_last("similarity_score"), F.asc(id_col)]
     top = (
-        rows.withColumn(
-            "similarity_score", score_query(query_vector, F.col(vector_col), score)
+        few_tasks(rows)
+        .select(
+            id_col, score_query(query_vector, F.col(vector_col), score).alias("similarity_score")
         )
-        .orderBy(F.desc_nulls_last("similarity_score"), F.asc(id_col))
+        .orderBy(*order)
         .limit(limit)
         # above the limit: below it the test would score every vector twice
         .where(F.col("similarity_score").isNotNull())
     )
-    if filter_mode == "post":
-        top = filter_hits(top, metadata_filter)
-    return threshold_filter(top, similarity_threshold).select(*columns, "similarity_score")
+    top = threshold_filter(top, similarity_threshold)
+    late = filter_mode == "post" and metadata_predicate(collection, metadata_filter) is not None
+    wanted = [c for c in collection.columns if late or c in columns]
+    hits = fetch_rows(top, collection, wanted, id_col, limit)
+    if late:
+        hits = filter_hits(hits, metadata_filter)
+    if hits is not top:  # the join has lost the order
+        hits = hits.orderBy(*order).limit(limit)
+    return hits.select(*columns, "similarity_score")
+
+
+def few_tasks(rows: DataFrame) -> DataFrame:
+    """Bound the number of scoring tasks, and with it the lists to be merged.
+
+    A task's list is as long for one split as for ten, so a very large scan is
+    read in fewer, longer tasks. Splits are only chained, nothing is shuffled,
+    and a scan with fewer tasks stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(LEAST_TASKS, TASKS_PER_CORE * cores))
 
 
 def query_rows(
@@ -214,7 +239,7 @@ def broadcast_top_k(
         parts, mask = shared.value
         yield from local_top_k(batches, Queries(*parts), mask)
 
-    return rows.mapInArrow(winners, schema)
+    return few_tasks(rows).mapInArrow(winners, schema)
 
 
 def _block_top_k(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping
 
@@ -14,6 +15,9 @@ from chunkwell.schemas import COLLECTION
 
 _MODES = ("append", "skip_existing")
 
+#: Names that a folder name shows as they are.
+PLAIN_NAME = re.compile(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*")
+
 
 def logical_size(df: DataFrame) -> Column:
     """Bytes of content plus four per vector component."""
@@ -96,9 +100,10 @@ def store_chunks(
     rows = collection_rows(df, collection_name, source_metadata, ingest_id)
     if mode == "skip_existing":
         key = ["collection_name", "document_url", "chunk_index"]
-        stored = read_all(spark, root)
-        if not isinstance(collection_name, Column):
-            stored = stored.where(F.col("collection_name") == collection_name)
+        if isinstance(collection_name, Column):
+            stored = read_all(spark, root)
+        else:
+            stored = read_collection(spark, root, collection_name)
         rows = rows.join(stored.select(*key), key, "left_anti").select(
             *[f.name for f in COLLECTION.fields]
         )
@@ -122,19 +127,41 @@ def store_chunks(
     }
 
 
+def _read(spark: SparkSession, root: str, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(COLLECTION).option("basePath", root).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COLLECTION)
+
+
 def read_all(spark: SparkSession, root: str) -> DataFrame:
     """All collections under a root; nothing stored yet is an empty table."""
+    return _read(spark, root, root)
+
+
+def _written_by_stream(spark: SparkSession, root: str) -> bool:
+    """Streams keep a list of finished files at the root, which readers must use."""
     try:
-        return spark.read.schema(COLLECTION).parquet(root)
+        spark.read.text(f"{root}/_spark_metadata")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], COLLECTION)
+        return False
+    return True
 
 
 def read_collection(spark: SparkSession, root: str, collection_name: str) -> DataFrame:
-    """One collection by name, its partition only; an unknown name is empty."""
-    return read_all(spark, root).where(F.col("collection_name") == collection_name)
+    """One collection by name, its partition only; an unknown name is empty.
+
+    With a plain name only that folder is listed, however many collections
+    there are; any other name is found among the partitions of the root.
+    """
+    path = root
+    if PLAIN_NAME.fullmatch(collection_name) and not _written_by_stream(spark, root):
+        path = f"{root}/collection_name={collection_name}"
+    return _read(spark, root, path).where(F.col("collection_name") == collection_name)
 
 
 def list_collections(collections: DataFrame) -> DataFrame:

@@ -116,6 +116,19 @@ def test_reading_prunes_partitions(spark, chunks, new_dir, plan_of):
     assert "= a)" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
 
 
+@pytest.mark.parametrize("name", ["plain-1.x", "with space", "a/b=c", "ünï", ".dot", "..", ""])
+def test_any_name(spark, chunks, new_dir, name):
+    root = new_dir()
+    cw.store_chunks(chunks, root, "other")
+    if name == "":
+        assert cw.read_collection(spark, root, name).count() == 0
+        return
+    cw.store_chunks(chunks, root, name)
+    rows = cw.read_collection(spark, root, name).collect()
+    assert len(rows) == 3 and {r.collection_name for r in rows} == {name}
+    assert cw.store_chunks(chunks, root, name, mode="skip_existing")["chunks_stored"] == 0
+
+
 def test_routes(spark):
     rows = spark.createDataFrame(
         [

@@ -223,6 +223,8 @@ def test_plans(spark, data, plan_of, new_dir):
     batch = plan_of(cw.search_batch(stored, qdf, 3, id_col="id"))
     assert "WindowGroupLimit" in batch
     assert batch.count("Exchange") == 1 and "Join" not in batch
+    # a few rows more per task do not matter, many more tasks would
+    assert "Coalesce" in batch
     some = plan_of(cw.search_collections(stored, qdf, ["c1"], 3, id_col="id"))
     assert "= c1)" in some.split("PartitionFilters: ")[1].split("PushedFilters")[0]
     before = plan_of(
@@ -234,7 +236,10 @@ def test_plans(spark, data, plan_of, new_dir):
     assert "EqualTo(label,1)" in before
     after = plan_of(
         cw.vector_search(
-            stored, queries[0], 3, metadata_filter={"label": 1}, id_col="id", columns=["id"]
+            stored, queries[0], 3, metadata_filter={"label": 1}, id_col="id", columns=["label"]
         )
     )
-    assert "EqualTo(label,1)" not in after
+    # the ranking scan knows nothing of the filter; contents come by broadcast
+    ranking = [line for line in after.splitlines() if "FileScan" in line and "embedding" in line]
+    assert len(ranking) == 1 and "label" not in ranking[0].split("ReadSchema")[0]
+    assert "BroadcastHashJoin" in after and after.count("TakeOrderedAndProject") == 2
