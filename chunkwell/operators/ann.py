@@ -32,6 +32,7 @@ from chunkwell.operators.search import (
     merge_winners,
     query_rows,
 )
+from chunkwell.session import written
 
 #: Buckets are directories; more bits than this would make too many of them.
 MAX_BITS = 12
@@ -232,13 +233,16 @@ def _query_batches(
     Hashed ids say which batch a query is in. Should one come out too large,
     the number of batches doubles, so every batch is of proven size.
     """
-    blocks = 1
+    whole = bounded_queries(asked, width, limit, raw)
+    if whole is not None:
+        return iter([whole])
+    asked = written(asked)  # a model behind the vectors runs once
+    blocks = 2
     while True:
         found = []
         for b in range(blocks):
             block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b
-            part = asked if blocks == 1 else asked.where(block)
-            batch = bounded_queries(part, width, limit, raw)
+            batch = bounded_queries(asked.where(block), width, limit, raw)
             if batch is None:
                 break
             found.append(batch)

@@ -24,15 +24,15 @@ from chunkwell.functions.topk import (
     local_top_k,
     score_against,
 )
+from chunkwell.session import written
 
 DEFAULT_LIMIT = 5
 
 #: A query table goes to every task only if its vectors fit in this.
 BROADCAST_BYTES = 64 << 20
-#: ... and its result lists hold at most this many entries per task.
-BROADCAST_HITS = 2_000_000
-#: Hits are broadcast to fetch their rows only if they are fewer than this.
-FETCH_BROADCAST_HITS = 200_000
+#: ... and all its result lists together hold at most this many entries, which
+#: bounds a task's memory and makes the hits small enough to broadcast as well.
+BROADCAST_HITS = 1_000_000
 #: A scan is scored by at most this many tasks per core, but never chained into
 #: fewer than the second number: a young cluster does not know its size yet.
 TASKS_PER_CORE = 8
@@ -321,7 +321,7 @@ def fetch_rows(
     wanted = [c for c in columns if c != id_col and c not in hits.columns]
     if not wanted:
         return hits
-    small = max_hits is not None and max_hits <= FETCH_BROADCAST_HITS
+    small = max_hits is not None and max_hits <= BROADCAST_HITS
     side = F.broadcast(hits) if small else hits
     return collection.select(id_col, *wanted).join(side, id_col).select(*hits.columns, *wanted)
 
@@ -342,6 +342,7 @@ def search_batch(
     group_col: str | None = None,
     columns: Sequence[str] = (),
     max_limit: int = 50,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """Top ``limit`` rows for every query: ``query_id, id, similarity_score, rank``.
 
@@ -349,7 +350,8 @@ def search_batch(
     limit column must stay within ``max_limit``. With ``group_col`` every query
     gets one list per group, e.g. per collection. ``id_col`` must be unique in
     the collection and ``query_id_col`` among the queries. ``columns`` are
-    fetched for the winners only.
+    fetched for the winners only; say ``max_groups`` if the number of groups is
+    known, so that the number of hits is.
 
     A query table of bounded size is broadcast and every task scores blocks of
     vectors against all of it; only ``limit`` rows per query and task are
@@ -376,9 +378,10 @@ def search_batch(
     bounded = bounded_queries(asked, width, max_limit, raw)
     if bounded is not None:
         local = broadcast_top_k(rows, bounded, schema)
-        max_hits = len(bounded) * max_limit if group_col is None else None
-    else:
-        local, max_hits = _block_top_k(rows, asked, width, schema, raw), None
+        groups = max_groups if group_col else 1
+        max_hits = len(bounded) * max_limit * groups if groups else None
+    else:  # written down, so that a model behind the vectors runs once
+        local, max_hits = _block_top_k(rows, written(asked), width, schema, raw), None
     return finish_hits(
         merge_winners(local, max_limit), collection,
         metadata_filter if filter_mode == "post" else None,
@@ -434,8 +437,9 @@ def search_collections(
     """
     chosen = collections.where(F.col(collection_col).isin(*names))
     return search_batch(
-        chosen, queries, limit, similarity_threshold, group_col=collection_col, **options
-    )
+        chosen, queries, limit, similarity_threshold,
+        group_col=collection_col, max_groups=len(names), **options,
+    )
 
 
 def unmatched_queries(

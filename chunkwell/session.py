@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold on a laptop and on a cluster alike. Sizes of shuffles
 #: are left to adaptive execution; Python workers get one BLAS thread because
@@ -41,3 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of a DataFrame, kept as a table in the shared folder.
+
+    For rows that are costly to make and read more than once: they are made
+    once, and a lost executor does not make them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -6,12 +6,12 @@ import re
 import uuid
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwell.functions.metadata import merge_metadata, string_map
 from chunkwell.schemas import COLLECTION
+from chunkwell.session import path_exists
 
 _MODES = ("append", "skip_existing")
 
@@ -128,12 +128,9 @@ def store_chunks(
 
 
 def _read(spark: SparkSession, root: str, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(COLLECTION).option("basePath", root).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], COLLECTION)
+    return spark.read.schema(COLLECTION).option("basePath", root).parquet(path)
 
 
 def read_all(spark: SparkSession, root: str) -> DataFrame:
@@ -141,17 +138,6 @@ def read_all(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, root)
 
 
-def _written_by_stream(spark: SparkSession, root: str) -> bool:
-    """Streams keep a list of finished files at the root, which readers must use."""
-    try:
-        spark.read.text(f"{root}/_spark_metadata")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
-
-
 def read_collection(spark: SparkSession, root: str, collection_name: str) -> DataFrame:
     """One collection by name, its partition only; an unknown name is empty.
 
@@ -159,7 +145,9 @@ def read_collection(spark: SparkSession, root: str, collection_name: str) -> Dat
     there are; any other name is found among the partitions of the root.
     """
     path = root
-    if PLAIN_NAME.fullmatch(collection_name) and not _written_by_stream(spark, root):
+    # a stream keeps a list of finished files at the root, which readers must use
+    streamed = path_exists(spark, f"{root}/_spark_metadata")
+    if PLAIN_NAME.fullmatch(collection_name) and not streamed:
         path = f"{root}/collection_name={collection_name}"
     return _read(spark, root, path).where(F.col("collection_name") == collection_name)
 
