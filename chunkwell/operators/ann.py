@@ -216,7 +216,9 @@ def search_ann(
         )
         return broadcast_top_k(rows, batch, hit_schema(rows, asked), mask)
 
-    batches = list(_query_batches(asked, spec["dims"], limit, raw))
+    # the mask of wanted buckets is as long per query as a vector of that width
+    widest = max(spec["dims"], spec["tables"] * n_buckets)
+    batches = list(_query_batches(asked, widest, limit, raw))
     local = reduce(DataFrame.unionByName, map(probe, batches))
     ranked = merge_winners(local, limit, distinct=spec["tables"] > 1)
     return finish_hits(

@@ -7,6 +7,9 @@ and a frequent document key cannot gather rows in one task.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from types import MappingProxyType
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -200,14 +203,21 @@ def chunk_windows(
     )
 
 
-def chunk_params_by_type(df: DataFrame, type_col: str = "document_type") -> DataFrame:
+def chunk_params_by_type(
+    df: DataFrame,
+    type_col: str = "document_type",
+    params: Mapping[str, tuple[int, int]] = MappingProxyType(CHUNK_PARAMS_BY_TYPE),
+    default: tuple[int, int] = CHUNK_PARAMS_DEFAULT,
+) -> DataFrame:
     """Add ``max_chunk_size`` and ``chunk_overlap`` by document type.
 
-    The settings table is a handful of constants, so a CASE expression does
-    the lookup inside the scan's stage and no join is needed at all.
+    The settings are a handful of constants, so a CASE expression does the
+    lookup inside the scan's stage and no join is needed at all.
     """
-    size, overlap = (F.lit(v) for v in CHUNK_PARAMS_DEFAULT)
-    for name, (s, o) in CHUNK_PARAMS_BY_TYPE.items():
+    for size, overlap in (*params.values(), default):
+        check_window_sizes(size, overlap)
+    size, overlap = (F.lit(v) for v in default)
+    for name, (s, o) in params.items():
         hit = F.col(type_col) == name
         size = F.when(hit, F.lit(s)).otherwise(size)
         overlap = F.when(hit, F.lit(o)).otherwise(overlap)

@@ -14,6 +14,7 @@ from chunkwell.operators.requests import (
     SEARCH_LIMIT,
     SEARCH_MAX_LIMIT,
     SIMILARITY_THRESHOLD,
+    check_request,
     validate_requests,
 )
 from chunkwell.operators.results import format_hits
@@ -22,9 +23,13 @@ from chunkwell.schemas import SYSTEM_FIELDS
 
 
 def with_defaults(
-    requests: DataFrame, limit: int, similarity_threshold: float | None
+    requests: DataFrame, limit: int, similarity_threshold: float | None, max_limit: int
 ) -> DataFrame:
-    """Requests with ``limit`` and ``similarity_threshold`` columns filled in."""
+    """Requests with ``limit`` and ``similarity_threshold`` columns filled in.
+
+    The given values apply to all requests alike, so a wrong one is an error.
+    """
+    check_request("any", limit, similarity_threshold or 0.0, max_limit)
     missing = {}
     if "limit" not in requests.columns:
         missing["limit"] = F.lit(limit)
@@ -46,11 +51,13 @@ def ranked_chunks(
     filter_mode: str = "post",
     columns: Sequence[str] | None = None,
     id_col: str = "chunk_id",
+    group_col: str | None = None,
 ) -> DataFrame:
     """Hits of all valid requests ``(query_id, query_text, …)`` with their rows."""
     if fn is None and factory is None:
         factory = partial(hashed_model, DEFAULT_DIMS)
-    checked = validate_requests(with_defaults(requests, limit, similarity_threshold), max_limit)
+    filled = with_defaults(requests, limit, similarity_threshold, max_limit)
+    checked = validate_requests(filled, max_limit)
     queries = embed_queries(checked.where(F.col("error").isNull()), fn, factory=factory)
     if columns is None:
         wanted = ("content", "metadata", *SYSTEM_FIELDS)
@@ -58,6 +65,7 @@ def ranked_chunks(
     return search_batch(
         collection, queries, "limit", "similarity_threshold", metadata_filter,
         filter_mode=filter_mode, id_col=id_col, columns=columns, max_limit=max_limit,
+        group_col=group_col,
     )
 
 
@@ -75,7 +83,8 @@ def search_documents(
     ``limit`` (1 to 50) and ``similarity_threshold`` (0 to 1) may be columns of
     the requests. Requests that are not acceptable give no hits; list them with
     :func:`validate_requests`, and those without hits with
-    :func:`unmatched_queries`.
+    :func:`unmatched_queries`. With ``group_col="collection_name"`` every request
+    gets one list per collection.
     """
     hits = ranked_chunks(
         collection, requests, limit, SEARCH_MAX_LIMIT, similarity_threshold,

@@ -4,6 +4,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 import chunkwell as cw
 
@@ -104,6 +105,21 @@ def test_search(spark, stored, requests):
     assert [q for q, e in errors.items() if e] == [3, 5]
 
 
+def test_search_in_every_collection(spark, stored, documents, requests):
+    cw.ingest_documents(documents, stored[0], "second")
+    both = cw.read_all(spark, stored[0]).where(F.col("collection_name").isin("demo", "second"))
+    found = cw.search_documents(both, requests, group_col="collection_name")
+    first = found.where("query_id = 1 and rank = 1").collect()
+    assert {r.collection_name for r in first} == {"demo", "second"}
+    assert all("thirty days" in r.content for r in first)
+
+
+@pytest.mark.parametrize("limit,threshold", [(0, 0.5), (51, 0.5), (5, 1.5), (5, -0.1)])
+def test_wrong_settings_for_all(spark, stored, requests, limit, threshold):
+    with pytest.raises(ValueError):
+        cw.search_documents(requests, requests, limit, threshold)
+
+
 def test_questions(spark, stored):
     collection = cw.read_collection(spark, stored[0], "demo")
     questions = spark.createDataFrame(
