@@ -22,6 +22,9 @@ BLOCK_SCORES = 4_000_000
 #: of by id.
 SCORE_DECIMALS = 9
 
+#: More than rounding can move a cosine, so a bound lowered by it loses nothing.
+ROUNDING = 1e-8
+
 
 def to_matrix(vectors: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
     """``(rows with a usable vector, their unit vectors in double)``.
@@ -148,29 +151,45 @@ class Queries:
         return self.vectors.shape[1]
 
 
-def _offer_block(
+def _at_least(values: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of entries that reach their row's bound."""
+    # in one dimension numpy finds them several times faster than in two
+    return np.divmod(np.flatnonzero(values >= bound[:, None]), values.shape[1])
+
+
+def _contenders(
     winners: Winners,
     queries: Queries,
     chosen: np.ndarray,
     vectors: np.ndarray,
     ids: np.ndarray,
     id_rank: np.ndarray,
-) -> None:
-    """Score chosen queries against a batch and keep what can still win."""
-    scores = as_scores(queries.vectors[chosen] @ vectors.T, queries.raw)
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, scores and ids of what can still win a place.
+
+    Cosines that cannot reach a list are dropped before they become scores:
+    once lists are full, that is nearly all of them, and a block costs little
+    more than its matrix product.
+    """
+    cosines = queries.vectors[chosen] @ vectors.T
+    k, n = winners.k, cosines.shape[1]
     floor = np.maximum(winners.floor[chosen], queries.least[chosen])
-    k, n = winners.k, scores.shape[1]
-    if n > k:
-        floor = np.maximum(floor, np.partition(scores, n - k, axis=1)[:, n - k])
-    q, c = np.nonzero(scores >= floor[:, None])
-    if not len(q):
-        return
-    values = scores[q, c]
-    if len(q) > k * len(chosen):  # many ties at the floor: settle them by id
+    bound = (floor if queries.raw else 2 * floor - 1) - ROUNDING
+    crowded = n > k and not np.isfinite(bound).all()
+    if not crowded:
+        q, c = _at_least(cosines, bound)
+        crowded = n > k and len(q) > 4 * k * len(chosen)
+    if crowded:  # no more than the best k of this batch, and what ties with them
+        kth = np.partition(cosines, n - k, axis=1)[:, n - k]
+        q, c = _at_least(cosines, np.maximum(bound, kth - ROUNDING))
+    values = as_scores(cosines[q, c], queries.raw)
+    good = values >= floor[q]
+    q, c, values = q[good], c[good], values[good]
+    if len(q) > k * len(chosen):  # many ties: settle them by id
         order = np.lexsort((id_rank[c], -values, q))
         order = order[_first_k(q[order], k)]
         q, c, values = q[order], c[order], values[order]
-    winners.offer(chosen[q], values, ids[c])
+    return chosen[q], values, ids[c]
 
 
 def local_top_k(
@@ -214,8 +233,12 @@ def local_top_k(
             at = np.flatnonzero(member == g) if len(labels) > 1 else slice(None)
             block = (matrix[at], ids[at], id_rank[at])
             step = max(1, BLOCK_SCORES // len(block[1]))
-            for i in range(0, len(chosen), step):
-                _offer_block(best[key], queries, chosen[i : i + step], *block)
+            found = [
+                _contenders(best[key], queries, chosen[i : i + step], *block)
+                for i in range(0, len(chosen), step)
+            ]
+            if any(len(scores) for _, scores, _ in found):
+                best[key].offer(*map(np.concatenate, zip(*found)))
     for label, winners in best.items():
         n = len(winners.query)
         if n:
