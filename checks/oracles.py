@@ -413,7 +413,12 @@ FROM documents""",
 SELECT DISTINCT source || '_' || lang || '_docs' AS collection_name,
        CASE WHEN lang = 'fr' THEN 'NEEDS INDEX' ELSE 'EXISTS' END AS status
 FROM documents""",
-    "build_index_whole": """
+    "build_index": """
+SELECT vec_id, label::BIGINT AS label, 3::BIGINT AS rows, 3::BIGINT AS tables,
+       round(embedding[1]::DOUBLE, 6) AS first_component,
+       round(embedding[64]::DOUBLE, 6) AS last_component
+FROM embeddings""",
+    "build_index_rows": """
 SELECT vec_id, label::BIGINT AS label, 3::BIGINT AS rows, 3::BIGINT AS tables FROM embeddings""",
     "ingest_documents": f"""WITH RECURSIVE {_packed(True)},
 kept AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM chunks),

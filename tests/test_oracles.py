@@ -26,8 +26,8 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_queries_without_sql(spark):
-    assert set(REGISTRY) - set(ORACLES) == {"search_ann", "build_index"}
-    assert REGISTRY["build_index"](spark, SMALL).agg({"vectors": "sum"}).head()[0] == 2 * 500
+    assert set(REGISTRY) - set(ORACLES) == {"search_ann", "build_index_buckets"}
+    assert REGISTRY["build_index_buckets"](spark, SMALL).agg({"vectors": "sum"}).head()[0] == 2 * 500
 
 
 def test_entry(spark):
