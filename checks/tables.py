@@ -54,7 +54,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def last_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The vector with the highest id, as a single query."""
-    return vectors(spark, sf_dir).select(F.max_by("embedding", "vec_id").alias("v")).head()["v"]
+    return vectors(spark, sf_dir).orderBy(F.desc("vec_id")).select("embedding").head()[0]
 
 
 _CORPORA: dict[tuple[str, str], str] = {}
