@@ -21,10 +21,10 @@ def query(fn):
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-        for kind in pii.BASE_KINDS
-    ]
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
     return found.select(
         F.col("id").alias("doc_id"),
         *counts,
