@@ -3,3 +3,107 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op6_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS place,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight
+  FROM s
+), o AS (
+  SELECT *, sum(source_size) OVER ()
+           - coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / weight, place
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+         sum(weight) OVER (ORDER BY 3.0 * source_size / weight, place
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened
+  FROM w
+), f AS (
+  SELECT *, 3 * source_size * opened < remaining * weight AS is_full FROM o
+), g AS (
+  SELECT *, (sum(source_size) OVER () - sum(CASE WHEN is_full THEN 3 * source_size ELSE 0 END) OVER ())::BIGINT AS free,
+         (sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ())::BIGINT AS share
+  FROM f
+), t AS (
+  SELECT source, place, source_size,
+         CASE WHEN is_full THEN 3.0::DOUBLE * source_size ELSE (free * weight)::DOUBLE / share END AS target,
+         CASE WHEN is_full THEN 3 * source_size ELSE (free * weight) // share END::BIGINT AS words
+  FROM g
+), p AS (
+  SELECT d.doc_id, d.size, t.*,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start,
+         CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS rounds
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, greatest(0, least(size, words - rounds * source_size - start)) AS tail FROM p
+), r AS (
+  SELECT *, rounds * size + tail AS taken, rounds + (tail > 0)::INT AS copies FROM q
+), u AS (
+  SELECT *, start::DOUBLE / nullif(words, 0) AS y,
+         (start + (copies - 1) * source_size)::DOUBLE / nullif(words, 0) AS z
+  FROM r
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target, taken::BIGINT AS taken,
+  CASE WHEN taken > 0 THEN round(CASE place % 3
+    WHEN 0 THEN 2 * y / (1.5 + sqrt(2.25 - 2 * y))
+    WHEN 1 THEN y
+    ELSE CASE WHEN y < 0.375 THEN 2 * y / (0.5 + sqrt(0.25 + 2 * y))
+         ELSE 0.5 + 2 * (y - 0.375) / (1 + sqrt(1 + 2 * (y - 0.375))) END END, 6) END AS position,
+  CASE WHEN taken > 0 THEN round(CASE place % 3
+    WHEN 0 THEN 2 * z / (1.5 + sqrt(2.25 - 2 * z))
+    WHEN 1 THEN z
+    ELSE CASE WHEN z < 0.375 THEN 2 * z / (0.5 + sqrt(0.25 + 2 * z))
+         ELSE 0.5 + 2 * (z - 0.375) / (1 + sqrt(1 + 2 * (z - 0.375))) END END, 6) END AS last_position
+FROM u
+"""
+
+ORACLES["op9_url_rules"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), h AS (
+  SELECT *, translate(regexp_extract(coalesce(rest, ''), '(?s)^([^/?#]*)', 1),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(coalesce(rest, ''), '(?s)^[^?#]*\?([^#]*)', 1) AS asked
+  FROM p
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), k AS (
+  SELECT page_id, host, path,
+    (SELECT rhost || rpath FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+     ORDER BY length(rhost || rpath) DESC LIMIT 1) AS rule,
+    CASE WHEN host <> '' THEN
+      regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') ||
+      CASE WHEN len(list_filter(string_split(asked, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) > 0
+      THEN '?' || array_to_string(list_sort(list_filter(string_split(asked, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&')
+      ELSE '' END END AS key,
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                   '(?is)\bhref\s*=\s*["'']?https?://([^"''\s>?#]+)', 1) AS link
+  FROM h
+), e AS (
+  SELECT DISTINCT key AS a, regexp_replace(regexp_replace(link, '^www\.', ''), '/+$', '') AS b
+  FROM k WHERE link <> '' AND key IS NOT NULL
+), b AS (
+  SELECT a, b FROM e UNION SELECT b, a FROM e
+), r(node, seen) AS (
+  SELECT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r.seen = b.a
+), c AS (
+  SELECT node, min(seen) AS component FROM r GROUP BY node
+), v AS (
+  SELECT k.page_id, host, path, k.rule, (SELECT verdict FROM rules WHERE rhost || rpath = k.rule) AS given,
+         coalesce(c.component, k.key) AS alias
+  FROM k LEFT JOIN c ON k.key = c.node
+), m AS (
+  SELECT alias, bool_or(given = 'block') AND NOT bool_or(given = 'allow') AS bad
+  FROM v WHERE given IS NOT NULL GROUP BY alias
+)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN m.bad THEN 'block' ELSE 'allow' END) AS verdict, v.alias AS alias
+FROM v LEFT JOIN m ON v.alias = m.alias
+"""

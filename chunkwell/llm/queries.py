@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import pii
+from chunkwell.llm import mixing, pii, url_rules
 from chunkwell.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,31 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_list("spans", pii.BASE_KINDS), 256).alias("base_sha256"),
         pii.span_list("spans").alias("spans"),
     )
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "source_size",
+        F.round("target", 6).alias("target"),
+        "taken",
+        F.round("position", 6).alias("position"),
+        F.round("last_position", 6).alias("last_position"),
+    )
+
+
+RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@query
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.filter_urls(table(spark, sf_dir, "pages"), RULES)
+    return judged.withColumnRenamed("id", "page_id")
