@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import mixing, pii, url_rules
+from chunkwell.llm import mixing, ngram_join, pii, url_rules
 from chunkwell.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,9 @@ RULES = (
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.filter_urls(table(spark, sf_dir, "pages"), RULES)
     return judged.withColumnRenamed("id", "page_id")
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return linked.withColumnRenamed("id", "doc_id")
