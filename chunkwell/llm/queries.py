@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import mixing, ngram_join, pii, url_rules
+from chunkwell.llm import mixing, ngram_join, pii, simhash, url_rules
 from chunkwell.llm.common import table
+from chunkwell.session import written
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,3 +66,26 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
     return linked.withColumnRenamed("id", "doc_id")
+
+
+#: Fingerprint search takes every document whose id is divisible by this as a query.
+EVERY = 100
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = written(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    asked = marks.where(F.col("id") % EVERY == 0).select("fingerprint")
+    distinct = marks.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
+    near = simhash.near_fingerprints(asked, distinct)
+    own, edited, following = map(F.col, ("fingerprint", "edited_fingerprint", "next_fingerprint"))
+    return marks.join(near, "fingerprint", "left").select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.col("edited").alias("edited_sha256"),
+        F.lpad(F.lower(F.hex(own)), 16, "0").alias("fingerprint"),
+        F.lpad(F.lower(F.hex(edited)), 16, "0").alias("edited_fingerprint"),
+        simhash.likeness(own, edited).alias("near_edited"),
+        simhash.likeness(own, following).alias("near_next"),
+        F.when(F.col("id") % EVERY == 0, F.col("n_near")).alias("n_near"),
+    )
