@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import mixing, ngram_join, pii, simhash, url_rules
+from chunkwell.llm import mixing, ngram_join, pii, simhash, sparse_suffix, url_rules
 from chunkwell.llm.common import table
 from chunkwell.session import written
 
@@ -89,3 +89,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.likeness(own, following).alias("near_next"),
         F.when(F.col("id") % EVERY == 0, F.col("n_near")).alias("n_near"),
     )
+
+
+@query
+def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_repeated", F.array_join(spans, ",").alias("spans"), "copies"
+    )
