@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import mixing, ngram_join, pii, simhash, sparse_suffix, url_rules
+from chunkwell.llm import mixing, ngram_join, pii, simhash, sparse_suffix, toxicity, url_rules
 from chunkwell.llm.common import table
 from chunkwell.session import written
 
@@ -98,3 +98,18 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_repeated", F.array_join(spans, ",").alias("spans"), "copies"
     )
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    labelled = docs.join(labels.where(~toxicity.held_out()).select("doc_id", "toxic"), "doc_id")
+    model = toxicity.fit_toxicity(labelled)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
