@@ -9,8 +9,9 @@ counted and dropped, and a document whose remaining lists are fewer than it need
 What is left names candidates, whose sets are then merged and probed for the exact count.
 
 Only components are wanted, so links inside a group that already hangs together are not
-looked for. A first round links every set to one leader of its lists; the second looks at
-lists on which more than one component is left, and only between components.
+looked for. A first round links every set to one leader of its lists; the second takes the
+lists on which more than one component is left and searches, block by block, the clusters
+of sets that they hold together.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ EXTRA = 0.05
 LONGEST = 1 << 16
 #: Candidates of one set that one task compares it with.
 GROUP = 2_000
+#: Sets and elements of one block of a cluster; a task holds two blocks.
+BLOCK_SETS, BLOCK_ELEMENTS = 1_000, 400_000
 
 _S = np.int64
 
@@ -269,6 +272,112 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
+def search_clusters(open_sets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: links between components among sets that hang together by open lists.
+
+    ``open_sets`` are ``(a, sig, n, component)``, ``a`` a set that shares a list with ``sig``.
+    Sets that can link are of one cluster and of the same or the next size class. A cluster's
+    class is cut into blocks of bounded size, and every pair of blocks that can hold a link
+    is searched by one task: a set travels once per block it may meet, not once per pair.
+    """
+    clusters = connected_components(open_sets.select("a", F.col("sig").alias("b")))
+    base = float(np.log(100 / percent * 1.01))
+    cells = open_sets.select("sig", "n", "component").distinct()
+    cells = cells.join(clusters.withColumnRenamed("component", "cluster"), F.col("sig") == F.col("node"))
+    cells = cells.select(
+        "sig", "component", "cluster", "n", F.floor(F.log("n") / base).cast("int").alias("size")
+    )
+    blocks = cells.groupBy("cluster", "size").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("k")
+    )
+    own = cells.join(blocks, ["cluster", "size"]).withColumn("i", F.pmod(F.xxhash64("sig"), "k"))
+
+    def other(step: int) -> DataFrame:
+        return blocks.select("cluster", (F.col("size") + step).alias("size"), F.col("k").alias("others"))
+
+    def every(last: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(last) - 1)).alias("t")
+
+    kept = ["cluster", "size", "sig", "component"]
+    same = own.select(*kept, "i", every("k"))
+    same = same.select(*kept, F.least("i", "t").alias("i"), F.greatest("i", "t").alias("j"), F.lit(0).alias("next"))
+    lower = own.join(other(-1), ["cluster", "size"]).select(*kept, "i", every("others"))
+    lower = lower.select(*kept, "i", F.col("t").alias("j"), F.lit(1).alias("next"))
+    upper = own.join(other(1), ["cluster", "size"]).select(*kept, "i", every("others"))
+    upper = upper.withColumn("size", F.col("size") - 1)
+    upper = upper.select(*kept, F.col("t").alias("i"), F.col("i").alias("j"), F.lit(1).alias("next"))
+    # a task with one component has nothing to find
+    place = ["cluster", "size", "next", "i", "j"]
+    dealt = same.union(lower).union(upper)
+    worth = dealt.groupBy(*place).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    dealt = dealt.join(worth.where("low < high").drop("low", "high"), place)
+    task = F.xxhash64(*place).alias("task")
+    met = dealt.select(task, "sig", "component").join(sets, "sig").select("task", "sig", "component", "elements")
+    met = met.repartition("task").sortWithinPartitions("task")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in stream:
+            links = []
+            for task, sig, component, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != now:
+                    links += block_links(held, percent)
+                    now, held = task, []
+                held.append((sig, component, np.frombuffer(raw, np.uint64)))
+            yield _pairs(links)
+        yield _pairs(block_links(held, percent))
+
+    return met.mapInArrow(run, "a bigint, b bigint")
+
+
+def block_links(held: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between different components of a block, by DivideSkip over its inverted lists.
+
+    A found link joins its components, so that later queries skip what is joined already.
+    """
+    if len(held) < 2:
+        return []
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    sizes = np.array([len(e) for _, _, e in held])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    _, dense = np.unique(np.concatenate([e for _, _, e in held]), return_inverse=True)
+    order = np.argsort(dense, kind="stable")
+    owner = np.repeat(np.arange(len(held)), sizes)[order]
+    ends = np.searchsorted(dense[order], np.arange(dense.max() + 2))
+    links = []
+    for q in range(len(held) - 1):
+        roots = np.array([find(c) for _, c, _ in held])
+        total = sizes[q] + sizes
+        needed = (percent * total + 99 + percent) // (100 + percent)
+        open_ = (roots != roots[q]) & (np.arange(len(held)) > q) & (needed <= np.minimum(sizes, sizes[q]))
+        if not open_.any():
+            continue
+        mine = dense[starts[q] : starts[q + 1]]
+        lengths = ends[mine + 1] - ends[mine]
+        least = int(needed[open_].min())
+        number = min(least - 1, int(least / (0.01 * np.log2(lengths.max() + 1) + 1)), len(mine))
+        divided = np.argsort(lengths, kind="stable")
+        short, long = mine[divided[: len(mine) - number]], np.sort(mine[divided[len(mine) - number :]])
+        merged = [owner[ends[e] : ends[e + 1]] for e in short]
+        counts = np.bincount(np.concatenate(merged or [np.zeros(0, np.int64)]), minlength=len(held))
+        for d in np.flatnonzero(open_ & (counts + number >= needed)):
+            if find(held[d][1]) == find(held[q][1]):
+                continue
+            theirs = dense[starts[d] : starts[d + 1]]
+            at = np.minimum(np.searchsorted(theirs, long), len(theirs) - 1)
+            if counts[d] + int((theirs[at] == long).sum()) >= needed[d]:
+                links.append((held[q][0], held[d][0]))
+                root[find(held[d][1])] = find(held[q][1])
+    return links
+
+
 def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``(sig, elements)``: the sorted sets of the wanted documents ``(sig, id, tid)``."""
 
@@ -340,17 +449,12 @@ def jaccard_components(
     placed = lists.join(joined, F.col("sig") == F.col("node"), "left").select(
         "sig", "element", "n", F.coalesce("component", "sig").alias("component")
     )
-    mixed = placed.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = placed.join(mixed.where("low < high").select("element"), "element")
-    left, right = placed.alias("l"), placed.alias("r")
-    close = F.greatest("l.n", "r.n") * percent <= F.least("l.n", "r.n") * 100
-    across = (
-        left.join(right, F.col("l.element") == F.col("r.element"))
-        .where((F.col("l.component") != F.col("r.component")) & (F.col("l.sig") < F.col("r.sig")) & close)
-        .select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b"))
-        .distinct()
+    mixed = placed.groupBy("element").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("sig").alias("a")
     )
-    more = verify(written(across), sets, percent)
+    open_lists = placed.join(mixed.where("low < high").select("element", "a"), "element")
+    open_sets = written(open_lists.select("a", "sig", "n", "component").distinct())
+    more = written(search_clusters(open_sets, sets, percent))
     groups = connected_components(links.union(more))
 
     named = nodes.join(groups, F.col("sig") == F.col("node"), "left")

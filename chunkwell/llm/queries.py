@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import mixing, ngram_join, pii, simhash, sparse_suffix, toxicity, url_rules
+from chunkwell.llm import (
+    decontaminate,
+    language,
+    mixing,
+    ngram_join,
+    pii,
+    simhash,
+    sparse_suffix,
+    toxicity,
+    url_rules,
+)
 from chunkwell.llm.common import table
 from chunkwell.session import written
 
@@ -113,3 +123,45 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),
     )
+
+
+def _addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages as rows with what is known of their address and markup."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    host = url_rules.url_host(F.col("url"))
+    none = F.lit(None)
+    return docs.select(
+        "doc_id",
+        none.cast("bigint").alias("page_id"),
+        F.col("source").alias("host"),
+        none.cast("string").alias("suffix"),
+        F.col("lang").alias("declared"),
+        "text",
+    ).unionByName(
+        pages.select(
+            none.cast("bigint").alias("doc_id"),
+            "page_id",
+            F.nullif(host, F.lit("")).alias("host"),
+            language.address_suffix(host).alias("suffix"),
+            language.declared_language(F.col("html")).alias("declared"),
+            language.markup_text(F.col("html")).alias("text"),
+        )
+    )
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit_languages(table(spark, sf_dir, "documents"))
+    found = language.identify(_addressed(spark, sf_dir), model)
+    return found.withColumn("confidence", F.round("confidence", 4))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (F.size("items") > 0).alias("contaminated"),
+        F.array_join(F.col("items").cast("array<string>"), ",").alias("items"),
+        "edits",
+    )

@@ -68,6 +68,7 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, seed):
         monkeypatch.setattr(ngram_join, "LONGEST", 8)
         monkeypatch.setattr(ngram_join, "GROUP", 5)
         monkeypatch.setattr(ngram_join, "LONG_LISTS", 50)
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
     rng = random.Random(seed)
     rows = made(rng)
     rng.shuffle(rows)
