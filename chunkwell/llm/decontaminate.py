@@ -9,9 +9,11 @@ overlap so far that one of them holds them all; bands with enough are aligned in
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +148,17 @@ def leaks(text: str, index: Index) -> dict[object, int]:
     return found
 
 
+def _slices(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list]:
+    """The distinct items ``(id, text)`` in parts of about ``SLICE`` characters."""
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text"))
+    items = items.where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.length("text"))).head()[0] or 0
+    number = max(1, -(-int(total) // SLICE))
+    for k in range(number):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(number)) == k)
+        yield [tuple(r) for r in part.collect()]
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -167,15 +180,11 @@ def find_leaks(
     about ``SLICE`` characters, a pass over the documents for each, so what travels to the
     tasks has a fixed size; several slices are put together by one grouping of ids.
     """
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text"))
-    items = items.where("item IS NOT NULL AND text IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.length("text"))).head()[0] or 0
-    slices = max(1, -(-int(total) // SLICE))
-    number = F.pmod(F.xxhash64("item", "text"), F.lit(slices))
     spark = docs.sparkSession
+    slices = _slices(benchmark, item_col, item_text_col)
     parts = []
-    for k in range(slices):
-        held = spark.sparkContext.broadcast(make_index([tuple(r) for r in items.where(number == k).collect()]))
+    for part in slices:
+        held = spark.sparkContext.broadcast(make_index(part))
 
         def setup(held=held):
             index = held.value
@@ -191,7 +200,7 @@ def find_leaks(
 
         parts.append((id_col, setup))
     rest = "items array<bigint>, edits bigint"
-    if slices == 1:
+    if len(parts) == 1:
         return map_texts(docs, id_col, text_col, rest, parts[0][1])
     # rows get a number of their own, as ids may be NULL or repeat
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("text")))
@@ -206,3 +215,29 @@ def find_leaks(
     return rows.select("row", "key").join(whole, F.col("row") == F.col("id"), "left").select(
         F.col("key").alias("id"), F.coalesce("items", none).alias("items"), "edits"
     )
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows without a benchmark item in their text; all columns stay, NULL texts too.
+
+    Rows are dropped where they are read, slice by slice of the benchmark.
+    """
+    place = docs.columns.index(text_col)
+    for part in _slices(benchmark, item_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(make_index(part))
+
+        def keep(stream: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = held.value
+            for batch in stream:
+                clean = [not t or not leaks(t, index) for t in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

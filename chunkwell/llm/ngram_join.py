@@ -402,14 +402,27 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(id, n_shingles, component_id)``, one row per input row.
+    """``(id, n_shingles, component_id)``, one row per input row; see :func:`jaccard_members`."""
+    members = jaccard_members(docs, width, percent, id_col=id_col, text_col=text_col)
+    return members.select("id", "n_shingles", "component_id")
+
+
+def jaccard_members(
+    docs: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``(id, tid, n_shingles, component, component_id)``, one row per input row.
 
     A document's set are its distinct runs of ``width`` words in A-Z lower case, all its
     words as one if there are fewer; two documents link if the overlap is at least
     ``percent`` percent of the union, and a component is named by its smallest id.
 
     NULL, empty and blank texts have an empty set, link with nothing and are their own
-    component. Repeated rows and equal texts are one set. A NULL id is a member like any
+    component, with a NULL ``component``. Repeated rows and equal texts are one set. A NULL id is a member like any
     other but never names a component that has another id. Other columns are not read.
 
     Every link between different sets is found, up to collisions of 64-bit hashes. Texts
@@ -460,7 +473,11 @@ def jaccard_components(
     named = nodes.join(groups, F.col("sig") == F.col("node"), "left")
     named = named.select("sig", "id", F.coalesce("component", "sig").alias("component"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(smallest, "component").select("sig", "component_id")
+    named = named.join(smallest, "component").select("sig", "component", "component_id")
     return members.join(named, "sig", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        "id",
+        "tid",
+        F.col("n").alias("n_shingles"),
+        "component",
+        F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )

@@ -15,6 +15,7 @@ from chunkwell.llm import (
     pii,
     simhash,
     sparse_suffix,
+    token_counts,
     toxicity,
     url_rules,
 )
@@ -165,3 +166,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.col("items").cast("array<string>"), ",").alias("items"),
         "edits",
     )
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return counted.withColumnRenamed("id", "doc_id")
