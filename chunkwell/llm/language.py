@@ -29,6 +29,8 @@ FIT_ROWS = 20_000
 BUCKETS, MAX_LANGUAGES = 1 << 15, 100
 #: Trigrams overlap and repeat: this many count at most, and each with this share.
 MOST_GRAMS, SHARE = 300, 0.3
+#: Share of a language's trigrams that are spread over all buckets.
+UNSEEN = 0.05
 #: Rows that a group's parent counts for, and added counts of each declared language.
 PARENT_ROWS, ADDED = 5.0, 0.5
 #: The language of texts that none of the known ones explains better than chance.
@@ -84,10 +86,12 @@ def fit_languages(labelled: DataFrame) -> LanguageModel:
             )
 
     counts = chosen.mapInArrow(count, "lang string, bucket bigint, n bigint")
-    table = np.full((len(languages), BUCKETS), 0.1)
+    table = np.zeros((len(languages), BUCKETS))
     for lang, bucket, n in counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         table[languages.index(lang), bucket] += n
-    table /= table.sum(axis=1, keepdims=True)
+    # a trigram that was never seen has a share all the same
+    seen = table.sum(axis=1, keepdims=True)
+    table = (1 - UNSEEN) * table / np.maximum(seen, 1) + UNSEEN / BUCKETS
     return LanguageModel(languages, np.ascontiguousarray(np.log(table).T.astype(np.float32)))
 
 

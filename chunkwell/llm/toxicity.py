@@ -31,8 +31,9 @@ FIT_ROWS = 20_000
 GRAM = 5
 #: A feature counts with so many toxic documents, this log-odds and this many standard errors.
 LEAST_DOCS, LEAST_ODDS, LEAST_Z = 3, 4.0, 2.0
-#: Strength of the prior in documents, and the score of a token without a counting feature.
-PRIOR, DRIFT = 20.0, -0.3
+#: Strength of the prior as a share of the documents, and the score of a token without a
+#: counting feature.
+PRIOR, DRIFT = 0.04, -0.3
 #: Features kept, by standard errors: the lexicon that travels to the tasks is bounded.
 LEXICON = 20_000
 #: A segment counts if fewer than this many of its sum are expected by chance in its text.
@@ -179,9 +180,10 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
     counts = counts.where((F.col("toxic") >= LEAST_DOCS) | (F.col("feature") == ""))
     # the two totals decide what counts; both are in the row without a feature
     totals = counts.where("feature = ''").select(F.col("toxic").alias("t"), F.col("clean").alias("c"))
-    share = (F.col("toxic") + F.col("clean")) / (F.col("t") + F.col("c")) * PRIOR
-    odds_t = F.log((F.col("toxic") + share) / (F.col("t") + PRIOR - F.col("toxic") - share))
-    odds_c = F.log((F.col("clean") + share) / (F.col("c") + PRIOR - F.col("clean") - share))
+    prior = (F.col("t") + F.col("c")) * PRIOR
+    share = (F.col("toxic") + F.col("clean")) * PRIOR
+    odds_t = F.log((F.col("toxic") + share) / (F.col("t") + prior - F.col("toxic") - share))
+    odds_c = F.log((F.col("clean") + share) / (F.col("c") + prior - F.col("clean") - share))
     error = F.sqrt(1 / (F.col("toxic") + share) + 1 / (F.col("clean") + share))
     lexicon = (
         counts.where("feature != ''")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkwell.llm.components import connected_components
+from chunkwell.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that do not change what a URL shows.
@@ -79,16 +80,15 @@ def resolve(target: Column, url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(a, b)``: alias keys joined by a canonical link or a refresh redirect of a page."""
+    """``(a, b, target)``: alias keys joined by a canonical link or a refresh redirect of a page."""
     html = F.col(html_col)
     tags = F.concat(
         F.transform(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, _HREF, 1)),
         F.transform(F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, _TO, 1)),
     )
     linked = pages.select(F.col(url_col).alias("url"), F.explode(tags).alias("target"))
-    return linked.where("target != ''").select(
-        alias_key(F.col("url")).alias("a"), alias_key(resolve(F.col("target"), F.col("url"))).alias("b")
-    )
+    linked = linked.where("target != ''").withColumn("target", resolve(F.col("target"), F.col("url")))
+    return linked.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b"), "target")
 
 
 def filter_urls(
@@ -103,8 +103,8 @@ def filter_urls(
     """``(id, host, path, rule, verdict, alias)``, one row per input row.
 
     ``rules`` are ``(verdict, host, path)``; a rule's own verdict holds for the pages it
-    fits. Another page is blocked if a page of its component is blocked by a rule and none
-    is allowed by one; else it is allowed. ``redirects`` may add known redirects as
+    fits. Another page is blocked if a URL of its component, a page or what a link points to,
+    is blocked by a rule and none is allowed by one; else it is allowed. ``redirects`` may add known redirects as
     ``(from_url, to_url)``. ``alias`` is the smallest alias key of the component.
 
     A NULL URL or one without ``://`` has an empty host and path, no rule, no alias, and
@@ -121,19 +121,26 @@ def filter_urls(
         matching_rule(host, path, rules).alias("fit"),
         alias_key(url).alias("key"),
     ).select("id", "host", "path", "fit.rule", F.col("fit.verdict").alias("given"), "key")
-    edges = pages.sparkSession.createDataFrame([], "a string, b string")
+    edges = pages.sparkSession.createDataFrame([], "a string, b string, target string")
     if html_col:
         edges = edges.union(link_edges(pages, url_col, html_col))
     if redirects is not None:
-        edges = edges.union(
-            redirects.select(alias_key(F.col("from_url")), alias_key(F.col("to_url")))
-        )
+        ends = alias_key(F.col("from_url")), alias_key(F.col("to_url")), F.col("to_url")
+        edges = edges.union(redirects.select(*ends))
+    edges = written(edges.distinct())
     joined = connected_components(edges)
     found = found.join(joined, F.col("key") == F.col("node"), "left").select(
         "id", "host", "path", "rule", "given", F.coalesce("component", "key").alias("alias")
     )
+    # what a link points to has a fate of its own, also if it is no page of the table
+    target = F.col("target")
+    ends = edges.select(
+        alias_key(target).alias("key"), matching_rule(url_host(target), url_path(target), rules)["verdict"].alias("given")
+    )
+    ends = ends.join(joined, F.col("key") == F.col("node")).select("component", "given")
     # only components with a rule to pass on and only pages without one need to meet
-    known = found.where("given IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(
+    known = found.select("alias", "given").union(ends)
+    known = known.where("given IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(
         F.max(F.col("given") == "block").alias("blocked"), F.max(F.col("given") == "allow").alias("allowed")
     )
     known = known.where("blocked AND NOT allowed").select(F.col("alias").alias("bad"))
