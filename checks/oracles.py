@@ -104,7 +104,7 @@ def _hashed(name: str, source: str, key: str, dims: int) -> str:
     return f"""
 {name}_tokens AS (
   SELECT {key}, unnest(string_split_regex(
-           lower(left({_strip('text')}, 8000)), '[^\\p{{L}}\\p{{N}}]+')) AS token
+           lower({_strip('text')}), '[^\\p{{L}}\\p{{N}}]+')) AS token
   FROM {source}),
 {name}_slots AS (
   SELECT {key}, ('0x' || substr(md5(token), 1, 6))::BIGINT % {dims} AS bucket,
@@ -317,7 +317,7 @@ SELECT doc_id, left({_strip('text')}, 8000) AS content,
 FROM documents WHERE {_strip('text')} <> ''""",
     "embed_texts": f"""
 WITH cleaned AS (
-  SELECT doc_id, left({_strip('text')}, 8000) AS t FROM documents WHERE {_strip('text')} <> '')
+  SELECT doc_id, {_strip('text')} AS t FROM documents WHERE {_strip('text')} <> '')
 SELECT doc_id, length(t)::DOUBLE AS v0,
        (length(t) - length(replace(t, 'e', '')))::DOUBLE AS v1,
        (length(t) - length(replace(t, 'n', '')))::DOUBLE AS v2,
@@ -327,9 +327,8 @@ FROM cleaned""",
 SELECT doc_id, bucket, round(value, 6) AS value FROM v""",
     "embed_queries": f"""
 WITH asked AS (
-  SELECT conv_id, turn,
-         CASE WHEN role = 'assistant' THEN '' ELSE left({_strip('text')}, 8000) END AS t
-  FROM conversations)
+  SELECT conv_id, turn, {_strip('text')} AS t FROM conversations
+  UNION ALL SELECT conv_id, -1 - turn, '' FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, CASE WHEN t = '' THEN 0 ELSE 4 END::BIGINT AS dims,
        CASE WHEN t <> '' THEN (length(t) - length(replace(t, 'e', '')))::DOUBLE END AS v1
 FROM asked""",
@@ -344,6 +343,8 @@ SELECT e.vec_id, round({_SCORE}, 6) AS similarity_score, round({_COSINE}, 6) AS
 FROM embeddings e, {_LAST} q""",
     "threshold_filter": _single(50, outer="score >= 0.68"),
     "filter_post": _single(50, outer="label = 3 AND score >= 0.6"),
+    "filter_post_list": _single(50, outer="label IN (1, 3, 8) AND score >= 0.6"),
+    "filter_pre_range": _single(50, inner="label >= 3 AND label < 6 AND vec_id % 2 = 0"),
     "filter_pre": _single(50, inner="label = 3", outer="score >= 0.6"),
     "search_batch": f"""WITH {_batch(5)}
 SELECT {_TOP_COLUMNS}, label::BIGINT AS label FROM top WHERE score >= 0.65""",
@@ -361,9 +362,10 @@ SELECT vec_id AS query_id, {_quoted(NO_HIT_ADVICE)} AS advice FROM embeddings
 WHERE label < 5 AND vec_id NOT IN (SELECT query_id FROM top WHERE score >= 0.68)""",
     "validate_requests": f"""
 WITH requests AS (
-  SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE {_strip('text')} END AS t,
-         length(text) % 60 - 4 AS lim, (length(text) % 14 - 1) / 10.0 AS threshold
-  FROM conversations)
+  SELECT conv_id, turn, {_strip('text')} AS t, length(text) % 60 - 4 AS lim,
+         (length(text) % 14 - 1) / 10.0 AS threshold
+  FROM conversations
+  UNION ALL SELECT conv_id, -1 - turn, '', 5, 0.5 FROM conversations WHERE turn % 5 = 4)
 SELECT conv_id, turn, lim::BIGINT AS "limit",
        CASE WHEN t = '' THEN 'query text is blank'
             WHEN lim NOT BETWEEN 1 AND 50 THEN 'limit is outside 1 to 50'
@@ -395,6 +397,18 @@ FROM documents""",
 SELECT query_id, count(*) AS sources_consulted, 'documents' AS collection_name,
        {_SCORES} AS similarity_scores FROM hits GROUP BY query_id""",
     "list_collections": "SELECT DISTINCT lang || '_docs' AS collection_name FROM documents",
+    "catalog": """
+SELECT lang || '_docs' AS collection_name, count(*) AS document_count,
+       sum(strlen(text) + 8)::BIGINT AS size_bytes, true AS stored, true AS one_file_or_more
+FROM documents GROUP BY lang
+UNION ALL SELECT 'empty_docs', 0, 0, false, false""",
+    "live_collection": f"""
+WITH RECURSIVE files AS (
+  SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0
+  UNION ALL
+  SELECT -1 - doc_id // 50, string_agg(text, {NL} ORDER BY doc_id)
+  FROM documents WHERE doc_id % 2 = 1 GROUP BY doc_id // 50),
+{_packed(True, "files")} {_CHUNK_ROWS}""",
     "collection_stats": """
 SELECT lang || '_docs' AS collection_name, count(*) AS document_count,
        sum(strlen(text) + 8)::BIGINT AS size_bytes, round(avg(strlen(text) + 8), 6) AS avg_obj_size

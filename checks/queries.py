@@ -23,7 +23,7 @@ from checks.tables import (
     vector_queries,
     vectors,
 )
-from chunkwell.operators.ann import index_rows
+from chunkwell.operators.ann import index_rows, read_index
 from chunkwell.plans.search import ranked_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,34 @@ def ingest_incremental(spark, sf_dir):
     )
 
 
+@query
+def live_collection(spark, sf_dir):
+    """Even documents ingested by batch, odd ones in files by a stream, into one collection.
+
+    The batch comes twice and is skipped the second time.
+    """
+    landing, root, state = (fresh_dir(spark) for _ in range(3))
+    odd = texts(spark, sf_dir).where("doc_id % 2 = 1").withColumn("file_no", F.floor(F.col("doc_id") / 50))
+    (
+        odd.repartition("file_no")
+        .sortWithinPartitions("file_no", "doc_id")
+        .select("file_no", "content")
+        .write.partitionBy("file_no")
+        .text(landing)
+    )
+    even = documents(spark, sf_dir).where(doc_number("doc_uri") % 2 == 0)
+    cw.ingest_documents(even, root, "live")
+    cw.ingest_incremental(spark, f"{landing}/*", root, "live", checkpoint=state).awaitTermination()
+    again = cw.ingest_documents(even, root, "live", mode="skip_existing")
+    if again["chunks_stored"]:
+        raise ValueError("documents were stored twice")
+    file_no = F.regexp_extract("document_url", r"file_no=(\d+)", 1)
+    number = F.when(file_no != "", -1 - file_no.try_cast("bigint")).otherwise(doc_number())
+    return cw.read_collection(spark, root, "live").select(
+        number.alias("doc_id"), "chunk_index", "content", "element_type", "page_number"
+    )
+
+
 # partitioning and chunking ---------------------------------------------------
 
 
@@ -268,15 +296,13 @@ def embed_hashed(spark, sf_dir):
 
 @query
 def embed_queries(spark, sf_dir):
-    """Every turn of a conversation as a query; system turns count as blank here."""
-    asked = table(spark, sf_dir, "conversations").select(
-        "conv_id",
-        "turn",
-        F.when(F.col("role") == "assistant", F.lit("  ")).otherwise(F.col("text")).alias(
-            "query_text"
-        ),
+    """Every turn of a conversation as a query, and blank ones besides."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.select("conv_id", "turn", F.col("text").alias("query_text"))
+    blanks = turns.where("role = 'assistant'").select(
+        "conv_id", (-1 - F.col("turn")).alias("turn"), F.lit("  ").alias("query_text")
     )
-    embedded = cw.embed_queries(asked, _letter_counts)
+    embedded = cw.embed_queries(asked.union(blanks), _letter_counts)
     return embedded.select(
         "conv_id",
         "turn",
@@ -334,6 +360,24 @@ def filter_post(spark, sf_dir):
     return _single(spark, sf_dir, 50, 0.6, {"metadata.label": 3})
 
 
+@query
+def filter_post_list(spark, sf_dir):
+    return _single(spark, sf_dir, 50, 0.6, {"label": [1, 3, 8]})
+
+
+@query
+def filter_pre_range(spark, sf_dir):
+    """A range on a column and a boolean among the caller's own fields."""
+    even = F.create_map(F.lit("even"), (F.col("vec_id") % 2 == 0).cast("string"))
+    rows = vectors(spark, sf_dir).withColumn("metadata", even)
+    hits = cw.vector_search(
+        rows, last_vector(spark, sf_dir), 50, None,
+        {"label": {"gte": 3, "lt": 6}, "metadata.even": True}, filter_mode="pre",
+        id_col="vec_id", columns=["vec_id", "label"],
+    )
+    return hits.select("vec_id", "label", "similarity_score")
+
+
 @query
 def filter_pre(spark, sf_dir):
     return _single(spark, sf_dir, 50, 0.6, {"label": 3}, filter_mode="pre")
@@ -412,18 +456,20 @@ def unmatched_queries(spark, sf_dir):
 
 @query
 def validate_requests(spark, sf_dir):
-    """Requests made of conversation turns, good and bad ones."""
+    """Requests made of all conversation turns, good and bad ones, and blank ones besides."""
     n = F.length("text")
-    requests = table(spark, sf_dir, "conversations").select(
+    turns = table(spark, sf_dir, "conversations")
+    requests = turns.select(
         "conv_id",
         "turn",
-        F.when(F.col("turn") % 5 == 4, F.lit(" \t ")).otherwise(F.col("text")).alias(
-            "query_text"
-        ),
+        F.col("text").alias("query_text"),
         (n % 60 - 4).alias("limit"),
         ((n % 14 - 1) / 10.0).alias("similarity_threshold"),
     )
-    checked = cw.validate_requests(requests)
+    blanks = turns.where("turn % 5 = 4").select(
+        "conv_id", (-1 - F.col("turn")).alias("turn"), F.lit(" \t "), F.lit(5), F.lit(0.5)
+    )
+    checked = cw.validate_requests(requests.union(blanks))
     return checked.select("conv_id", "turn", "limit", "error")
 
 
@@ -496,17 +542,30 @@ def _routed(spark, sf_dir):
         F.col("lang").alias("document_type"),
     )
     cw.store_chunks(cw.route_collection(rows, "by_type"), root, F.col("collection_name"))
-    return cw.read_all(spark, root)
+    return root
 
 
 @query
 def list_collections(spark, sf_dir):
-    return cw.list_collections(_routed(spark, sf_dir))
+    return cw.list_collections(spark, _routed(spark, sf_dir))
 
 
 @query
 def collection_stats(spark, sf_dir):
-    return cw.collection_stats(_routed(spark, sf_dir))
+    return cw.collection_stats(cw.read_all(spark, _routed(spark, sf_dir)))
+
+
+@query
+def catalog(spark, sf_dir):
+    """Names with statistics, a collection without rows included; bytes depend on the codec."""
+    wanted = spark.createDataFrame([("empty_docs",)], "collection_name string")
+    return cw.catalog(spark, _routed(spark, sf_dir), wanted).select(
+        "collection_name",
+        "document_count",
+        "size_bytes",
+        (F.col("storage_size_bytes") > 0).alias("stored"),
+        (F.col("file_count") > 0).alias("one_file_or_more"),
+    )
 
 
 @query
@@ -539,7 +598,7 @@ def _written_index(spark, sf_dir, tables, bits):
         vectors(spark, sf_dir), root, "vectors", 64, tables=tables, bits=bits, id_col="vec_id",
         filter_columns=["label"],
     )
-    return spark.read.parquet(f"{root}/vectors/vectors")
+    return read_index(spark, root, "vectors")
 
 
 @query

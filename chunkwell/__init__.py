@@ -56,6 +56,7 @@ from chunkwell.plans.question import query_contract  # noqa: E402
 from chunkwell.plans.search import search_documents  # noqa: E402
 from chunkwell.session import configure  # noqa: E402
 from chunkwell.sources.collections import (  # noqa: E402
+    catalog,
     collection_stats,
     list_collections,
     read_all,
@@ -82,6 +83,7 @@ __all__ = [
     "chunk_windows",
     "classify_sources",
     "clean_texts",
+    "catalog",
     "collection_stats",
     "configure",
     "documents_from_table",

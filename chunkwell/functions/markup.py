@@ -11,10 +11,12 @@ from html.parser import HTMLParser
 from chunkwell.functions.text import BLANKS
 
 _SILENT = {"script", "style", "head", "template", "noscript"}
+#: Tags that may stand in a head; any other ends one that was left open.
+_HEAD = {"title", "base", "link", "meta", "script", "style", "template", "noscript"}
 _TITLES = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ITEMS = {"li", "dt", "dd"}
 _BREAKS = {
-    "address", "article", "aside", "blockquote", "body", "br", "details", "div",
+    "address", "article", "aside", "blockquote", "body", "details", "div",
     "dl", "fieldset", "figure", "figcaption", "footer", "form", "header", "hr",
     "html", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
 }
@@ -43,8 +45,10 @@ class _Collector(HTMLParser):
         self._parts, self._category = [], following
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "body":
+        if tag == "body" or (self._silent and self._silent[0] == "head" and tag not in _HEAD):
             self._silent = []  # a head left open ends here
+        if self._silent and self._silent[-1] in ("noscript", "template") and tag in _TITLES | {"main", "article"}:
+            self._silent = []  # one that was not closed does not take the page with it
         if tag in _SILENT:
             self._silent.append(tag)
         elif self._silent:
@@ -56,6 +60,8 @@ class _Collector(HTMLParser):
         elif self._tables:
             if tag in ("td", "th", "tr", "br", "p", "div", "li"):
                 self._parts.append(" ")
+        elif tag == "br":
+            self._parts.append(" ")
         elif tag in _TITLES:
             self.close_element("Title")
         elif tag in _ITEMS:
@@ -63,7 +69,7 @@ class _Collector(HTMLParser):
         elif tag in _BREAKS:
             # a block inside a list item still belongs to the item
             self.close_element(
-                self._category if self._category == "ListItem" and tag in ("p", "div", "br")
+                self._category if self._category == "ListItem" and tag in ("p", "div")
                 else "NarrativeText"
             )
 

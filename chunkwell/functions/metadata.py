@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkwell.schemas import SYSTEM_FIELDS
 
@@ -19,13 +20,74 @@ def string_map(fields: Mapping[str, object] | None) -> Column:
         return F.create_map().cast(_NO_FIELDS)
     parts: list[Column] = []
     for key, value in fields.items():
-        parts += [
-            F.lit(str(key)),
-            F.lit(None if value is None else str(value)).cast("string"),
-        ]
+        parts += [F.lit(str(key)), F.lit(as_text(value)).cast("string")]
     return F.create_map(*parts)
 
 
+def as_text(value: object) -> str | None:
+    """A metadata value as stored: NULL stays, booleans read as in SQL."""
+    if value is None or isinstance(value, str):
+        return value
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+_OPERATORS = ("eq", "ne", "in", "nin", "gt", "gte", "lt", "lte")
+
+
+def _test(actual: Column, wanted: object, literal, key: str) -> Column:
+    """One condition: a value, NULL, a list of values, or a mapping of operators.
+
+    ``actual`` must be comparable with ``literal(value)``. Anything else is an error.
+    """
+    if isinstance(wanted, Mapping):
+        unknown = [op for op in wanted if op.lstrip("$") not in _OPERATORS]
+        if unknown or not wanted:
+            raise ValueError(f"unknown condition on {key!r}: {unknown or wanted}")
+        tests = []
+        for op, value in wanted.items():
+            op = op.lstrip("$")
+            if op in ("in", "nin"):
+                if not isinstance(value, (list, tuple, set, frozenset)):
+                    raise ValueError(f"{op!r} on {key!r} takes a list")
+                found = _test(actual, list(value), literal, key)
+                tests.append(found if op == "in" else ~F.coalesce(found, F.lit(False)))
+            elif op == "eq":
+                tests.append(_test(actual, value, literal, key))
+            elif op == "ne":
+                tests.append(~F.coalesce(_test(actual, value, literal, key), F.lit(False)))
+            else:
+                bound = literal(value, ordered=True)
+                at = literal.ordered(actual, value)
+                tests.append({"gt": at > bound, "gte": at >= bound, "lt": at < bound, "lte": at <= bound}[op])
+        return reduce(lambda a, b: a & b, tests)
+    if isinstance(wanted, (list, tuple, set, frozenset)):
+        values = [v for v in wanted if v is not None]
+        tests = [actual.isin(*[literal(v) for v in values])] if values else []
+        if len(values) < len(wanted):
+            tests.append(actual.isNull())
+        return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    if wanted is None:
+        return actual.isNull()
+    return actual == literal(wanted)
+
+
+class _Literal:
+    """Values as a column of ``kind`` compares them; map values are texts, numbers among them."""
+
+    def __init__(self, kind: T.DataType | None):
+        self.kind = kind
+
+    def __call__(self, value: object, ordered: bool = False) -> Column:
+        if self.kind is not None:
+            return F.lit(as_text(value)).try_cast(self.kind)
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return F.lit(float(value)) if ordered and number else F.lit(as_text(value))
+
+    def ordered(self, actual: Column, value: object) -> Column:
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return actual.try_cast("double") if self.kind is None and number else actual
+
+
 def merge_metadata(*layers: Column) -> Column:
     """Merge maps from low to high precedence; a later NULL still wins.
 
@@ -68,9 +130,12 @@ def metadata_predicate(
     """Turn a filter into a predicate; ``None`` or an empty one means no filter.
 
     ``user_id`` and ``metadata.user_id`` mean the same, several keys are
-    AND-ed, values compare as strings. A key that names a real column becomes
-    a predicate on that column, which reaches the scan, unless the record's
-    own map overrides it.
+    AND-ed. A value means equality, ``None`` an absent field, a list any of its
+    values, and a mapping of ``eq ne in nin gt gte lt lte`` (with or without
+    ``$``) all of its conditions. A key that names a real column is compared in
+    its type and reaches the scan, unless the record's own map may override it;
+    fields of the map are texts, and compare as numbers where a range is given in
+    numbers. A key that is neither a column nor can be in a map is an error.
     """
     if metadata_filter is None:
         return None
@@ -84,20 +149,13 @@ def metadata_predicate(
         held = F.col(metadata_col)[name] if in_map else None
         if name in df.columns and name != metadata_col:
             # compare in the column's own type, so that the test can be pushed down
-            actual = F.col(name)
-            if isinstance(wanted, bool):
-                wanted = str(wanted).lower()
-            if wanted is None:
-                test = actual.isNull()
-            else:
-                test = actual == F.lit(str(wanted)).try_cast(df.schema[name].dataType)
+            test = _test(F.col(name), wanted, _Literal(df.schema[name].dataType), key)
             if in_map:
-                test = F.when(F.map_contains_key(F.col(metadata_col), F.lit(name)),
-                              held.isNull() if wanted is None else held == str(wanted)
-                              ).otherwise(test)
+                own = F.map_contains_key(F.col(metadata_col), F.lit(name))
+                test = F.when(own, _test(held, wanted, _Literal(None), key)).otherwise(test)
         elif in_map:
-            test = held.isNull() if wanted is None else held == str(wanted)
+            test = _test(held, wanted, _Literal(None), key)
         else:
-            test = F.lit(False)
+            raise ValueError(f"no field {key!r} to filter on")
         tests.append(test)
     return reduce(lambda a, b: a & b, tests) if tests else None

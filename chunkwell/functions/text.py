@@ -39,6 +39,7 @@ def sliding_windows(
     a window must hold more than the overlap, else it would repeat text only.
     Cost is linear in the text, which repeated ``substring`` calls are not.
     """
+    from_data = isinstance(size, Column) or isinstance(overlap, Column)
     size, overlap = as_column(size), as_column(overlap)
     pattern = F.concat(
         F.lit(r"(?s)(?=(\A.{1,"),
@@ -51,7 +52,12 @@ def sliding_windows(
         (size - overlap).cast("string"),
         F.lit("}"),
     )
-    return F.regexp_extract_all(text, pattern, 1)
+    found = F.regexp_extract_all(text, pattern, 1)
+    if not from_data:
+        return found
+    fine = F.coalesce((size >= 1) & (overlap >= 0) & (overlap < size), F.lit(False))
+    wrong = F.raise_error(F.lit("window sizes need 0 <= overlap < size, not NULL"))
+    return F.when(fine, found).otherwise(wrong.cast("array<string>"))
 
 
 def check_window_sizes(size: Column | int, overlap: Column | int) -> None:

@@ -11,18 +11,22 @@ tasks than the others.
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwell.functions.metadata import metadata_predicate
 from chunkwell.functions.topk import Queries, to_matrix
 from chunkwell.operators.search import (
+    BROADCAST_HITS,
     DEFAULT_LIMIT,
     _check,
     bounded_queries,
@@ -41,6 +45,9 @@ DEFAULT_TABLES = 1
 #: Share of the buckets a query probes unless told otherwise.
 DEFAULT_PROBE_SHARE = 0.125
 
+#: Batches that a query table is cut into at most.
+MAX_BATCHES = 1 << 14
+
 SPEC = T.StructType(
     [
         T.StructField("collection_name", T.StringType()),
@@ -51,6 +58,9 @@ SPEC = T.StructType(
         T.StructField("bits", T.IntegerType()),
         T.StructField("seed", T.LongType()),
         T.StructField("filter_columns", T.ArrayType(T.StringType())),
+        T.StructField("folder", T.StringType()),
+        T.StructField("columns", T.StringType()),
+        T.StructField("version", T.LongType()),
     ]
 )
 
@@ -93,11 +103,36 @@ def index_rows(
             out[row] = numbers
         return pa.array(out, pa.list_(pa.int32()))
 
-    keep = [c for c in ("collection_name", *filter_columns) if c in collection.columns]
+    names = [field_name(c) for c in filter_columns]
+    keep = [filter_column(collection, c) for c in filter_columns]
+    if "collection_name" in collection.columns and "collection_name" not in names:
+        names, keep = ["collection_name", *names], [F.col("collection_name"), *keep]
     once = buckets.asNondeterministic()  # the filter ``posexplode`` brings must not repeat it
     return collection.select(
         id_col, vector_col, *keep, once(F.col(vector_col)).alias("_buckets")
-    ).select(F.posexplode("_buckets").alias("table_no", "bucket"), id_col, vector_col, *keep)
+    ).select(F.posexplode("_buckets").alias("table_no", "bucket"), id_col, vector_col, *names)
+
+
+def field_name(name: str) -> str:
+    """``metadata.user_id`` and ``user_id`` are the same field."""
+    return name.removeprefix("metadata.")
+
+
+def filter_column(collection: DataFrame, name: str) -> Column:
+    """A field of stored rows as a column of the index: the record's own value hides a system one."""
+    field = field_name(name)
+    column = F.col(field) if field in collection.columns else None
+    if "metadata" in collection.columns and isinstance(collection.schema["metadata"].dataType, T.MapType):
+        held = F.col("metadata")[field]
+        if column is None:
+            column = held
+        else:
+            kind = collection.schema[field].dataType
+            own = F.map_contains_key(F.col("metadata"), F.lit(field))
+            column = F.when(own, held.try_cast(kind)).otherwise(column)
+    if column is None:
+        raise ValueError(f"no field {name!r} to filter on")
+    return column.alias(field)
 
 
 def build_index(
@@ -116,7 +151,11 @@ def build_index(
     """Write the vector index of one collection; returns its description.
 
     Rows are rebalanced by bucket, and adaptive execution splits a large bucket
-    over several tasks. ``filter_columns`` can be filtered on before the search.
+    over several tasks. ``filter_columns`` can be filtered on before the search;
+    they may be columns or fields of the metadata, an unknown one is an error.
+
+    Vectors go to a folder of their own; the description that names it is added
+    last, and readers take the latest. A build that fails leaves the index as it was.
     """
     spark = collection.sparkSession
     rows = index_rows(
@@ -124,18 +163,30 @@ def build_index(
         filter_columns=filter_columns, id_col=id_col, vector_col=vector_col,
     )
     place = f"{root}/{collection_name}"
+    folder = f"vectors-{uuid.uuid4().hex}"
     (
         rows.hint("rebalance", "table_no", "bucket")
-        .write.mode("overwrite")
-        .partitionBy("table_no", "bucket")
-        .parquet(f"{place}/vectors")
+        .write.partitionBy("table_no", "bucket")
+        .parquet(f"{place}/{folder}")
     )
-    spec = spark.createDataFrame(
-        [(collection_name, vector_col, dims, "cosine", tables, bits, seed, list(filter_columns))],
-        SPEC,
-    )
-    spec.write.mode("overwrite").parquet(f"{place}/spec")
-    return spark.read.schema(SPEC).parquet(f"{place}/spec")
+    filters = [field_name(c) for c in filter_columns]
+    spec = (collection_name, vector_col, dims, "cosine", tables, bits, seed, filters, folder,
+            rows.schema.json(), time.time_ns())
+    spark.createDataFrame([spec], SPEC).coalesce(1).write.mode("append").parquet(f"{place}/spec")
+    return index_spec(spark, root, collection_name)
+
+
+def index_spec(spark: SparkSession, root: str, collection_name: str) -> DataFrame:
+    """The description of the latest build of an index, one row."""
+    specs = spark.read.schema(SPEC).parquet(f"{root}/{collection_name}/spec")
+    return specs.orderBy(F.desc("version")).limit(1)
+
+
+def read_index(spark: SparkSession, root: str, collection_name: str) -> DataFrame:
+    """The rows of the latest build of an index, also if there are none."""
+    spec = index_spec(spark, root, collection_name).head()
+    schema = T.StructType.fromJson(json.loads(spec["columns"]))
+    return spark.read.schema(schema).parquet(f"{root}/{collection_name}/{spec['folder']}")
 
 
 def probe_mask(
@@ -187,10 +238,11 @@ def search_ann(
     raw = _check("pre", score)
     if limit < 1:
         raise ValueError("limit must be at least 1")
+    if limit > BROADCAST_HITS:
+        raise ValueError(f"limit must be at most {BROADCAST_HITS}")
     if columns and collection is None:
         raise ValueError("give the collection to fetch columns from")
-    place = f"{root}/{collection_name}"
-    spec = spark.read.schema(SPEC).parquet(f"{place}/spec").head()
+    spec = index_spec(spark, root, collection_name).head()
     n_buckets = 1 << spec["bits"]
     probes = max(1, int(n_buckets * DEFAULT_PROBE_SHARE)) if probes is None else probes
     if not 1 <= probes <= n_buckets:
@@ -198,7 +250,7 @@ def search_ann(
     asked = query_rows(
         queries, limit, limit, similarity_threshold, query_id_col, query_vector_col
     )
-    index = spark.read.parquet(f"{place}/vectors")
+    index = read_index(spark, root, collection_name)
     predicate = metadata_predicate(index, metadata_filter)
     if predicate is not None:
         index = index.where(predicate)
@@ -251,6 +303,8 @@ def _query_batches(
         else:
             return iter(found)
         blocks *= 2
+        if blocks > MAX_BATCHES:
+            raise ValueError("the queries do not fit into batches of broadcast size")
 
 
 def _probed(index: DataFrame, mask: np.ndarray, tables: int, n_buckets: int) -> DataFrame:

@@ -14,17 +14,24 @@ from pyspark.sql import types as T
 from chunkwell.functions.hashing import DEFAULT_DIMS, hashed_model
 from chunkwell.functions.text import is_blank, strip
 
-# The length a text is cut to before it goes to a model, and the
-# number of texts in one call of the model.
+# The length :func:`clean_texts` cuts a text to, and the number of
+# texts in one call of the model.
 MAX_MODEL_CHARS = 8000
 BATCH_SIZE = 100
 
 Model = Callable[[Sequence[str]], Sequence]
 
 
-def cleaned(text: Column, max_chars: int = MAX_MODEL_CHARS) -> Column:
-    """What a model gets to see: stripped, cut, and NULL if nothing is left."""
-    return F.when(~is_blank(text), F.left(strip(text), F.lit(max_chars)))
+def cleaned(text: Column, max_chars: int | None = None) -> Column:
+    """What a model gets to see: stripped, and NULL if nothing is left; cut only if asked."""
+    whole = strip(text)
+    return F.when(~is_blank(text), whole if max_chars is None else F.left(whole, F.lit(max_chars)))
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector has a direction: not NULL or empty, all finite, not all zero."""
+    sound = F.forall(vector, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    return F.coalesce((F.size(vector) > 0) & sound & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
 def clean_texts(
@@ -96,9 +103,12 @@ def embed_texts(
     factory: Callable[[], Model] | None = None,
     embedding_col: str = "embedding",
     keep_blank: bool = False,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Add one vector per row: ``fn(list of texts) -> list of vectors``.
 
+    The model sees whole texts; a model with a limit of its own names ``max_chars``.
+
     Give a ``factory`` instead of ``fn`` for a model that is costly to load; it
     is called once per task. Only the text column crosses into Python. Blank
     texts never reach the model; they are dropped, or kept with a NULL vector.
@@ -113,7 +123,7 @@ def embed_texts(
     rows = df if keep_blank else df.where(~is_blank(F.col(text_col)))
     # once per row, whatever filters follow: a model call is never duplicated
     once = vectors.asNondeterministic()
-    return rows.withColumn(embedding_col, once(cleaned(F.col(text_col))))
+    return rows.withColumn(embedding_col, once(cleaned(F.col(text_col), max_chars)))
 
 
 def embed_hashed(
@@ -122,6 +132,7 @@ def embed_hashed(
     text_col: str = "content",
     embedding_col: str = "embedding",
     keep_blank: bool = False,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """:func:`embed_texts` with the built-in hashing model."""
     return embed_texts(
@@ -130,6 +141,7 @@ def embed_hashed(
         factory=partial(hashed_model, dims),
         embedding_col=embedding_col,
         keep_blank=keep_blank,
+        max_chars=max_chars,
     )
 
 
@@ -140,10 +152,11 @@ def embed_queries(
     batch_size: int = BATCH_SIZE,
     *,
     factory: Callable[[], Model] | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """One vector per query; a blank query gets an empty vector."""
     embedded = embed_texts(
-        queries, fn, text_col, batch_size, factory=factory, keep_blank=True
+        queries, fn, text_col, batch_size, factory=factory, keep_blank=True, max_chars=max_chars
     )
     return embedded.withColumn(
         "embedding",
@@ -162,19 +175,20 @@ def validate_embeddings(
 ) -> DataFrame:
     """Chunks without a usable vector: ``(key, problem)``, empty if all is well.
 
-    A vector is missing if its row is absent or NULL, and wrong if its width is
-    not ``dims``. With ``strict`` the first bad row ends the job with an error.
+    A vector is missing if its row is absent or NULL, wrong if its width is not
+    ``dims``, and without direction if it is zero or not finite. With ``strict``
+    the first bad row ends any action on the result with an error.
     """
-    widths = embeddings.select(key, F.size("embedding").alias("_width"))
-    known = widths.where(F.col("_width") >= 0)
-    if dims is not None:
-        good = known.where(F.col("_width") == dims)
-        wrong = known.where(F.col("_width") != dims)
-    else:
-        good, wrong = known.where(F.col("_width") > 0), known.where(F.col("_width") == 0)
+    known = embeddings.where(F.col("embedding").isNotNull()).select(
+        key, F.size("embedding").alias("_width"), usable(F.col("embedding")).alias("_usable")
+    )
+    fits = F.col("_width") == dims if dims is not None else F.col("_width") > 0
+    good, wrong = known.where(fits & F.col("_usable")), known.where(~fits)
+    flat = known.where(fits & ~F.col("_usable"))
     # one pass over both sides: left join once, judge by what was found
     best = (
-        good.select(key, F.lit(2).alias("_state"))
+        good.select(key, F.lit(3).alias("_state"))
+        .unionByName(flat.select(key, F.lit(2).alias("_state")))
         .unionByName(wrong.select(key, F.lit(1).alias("_state")))
         .groupBy(key)
         .agg(F.max("_state").alias("_state"))
@@ -182,10 +196,11 @@ def validate_embeddings(
     problems = (
         chunks.select(key)
         .join(best, key, "left")
-        .where(F.coalesce("_state", F.lit(0)) < 2)
+        .where(F.coalesce("_state", F.lit(0)) < 3)
         .select(
             key,
-            F.when(F.col("_state") == 1, "wrong width")
+            F.when(F.col("_state") == 2, "zero or not finite")
+            .when(F.col("_state") == 1, "wrong width")
             .otherwise("no embedding")
             .alias("problem"),
         )
@@ -193,4 +208,5 @@ def validate_embeddings(
     if not strict:
         return problems
     failing = F.concat(F.lit("embedding check failed: "), F.col("problem"))
-    return problems.withColumn("problem", F.raise_error(failing).cast("string"))
+    # in a condition, which no action can leave out
+    return problems.where(F.raise_error(failing).cast("string").isNotNull())

@@ -34,9 +34,10 @@ BROADCAST_BYTES = 64 << 20
 #: bounds a task's memory and makes the hits small enough to broadcast as well.
 BROADCAST_HITS = 1_000_000
 #: A scan is scored by at most this many tasks per core, but never chained into
-#: fewer than the second number: a young cluster does not know its size yet.
+#: fewer than the second number: a young cluster does not know its size yet. Each
+#: task sends a list per query to the merge, so more tasks are no free choice.
 TASKS_PER_CORE = 8
-LEAST_TASKS = 20_000
+LEAST_TASKS = 512
 #: Vectors per side of a block pair when the queries are too many to broadcast.
 BLOCK_BYTES = 64 << 20
 
@@ -251,7 +252,7 @@ def _block_top_k(
     one group. Block numbers come from hashed ids, so no key can grow a block.
     """
     queries = queries.where(F.size("vector") > 0)
-    per_block = max(1, BLOCK_BYTES // (8 * width))
+    per_block = max(1, BLOCK_BYTES // (8 * max(1, width)))
     query_blocks = -(-queries.count() // per_block)
     row_blocks = -(-rows.count() // per_block)
 

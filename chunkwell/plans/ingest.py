@@ -17,10 +17,12 @@ from chunkwell.operators.chunking import (
     chunk_documents,
 )
 from chunkwell.operators.elements import partition_documents
-from chunkwell.operators.embedding import BATCH_SIZE, Model, embed_texts
-from chunkwell.sources.collections import read_all, store_chunks
+from chunkwell.operators.embedding import BATCH_SIZE, Model, embed_texts, usable
+from chunkwell.session import written
+from chunkwell.sources.collections import read_target, store_chunks
 
 STORED = "stored"
+SKIPPED = "skipped"
 NO_CONTENT = "no content"
 INCOMPLETE = "embedding count differs from chunk count"
 
@@ -46,6 +48,7 @@ def prepare_chunks(
         embedding_model = embedding_model or f"hashed-{DEFAULT_DIMS}"
     own = F.col("metadata") if "metadata" in documents.columns else string_map(None)
     described = documents.withColumn("metadata", merge_metadata(own, string_map(metadata_fields)))
+    described = described.withColumn("document_hash", F.xxhash64("content"))
     chunks = chunk_documents(
         partition_documents(described), chunking_strategy, max_chunk_size, chunk_overlap
     )
@@ -72,51 +75,106 @@ def ingest_documents(
     embedding_model: str | None = None,
     batch_size: int = BATCH_SIZE,
     mode: str = "append",
-    strict: bool = False,
+    changed: str = "add",
+    strict: bool = True,
     ingest_id: str | None = None,
 ) -> dict:
     """Partition, chunk, embed and store a table of documents in one write.
 
-    A chunk the model gave no vector for cannot be searched and is not stored;
-    with ``strict`` it ends the job instead. Returns the report of
-    :func:`store_chunks` with a lazy per-document ``summary``.
+    A chunk without a usable vector cannot be searched: it ends the job with an
+    error. With ``strict=False`` it is left out and counted; the chunks are then
+    written once more, so that the count is of what the model really gave.
+
+    ``mode="skip_existing"`` skips documents whose address and content the
+    collection has, before anything is chunked or embedded. A document that is
+    stored with other content is added as a new version (``changed="add"``) or
+    an error (``changed="error"``).
+
+    Returns the report of :func:`store_chunks` with a lazy ``summary``: one row
+    per document with a status of stored, skipped, incomplete or no content.
     """
+    if mode not in ("append", "skip_existing"):
+        raise ValueError("mode must be append or skip_existing")
+    if changed not in ("add", "error"):
+        raise ValueError("changed must be add or error")
     ingest_id = ingest_id or uuid.uuid4().hex
+    spark = documents.sparkSession
+    fresh = documents
+    if mode == "skip_existing":
+        fresh = new_documents(documents, read_target(spark, root, collection_name), collection_name, changed)
     chunks = prepare_chunks(
-        documents, chunking_strategy, metadata_fields, max_chunk_size, chunk_overlap,
+        fresh, chunking_strategy, metadata_fields, max_chunk_size, chunk_overlap,
         fn=fn, factory=factory, embedding_model=embedding_model, batch_size=batch_size,
     )
+    vector = F.col("embedding")
     if strict:
         problem = F.concat(F.lit("no embedding for a chunk of "), F.col("document_url"))
-        chunks = chunks.withColumn(
-            "embedding",
-            F.when(F.size("embedding") > 0, F.col("embedding")).otherwise(
-                F.raise_error(problem).cast("array<float>")
-            ),
-        )
-    report = store_chunks(
-        chunks.where(F.size("embedding") > 0), root, collection_name,
-        mode=mode, ingest_id=ingest_id,
-    )
-    stored = read_all(documents.sparkSession, root).where(F.col("ingest_id") == ingest_id)
-    report["summary"] = stored_summary(documents, stored)
+        error = F.raise_error(problem).cast("array<float>")
+        chunks = chunks.withColumn("embedding", F.when(usable(vector), vector).otherwise(error))
+        made = None
+    else:
+        chunks = written(chunks)
+        made = chunks
+        chunks = chunks.where(usable(vector))
+    report = store_chunks(chunks, root, collection_name, ingest_id=ingest_id)
+    stored = read_target(spark, root, collection_name).where(F.col("ingest_id") == ingest_id)
+    report["summary"] = stored_summary(documents, fresh, stored, made)
     return report
 
 
-def stored_summary(documents: DataFrame, stored: DataFrame) -> DataFrame:
-    """Per document: chunks made and stored, judged from the stored rows alone."""
-    done = stored.groupBy(F.col("document_url").alias("doc_uri")).agg(
-        F.count(F.lit(1)).alias("chunks_stored"),
-        F.max("total_chunks").cast("bigint").alias("chunks_made"),
+def new_documents(
+    documents: DataFrame, stored: DataFrame, collection_name: str | Column, changed: str = "add"
+) -> DataFrame:
+    """The documents whose address and content are not stored in their collection.
+
+    Only addresses and hashes meet, documents are neither chunked nor embedded first.
+    """
+    name = collection_name if isinstance(collection_name, Column) else F.lit(collection_name)
+    asked = documents.withColumns({"_name": name, "_hash": F.xxhash64("content")})
+    key = [F.col("collection_name").alias("_name"), F.col("document_url").alias("doc_uri")]
+    known = stored.select(*key, F.col("document_hash").alias("_hash")).distinct()
+    fresh = asked.join(known, ["_name", "doc_uri", "_hash"], "left_anti")
+    if changed == "error":
+        old = known.select("_name", "doc_uri").distinct().withColumn("_old", F.lit(True))
+        text = F.concat(F.lit("document is stored with other content: "), F.col("doc_uri"))
+        fresh = fresh.join(old, ["_name", "doc_uri"], "left")
+        fresh = fresh.where(F.when(F.col("_old"), F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
+    return fresh.select(*documents.columns)
+
+
+def stored_summary(
+    documents: DataFrame, fresh: DataFrame, stored: DataFrame, made: DataFrame | None = None
+) -> DataFrame:
+    """Per document: chunks made and stored, and what became of it.
+
+    ``fresh`` are the documents that were not skipped, ``made`` all chunks before any was
+    left out; without it every chunk made was stored.
+    """
+
+    def count(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias("doc_uri")).agg(F.count(F.lit(1)).alias(name))
+
+    done = count(stored, "document_url", "_stored")
+    began = count(made, "document_url", "_made") if made is not None else done.withColumnRenamed("_stored", "_made")
+    found = documents.select("doc_uri").distinct()
+    if fresh is not documents:
+        found = found.join(fresh.select("doc_uri").distinct().withColumn("_new", F.lit(True)), "doc_uri", "left")
+    else:
+        found = found.withColumn("_new", F.lit(True))
+    found = found.join(began, "doc_uri", "left").join(done, "doc_uri", "left").select(
+        "doc_uri",
+        F.coalesce("_made", F.lit(0)).alias("chunks_made"),
+        F.coalesce("_stored", F.lit(0)).alias("chunks_stored"),
+        F.coalesce("_new", F.lit(False)).alias("_new"),
     )
-    found = documents.select("doc_uri").distinct().join(done, "doc_uri", "left")
     return found.select(
         "doc_uri",
-        F.coalesce("chunks_made", F.lit(0)).alias("chunks_made"),
-        F.coalesce("chunks_stored", F.lit(0)).alias("chunks_stored"),
-        F.when(F.col("chunks_stored").isNull(), NO_CONTENT)
-        .when(F.col("chunks_stored") % F.col("chunks_made") != 0, INCOMPLETE)
-        .otherwise(STORED)
+        "chunks_made",
+        "chunks_stored",
+        F.when(F.col("chunks_stored") < F.col("chunks_made"), INCOMPLETE)
+        .when(F.col("chunks_made") > 0, STORED)
+        .when(F.col("_new"), NO_CONTENT)
+        .otherwise(SKIPPED)
         .alias("status"),
     )
 

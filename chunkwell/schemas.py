@@ -52,6 +52,7 @@ COLLECTION = T.StructType(
         T.StructField("processed_at", T.TimestampType()),
         T.StructField("metadata", STRING_MAP),
         T.StructField("logical_size", T.LongType()),
+        T.StructField("document_hash", T.LongType()),
         T.StructField("ingest_id", T.StringType()),
         T.StructField("collection_name", T.StringType()),
     ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +91,10 @@ def store_chunks(
     rows to many collections; they are rebalanced by name first, which splits a
     large collection over many tasks and keeps small ones in few files.
 
-    ``mode="skip_existing"`` leaves out chunks whose document and position the
-    collection already has. ``inserted_ids`` is a lazy DataFrame.
+    ``mode="skip_existing"`` leaves out documents of which the collection has a
+    chunk already, so versions never mix. ``inserted_ids`` is a lazy DataFrame.
+    Only the collection that is written is looked at, all of them if a column
+    routes rows.
     """
     if mode not in _MODES:
         raise ValueError(f"mode must be one of {_MODES}")
@@ -99,12 +102,9 @@ def store_chunks(
     ingest_id = ingest_id or uuid.uuid4().hex
     rows = collection_rows(df, collection_name, source_metadata, ingest_id)
     if mode == "skip_existing":
-        key = ["collection_name", "document_url", "chunk_index"]
-        if isinstance(collection_name, Column):
-            stored = read_all(spark, root)
-        else:
-            stored = read_collection(spark, root, collection_name)
-        rows = rows.join(stored.select(*key), key, "left_anti").select(
+        key = ["collection_name", "document_url"]
+        stored = read_target(spark, root, collection_name)
+        rows = rows.join(stored.select(*key).distinct(), key, "left_anti").select(
             *[f.name for f in COLLECTION.fields]
         )
     if isinstance(collection_name, Column):
@@ -121,7 +121,7 @@ def store_chunks(
         "collection_name": collection_name if isinstance(collection_name, str) else None,
         "chunks_stored": counted.get["rows"],
         "ingest_id": ingest_id,
-        "inserted_ids": read_all(spark, root)
+        "inserted_ids": read_target(spark, root, collection_name)
         .where(F.col("ingest_id") == ingest_id)
         .select("chunk_id"),
     }
@@ -138,6 +138,13 @@ def read_all(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, root)
 
 
+def read_target(spark: SparkSession, root: str, collection_name: str | Column) -> DataFrame:
+    """What a write to ``collection_name`` may touch: one collection, or all if a column routes."""
+    if isinstance(collection_name, Column):
+        return read_all(spark, root)
+    return read_collection(spark, root, collection_name)
+
+
 def read_collection(spark: SparkSession, root: str, collection_name: str) -> DataFrame:
     """One collection by name, its partition only; an unknown name is empty.
 
@@ -145,16 +152,35 @@ def read_collection(spark: SparkSession, root: str, collection_name: str) -> Dat
     there are; any other name is found among the partitions of the root.
     """
     path = root
-    # a stream keeps a list of finished files at the root, which readers must use
-    streamed = path_exists(spark, f"{root}/_spark_metadata")
-    if PLAIN_NAME.fullmatch(collection_name) and not streamed:
+    if PLAIN_NAME.fullmatch(collection_name):
         path = f"{root}/collection_name={collection_name}"
     return _read(spark, root, path).where(F.col("collection_name") == collection_name)
 
 
-def list_collections(collections: DataFrame) -> DataFrame:
-    """Names of all collections. Only partition values are needed, no column is read."""
-    return collections.select("collection_name").distinct()
+def list_collections(spark: SparkSession, root: str) -> DataFrame:
+    """Names of all collections under a root, from its folders; no file is listed or read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.listStatus(place) if system.exists(place) else []
+    folders = [f.getPath().getName() for f in found if f.isDirectory()]
+    prefix = "collection_name="
+    names = [unquote(f.removeprefix(prefix)) for f in folders if f.startswith(prefix)]
+    return spark.createDataFrame([(n,) for n in sorted(names)], "collection_name string")
+
+
+def catalog(spark: SparkSession, root: str, names: DataFrame | None = None) -> DataFrame:
+    """:func:`storage_stats` of every collection by name, zeros for those without rows.
+
+    ``names`` adds collections that are expected but not stored yet.
+    """
+    known = list_collections(spark, root)
+    if names is not None:
+        known = known.union(names.select("collection_name")).distinct()
+    columns = ("document_count", "size_bytes", "storage_size_bytes", "file_count")
+    stats = storage_stats(spark, root)
+    return known.join(stats, "collection_name", "left").select(
+        "collection_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns], "avg_obj_size"
+    )
 
 
 def collection_stats(collections: DataFrame) -> DataFrame:
@@ -198,5 +224,6 @@ def storage_stats(spark: SparkSession, root: str) -> DataFrame:
         F.sum("n").alias("document_count"),
         F.sum("bytes").alias("size_bytes"),
         F.sum("stored").alias("storage_size_bytes"),
+        F.count(F.lit(1)).alias("file_count"),
         (F.sum("bytes") / F.sum("n")).alias("avg_obj_size"),
     )

@@ -1,14 +1,16 @@
-"""Ingest of a growing folder, as an append stream."""
+"""Ingest of a growing folder, as a stream into a collection."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chunkwell.plans.ingest import prepare_chunks
+from chunkwell.plans.ingest import ingest_documents
 from chunkwell.session import shared_dir
-from chunkwell.sources.collections import collection_rows
+from chunkwell.sources.collections import read_collection
 from chunkwell.sources.documents import TEXT_FILES, as_documents
 
 # The columns of Spark's binary file source.
@@ -28,10 +30,12 @@ def ingest_incremental(
 ) -> StreamingQuery:
     """Ingest files as they arrive; with ``available_now`` what is there, then stop.
 
-    Files seen before are skipped thanks to the checkpoint, and the file sink
-    commits every batch once. The steps are those of
-    :func:`prepare_chunks` and hold no state, so batches need no shuffle.
-    ``root`` must belong to streams alone: a stream keeps its own list of files.
+    Files seen before are skipped thanks to the checkpoint. Every batch is stored
+    as :func:`ingest_documents` would store it, in the same collection that batch
+    jobs write to, under an ingest id made of the checkpoint and the batch number;
+    the first batch after a start is left out if that id is stored already, so a
+    restart after a crash does not store it twice. ``options`` are those of
+    :func:`ingest_documents`, ``strict`` included.
     """
     if checkpoint is None:
         checkpoint = f"{shared_dir(spark)}/ingest-{collection_name}"
@@ -42,17 +46,21 @@ def ingest_incremental(
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    chunks = prepare_chunks(as_documents(reader.load(source)), **options)
-    # a path arrives once per stream, so ids need no row number, which streams lack
-    rows = collection_rows(
-        chunks.where(F.size("embedding") > 0), collection_name, row_ids=False
-    )
-    writer = (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("collection_name")
-        .option("checkpointLocation", checkpoint)
-    )
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    started: list[int] = []
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        ingest_id = f"{stream}-{batch_id}"
+        first = not started
+        started.append(batch_id)
+        if first:
+            stored = read_collection(batch.sparkSession, root, collection_name)
+            if stored.where(F.col("ingest_id") == ingest_id).limit(1).count():
+                return
+        ingest_documents(as_documents(batch), root, collection_name, ingest_id=ingest_id, **options)
+
+    writer = reader.load(source).writeStream.foreachBatch(store)
+    writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start(root)
+    return writer.start()

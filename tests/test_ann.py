@@ -44,10 +44,31 @@ def test_recall_and_exact_scores(spark, clustered, new_dir, tables):
     assert all(everything[k] == s for k, s in found.items())
     assert pairs(cw.search_ann(spark, root, "c", q, 5, probes=64)) == exact
     # a third of the rows share their buckets, and still every row is in every table
-    index = spark.read.parquet(f"{root}/c/vectors")
+    index = cw.operators.ann.read_index(spark, root, "c")
     assert index.groupBy("table_no").count().where("count = 1500").count() == tables
 
 
+def test_caller_fields_empty_indexes_and_wild_limits(spark, new_dir):
+    root = new_dir()
+    schema = "chunk_id string, embedding array<float>, metadata map<string,string>"
+    rows = [(str(i), [1.0, i / 10], {"user_id": f"u{i % 2}"}) for i in range(10)]
+    df = spark.createDataFrame(rows, schema)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    cw.build_index(df, root, "c", 2, bits=1, filter_columns=["metadata.user_id"])
+    found = cw.search_ann(spark, root, "c", q, 5, None, {"user_id": "u1"}, probes=2).collect()
+    assert {r.chunk_id for r in found} == {"1", "3", "5", "7", "9"}
+    with pytest.raises(ValueError, match="tenant"):
+        cw.search_ann(spark, root, "c", q, 5, None, {"tenant": "t"}, probes=2)
+    with pytest.raises(ValueError, match="no field 'missing'"):
+        cw.build_index(df.drop("metadata"), root, "c", 2, filter_columns=["missing"])
+    with pytest.raises(ValueError, match="limit"):
+        cw.search_ann(spark, root, "c", q, 2_000_000, probes=2)
+    # the failed build changed nothing; a new one takes over as a whole
+    assert cw.search_ann(spark, root, "c", q, 5, probes=2).count() == 5
+    cw.build_index(df.limit(0), root, "c", 2, bits=1)
+    assert cw.search_ann(spark, root, "c", q, 5, probes=2).collect() == []
+
+
 def test_filter_threshold_and_columns(spark, clustered, new_dir):
     df, q = clustered
     root = new_dir()

@@ -135,3 +135,24 @@ def test_html(spark):
         ("NarrativeText", "Plain <b>text</b>."),
     ]
     assert cw.partition_html(spark.createDataFrame([(None,)], "content string")).head().elements is None
+
+
+def test_window_sizes_from_data_must_be_sound(spark):
+    rows = spark.createDataFrame([("abc", None, 0), ("abc", 2, 2)], "content string, size int, overlap int")
+    for k in (0, 1):
+        bad = rows.where(F.col("size").isNull() if k == 0 else F.col("size").isNotNull())
+        with pytest.raises(Exception, match="window sizes"):
+            cw.chunk_windows(bad, F.col("size"), F.col("overlap")).collect()
+
+
+def test_pages_with_tags_left_open(spark):
+    pages = [
+        "<html><head><title>x</title><h1>Hi</h1><p>text</p>",
+        "<body><noscript>no<h1>A<br>B</h1><p>one<br>two</p>",
+    ]
+    df = spark.createDataFrame([(p,) for p in pages], "content string")
+    got = [[(e.category, e.text) for e in r.elements] for r in cw.partition_html(df).collect()]
+    assert got == [
+        [("Title", "Hi"), ("NarrativeText", "text")],
+        [("Title", "A B"), ("NarrativeText", "one two")],
+    ]

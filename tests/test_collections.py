@@ -92,7 +92,7 @@ def test_statistics(spark, chunks, new_dir, plan_of):
     cw.store_chunks(chunks, root, "a")
     cw.store_chunks(chunks.limit(1), root, "b")
     stored = cw.read_all(spark, root)
-    assert {r.collection_name for r in cw.list_collections(stored).collect()} == {"a", "b"}
+    assert {r.collection_name for r in cw.list_collections(spark, root).collect()} == {"a", "b"}
     stats = {r.collection_name: r for r in cw.collection_stats(stored).collect()}
     assert stats["a"].document_count == 3 and stats["a"].size_bytes == 3 + 1 + 3 + 24
     assert stats["a"].avg_obj_size == 31 / 3
@@ -104,7 +104,11 @@ def test_statistics(spark, chunks, new_dir, plan_of):
         assert disk[name].size_bytes == stats[name].size_bytes
     # neither contents nor vectors are read for it
     assert "ReadSchema: struct<logical_size:bigint>" in plan_of(cw.collection_stats(stored))
-    assert "ReadSchema: struct<>" in plan_of(cw.list_collections(stored))
+    assert "FileScan" not in plan_of(cw.list_collections(spark, root))
+    wanted = spark.createDataFrame([("a",), ("none",)], "collection_name string")
+    rows = {r.collection_name: r for r in cw.catalog(spark, root, wanted).collect()}
+    assert rows.keys() == {"a", "b", "none"} and rows["none"].document_count == 0
+    assert rows["a"].storage_size_bytes == disk["a"].storage_size_bytes
     given = chunks.withColumn("collection_name", F.lit("c"))
     assert cw.collection_stats(given).head().size_bytes == 31
 
@@ -127,6 +131,7 @@ def test_any_name(spark, chunks, new_dir, name):
     rows = cw.read_collection(spark, root, name).collect()
     assert len(rows) == 3 and {r.collection_name for r in rows} == {name}
     assert cw.store_chunks(chunks, root, name, mode="skip_existing")["chunks_stored"] == 0
+    assert {r.collection_name for r in cw.list_collections(spark, root).collect()} == {name, "other"}
 
 
 def test_routes(spark):

@@ -38,7 +38,8 @@ def test_blank_texts_never_shift_their_neighbours(spark):
 def test_texts_are_stripped_and_cut(spark):
     rows = spark.createDataFrame([(" " + "a" * 9000,), ("\n",)], "content string")
     assert [len(r.content) for r in cw.clean_texts(rows).collect()] == [8000]
-    assert cw.embed_texts(rows, lengths).head().embedding == [8000, 1]
+    assert cw.embed_texts(rows, lengths).head().embedding == [9000, 1]
+    assert cw.embed_texts(rows, lengths, max_chars=8000).head().embedding == [8000, 1]
 
 
 def test_queries(spark):
@@ -120,3 +121,14 @@ def test_validate(spark):
         cw.validate_embeddings(chunks, vectors, dims=2, strict=True).collect()
     ok = cw.validate_embeddings(chunks.where("chunk_id = 0"), vectors, dims=2, strict=True)
     assert ok.count() == 0
+
+
+def test_strict_fails_under_any_action_and_flat_vectors_are_reported(spark):
+    chunks = spark.createDataFrame([(k,) for k in range(5)], "chunk_id int")
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id int, embedding array<float>")
+    got = {r.chunk_id: r.problem for r in cw.validate_embeddings(chunks, vectors).collect()}
+    flat = "zero or not finite"
+    assert got == {1: flat, 2: flat, 3: flat, 4: "no embedding"}
+    with pytest.raises(Exception, match="embedding check failed"):
+        cw.validate_embeddings(chunks, vectors, strict=True).count()

@@ -71,4 +71,26 @@ def test_filters(records, given, ids):
 
 def test_a_key_that_names_nothing(records):
     plain = records.drop("metadata")
-    assert plain.where(metadata_predicate(plain, {"user_id": "u1"})).count() == 0
+    with pytest.raises(ValueError, match="user_id"):
+        metadata_predicate(plain, {"user_id": "u1"})
+
+
+def test_lists_ranges_and_booleans(spark):
+    df = spark.createDataFrame(
+        [(1, {"lab": "1", "size": "9", "on": "true"}), (2, {"lab": "2", "size": "10", "on": "false"}),
+         (3, {"lab": "x", "size": "y"})],
+        "page_number int, metadata map<string,string>",
+    )
+
+    def found(wanted):
+        return {r.page_number for r in df.where(metadata_predicate(df, wanted)).collect()}
+
+    assert found({"lab": ["1", "2"]}) == {1, 2} and found({"lab": []}) == set()
+    assert found({"on": True}) == {1} and found({"metadata.on": [False, None]}) == {2, 3}
+    assert found({"size": {"gte": 9, "lt": 10}}) == {1} and found({"size": {"$gt": 9.5}}) == {2}
+    assert found({"lab": {"ne": "1"}}) == {2, 3} and found({"lab": {"nin": ["1", "x"]}}) == {2}
+    assert found({"page_number": [1, 3], "lab": {"in": ["x"]}}) == {3}
+    assert found({"page_number": {"gt": 1, "lte": 2}}) == {2}
+    for wrong in ({"lab": {"like": "a"}}, {"lab": {}}, {"lab": {"in": "a"}}):
+        with pytest.raises(ValueError):
+            metadata_predicate(df, wrong)

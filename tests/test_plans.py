@@ -67,12 +67,56 @@ def test_chunks_without_a_vector(spark, documents, new_dir):
     def no_titles(texts):
         return [None if "Title" in t else [1.0] for t in texts]
 
-    report = cw.ingest_documents(documents, new_dir(), "c", fn=no_titles)
+    root = new_dir()
+    report = cw.ingest_documents(documents, root, "c", fn=no_titles, strict=False)
     status = {r.doc_uri: r.status for r in report["summary"].collect()}
     assert status["d/marks.txt"] == "embedding count differs from chunk count"
     assert status["a/ml.txt"] == "stored"
     with pytest.raises(Exception, match="no embedding for a chunk of d/marks.txt"):
-        cw.ingest_documents(documents, new_dir(), "c", fn=no_titles, strict=True)
+        cw.ingest_documents(documents, new_dir(), "c", fn=no_titles)
+    again = cw.ingest_documents(
+        documents, root, "c", fn=lambda texts: [None] * len(texts), strict=False
+    )
+    got = {r.doc_uri: r for r in again["summary"].collect()}
+    assert got["a/ml.txt"].status == "embedding count differs from chunk count"
+    assert got["a/ml.txt"].chunks_made > 0 == got["a/ml.txt"].chunks_stored
+
+
+def test_stored_documents_are_skipped_before_they_are_embedded(spark, new_dir):
+    def docs(*rows):
+        return spark.createDataFrame(list(rows), "doc_uri string, content string")
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts))
+        return [[1.0, float(len(t))] for t in texts]
+
+    root = new_dir()
+    cw.ingest_documents(docs(("a", "one"), ("b", "two")), root, "c", fn=model)
+    before = calls.value
+    second = docs(("a", "one"), ("b", "two, longer now"), ("c", "three"), ("d", " "))
+    report = cw.ingest_documents(second, root, "c", fn=model, mode="skip_existing")
+    status = {r.doc_uri: r.status for r in report["summary"].collect()}
+    assert status == {"a": "skipped", "b": "stored", "c": "stored", "d": "no content"}
+    assert calls.value - before == 2
+    with pytest.raises(Exception, match="stored with other content: b"):
+        cw.ingest_documents(
+            docs(("b", "third")), root, "c", fn=model, mode="skip_existing", changed="error"
+        )
+
+
+def test_a_batch_of_a_stream_is_stored_once(spark, new_dir):
+    import shutil
+
+    landing, root, state = new_dir(), new_dir(), new_dir()
+    spark.createDataFrame([("hello there",)], "value string").coalesce(1).write.text(landing)
+    cw.ingest_incremental(spark, landing, root, "c", checkpoint=state).awaitTermination()
+    assert cw.read_collection(spark, root, "c").count() == 1
+    # a crash after the write and before the commit: the batch comes once more
+    shutil.rmtree(f"{state.removeprefix('file:')}/commits")
+    cw.ingest_incremental(spark, landing, root, "c", checkpoint=state).awaitTermination()
+    assert cw.read_collection(spark, root, "c").count() == 1
 
 
 @pytest.fixture(scope="module")
