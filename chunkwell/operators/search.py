@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,9 @@ LEAST_TASKS = 512
 #: Vectors per side of a block pair when the queries are too many to broadcast.
 BLOCK_BYTES = 64 << 20
 
+#: Winners of a single query that come to the driver to name the files to read.
+COLLECTED_WINNERS = 10_000
+
 _FILTER_MODES = ("post", "pre")
 _SCORES = ("unit", "cosine")
 
@@ -128,9 +132,10 @@ def vector_search(
     """Top ``limit`` rows for one query: ``content, metadata, similarity_score``.
 
     Every task keeps ``limit`` ids and scores (``TakeOrderedAndProject``); the
-    table is never sorted, and contents are read for the winners only. Ties
-    break by ascending id, which must be unique in the collection. The result
-    comes in order.
+    table is never sorted. Where the collection lies in files, the winners carry
+    theirs, and contents are read from those files only; the ranking then runs at
+    once. Ties break by ascending id, which must be unique in the collection. The
+    result comes in order.
     """
     _check(filter_mode, score)
     if limit < 1:
@@ -139,10 +144,14 @@ def vector_search(
         columns = [c for c in ("content", "metadata") if c in collection.columns]
     rows = filter_hits(collection, metadata_filter) if filter_mode == "pre" else collection
     order = [F.desc_nulls_last("similarity_score"), F.asc(id_col)]
+    files = has_files(collection) and limit <= COLLECTED_WINNERS
+    place = [F.col("_metadata.file_path").alias("_file")] if files else []
     top = (
-        few_tasks(rows)
+        few_tasks(rows.select(id_col, vector_col, *place))
         .select(
-            id_col, score_query(query_vector, F.col(vector_col), score).alias("similarity_score")
+            id_col,
+            score_query(query_vector, F.col(vector_col), score).alias("similarity_score"),
+            *(["_file"] if files else []),
         )
         .orderBy(*order)
         .limit(limit)
@@ -152,6 +161,13 @@ def vector_search(
     top = threshold_filter(top, similarity_threshold)
     late = filter_mode == "post" and metadata_predicate(collection, metadata_filter) is not None
     wanted = [c for c in collection.columns if late or c in columns]
+    if files and set(wanted) - {id_col}:
+        found = top.collect()
+        top = collection.sparkSession.createDataFrame(found, top.schema).drop("_file")
+        read = sorted({r["_file"] for r in found})
+        collection = collection.where(F.col("_metadata.file_path").isin(*read))
+    elif files:
+        top = top.drop("_file")
     hits = fetch_rows(top, collection, wanted, id_col, limit)
     if late:
         hits = filter_hits(hits, metadata_filter)
@@ -160,6 +176,15 @@ def vector_search(
     return hits.select(*columns, "similarity_score")
 
 
+def has_files(rows: DataFrame) -> bool:
+    """Whether the rows still know the file they come from."""
+    try:
+        rows.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
+
+
 def few_tasks(rows: DataFrame) -> DataFrame:
     """Bound the number of scoring tasks, and with it the lists to be merged.
 

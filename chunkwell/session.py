@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,15 +32,15 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, for tables that cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a fresh local folder stands in.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    all tasks run in this one process, as in local tests, a fresh folder stands in.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    made = tempfile.mkdtemp(prefix="run-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 

@@ -239,7 +239,29 @@ def test_plans(spark, data, plan_of, new_dir):
             stored, queries[0], 3, metadata_filter={"label": 1}, id_col="id", columns=["label"]
         )
     )
-    # the ranking scan knows nothing of the filter; contents come by broadcast
-    ranking = [line for line in after.splitlines() if "FileScan" in line and "embedding" in line]
-    assert len(ranking) == 1 and "label" not in ranking[0].split("ReadSchema")[0]
-    assert "BroadcastHashJoin" in after and after.count("TakeOrderedAndProject") == 2
+    # the ranking has run; contents come by broadcast, from the files of the winners
+    assert "BroadcastHashJoin" in after and after.count("TakeOrderedAndProject") == 1
+    assert "file_path" in after and "label,1" not in after.split("DataFilters")[1].split("Format")[0]
+
+
+def test_contents_come_from_the_files_of_the_winners(spark, new_dir):
+    root = new_dir()
+    rows = spark.range(400).selectExpr("cast(id AS string) chunk_id", "concat('text ', id) content",
+                                       "array(cast(id AS float), 400f - id) embedding")
+    rows.repartitionByRange(20, "chunk_id").write.parquet(root)
+    stored = spark.read.parquet(root)
+    hits = cw.vector_search(stored, [1.0, 0.0], 2, columns=["chunk_id", "content"])
+    assert [r.content for r in hits.collect()] == ["text 399", "text 398"]
+
+    def files(node):
+        metrics, children = node.metrics(), node.children()
+        own = [metrics.apply("numFiles").value()] if metrics.contains("numFiles") else []
+        return own + [n for i in range(children.size()) for n in files(children.apply(i))]
+
+    fetched = stored.where(F.col("_metadata.file_path").isin(
+        [r[0] for r in stored.where("chunk_id IN ('398', '399')").select("_metadata.file_path").distinct().collect()]
+    ))
+    fetched.collect()
+    assert 1 <= sum(files(fetched._jdf.queryExecution().executedPlan())) <= 2
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("file_path") and ".parquet" in plan
