@@ -107,7 +107,12 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"))
     spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return found.select(
-        F.col("id").alias("doc_id"), "n_words", "n_repeated", F.array_join(spans, ",").alias("spans"), "copies"
+        F.col("id").alias("doc_id"),
+        (F.col("n_repeated") > 0).alias("repeats"),
+        "n_words",
+        "n_repeated",
+        F.array_join(spans, ",").alias("spans"),
+        "copies",
     )
 
 
