@@ -140,6 +140,10 @@ def leaks(text: str, index: Index) -> dict[object, int]:
             item, k = index.items[w], int(index.edits[w])
             if found.get(item) == 0:
                 continue
+            # a q-gram of the window counts once, however often the text repeats it
+            here = (window == w) & ((band == b) | (band == b + 1))
+            if len(np.unique(index.place_of[entry[here]])) < index.least[w]:
+                continue
             start = b * (k + 1) - WINDOW - k
             end = (b + 2) * (k + 1) - WINDOW + len(index.windows[w]) + k
             edits = aligned(index.windows[w], part[max(0, start) : max(0, end)], k)
