@@ -6,10 +6,16 @@ walk over lines, hashed vectors are sparse rows, top-k is a window.
 
 from __future__ import annotations
 
-from chunkwell.functions.text import BLANKS
 from chunkwell.operators.results import SYSTEM_PROMPT
 from chunkwell.operators.search import NO_HIT_ADVICE
-from chunkwell.sources.uris import SUPPORTED_FORMATS
+
+# Own values, so that a wrong one in the package shows.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                           *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SUPPORTED_FORMATS = [
+    "." + name for name in
+    "pdf docx doc txt rtf odt pptx ppt xlsx xls html htm md csv json xml eml msg".split()
+]
 
 
 def _quoted(text: str) -> str:

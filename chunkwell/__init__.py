@@ -64,7 +64,12 @@ from chunkwell.sources.collections import (  # noqa: E402
     storage_stats,
     store_chunks,
 )
-from chunkwell.sources.documents import documents_from_table, read_documents, spread  # noqa: E402
+from chunkwell.sources.documents import (  # noqa: E402
+    documents_from_table,
+    read_documents,
+    read_records,
+    spread,
+)
 from chunkwell.sources.uris import classify_sources, infer_source_name  # noqa: E402
 from chunkwell.streaming.ingest import ingest_incremental  # noqa: E402
 
@@ -110,6 +115,7 @@ __all__ = [
     "read_all",
     "read_collection",
     "read_documents",
+    "read_records",
     "route_collection",
     "search_ann",
     "search_batch",

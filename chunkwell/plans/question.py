@@ -38,8 +38,11 @@ def query_contract(
 
     Columns: the context, both prompts, how many excerpts were consulted and
     their scores; with an answering function also ``answer``. A question
-    without a relevant excerpt has NULL there and says so in ``advice``.
+    without a relevant excerpt has NULL there and says so in ``advice``. A context
+    is of one ranking, so lists per group (``group_col``) are refused.
     """
+    if options.get("group_col") is not None:
+        raise ValueError("query_contract answers from one ranking: group_col is not possible")
     wanted = ("content", "source_file", "page_number")
     columns = [c for c in wanted if c in collection.columns]
     hits = ranked_chunks(

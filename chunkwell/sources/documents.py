@@ -37,12 +37,37 @@ def read_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Load text documents from a path, a glob or several of them.
 
     A path that matches nothing is an ``AnalysisException``. Files that are not
-    of a text format are left out.
+    of a text format are left out. A file is one document and one row, so it must
+    fit an executor; :func:`read_records` makes a document of every line instead.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", TEXT_FILES)
     return as_documents(reader.load(path))
 
 
+def read_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Load line-wise files (CSV, JSON lines, logs) as a document per line that is not blank.
+
+    Large files are split over tasks. The address is that of the file with the
+    line's place in its split, ``file#part-line``; it does not change while the
+    files and the split size stay the same.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    place = F.col("_metadata.file_path")
+    start = F.col("_metadata.file_block_start").cast("string")
+    rows = lines.select(
+        "value", place.alias("path"), start.alias("start"), F.monotonically_increasing_id().alias("n")
+    ).where(F.trim("value") != "")
+    # the low bits count the rows of a task, which may read several splits
+    line = F.col("n").bitwiseAND(F.lit((1 << 33) - 1)).cast("string")
+    return rows.select(
+        F.concat("path", F.lit("#"), "start", F.lit("-"), line).alias("doc_uri"),
+        last_segment(F.col("path")).alias("file_name"),
+        F.ltrim(suffix(F.col("path")), F.lit(".")).alias("format"),
+        F.octet_length("value").cast("bigint").alias("file_size"),
+        F.col("value").alias("content"),
+    )
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Put a table that comes in a few large pieces on all cores.
 

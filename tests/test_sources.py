@@ -100,3 +100,14 @@ def test_stream_takes_every_file_once(spark, new_dir):
     assert run() == ["# Three\n\nmore.", "One text.", "Two"]
     ids = cw.read_collection(spark, root, "c").select("chunk_id").distinct()
     assert ids.count() == 3
+
+
+def test_a_document_per_line(spark, new_dir):
+    root = new_dir()
+    lines = [f'{{"k": {k}}}' for k in range(300)] + ["", "  "]
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(3).write.text(root)
+    rows = cw.read_records(spark, root).collect()
+    assert sorted(r.content for r in rows) == sorted(lines[:300])
+    assert len({r.doc_uri for r in rows}) == 300 and {r.format for r in rows} == {"txt"}
+    again = cw.read_records(spark, root).collect()
+    assert {(r.doc_uri, r.content) for r in again} == {(r.doc_uri, r.content) for r in rows}
