@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that are turned into Python objects at a time.
+SLICE_ROWS = 400
+
+
+def slices(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a stream in small batches, so that a worker holds few of them as objects."""
+    for batch in stream:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """A text column as Python strings; NULL is the empty text."""
     return [t or "" for t in column.to_pylist()]
@@ -39,7 +50,7 @@ def map_texts(
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = setup()
-        for batch in stream:
+        for batch in slices(stream):
             made = fn(texts_of(batch.column(1)))
             columns = [batch.column(0).cast(arrow.field(0).type)]
             for field in list(arrow)[1:]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import map_texts
+from chunkwell.llm.common import map_texts, slices
 from chunkwell.llm.words import mix
 from chunkwell.session import written
 
@@ -239,7 +239,7 @@ def without_leaks(
 
         def keep(stream: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
-            for batch in stream:
+            for batch in slices(stream):
                 clean = [not t or not leaks(t, index) for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwell.llm.common import texts_of
+from chunkwell.llm.common import slices, texts_of
 from chunkwell.llm.words import mix
 from chunkwell.session import written
 
@@ -74,7 +74,7 @@ def fit_languages(labelled: DataFrame) -> LanguageModel:
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {lang: np.zeros(BUCKETS, np.int64) for lang in languages}
-        for batch in stream:
+        for batch in slices(stream):
             for text, lang in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 for part in trigrams(text) if lang in sums else ():
                     sums[lang] += np.bincount(part, minlength=BUCKETS)
@@ -134,7 +134,7 @@ def identify(rows: DataFrame, model: LanguageModel, *, text: str = "text", least
     kept = [c for c in rows.columns if c != text]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in slices(stream):
             found = [text_evidence(model, t) for t in texts_of(batch.column(batch.schema.get_field_index("text")))]
             rest = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             posterior = [_softmax(e) if n else [0.0] * size for n, e in found]

@@ -23,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import texts_of
+from chunkwell.llm.common import slices, texts_of
 from chunkwell.llm.components import connected_components
 from chunkwell.llm.words import WordHasher, ngrams, set_key
 from chunkwell.session import written
 
 #: Elements known to be on long lists: 8 bytes each, so at most 1 MB travels to each task.
 LONG_LISTS = 1 << 17
-#: An n-gram on so many sets of one batch is reported as a possible long list.
-LOCAL_COUNT = 4
+#: An n-gram on so many of the sets that a task counts together, which have about so many
+#: elements, is reported as a possible long list.
+LOCAL_COUNT, COUNTED = 4, 1_000_000
 #: Elements beyond those that must meet, as a share of the set; more prune more and move more.
 EXTRA = 0.05
 #: Rows of one list held in memory; of longer ones this count stands for the length.
@@ -59,16 +60,27 @@ def _sets(hasher: WordHasher, texts: list[str], width: int) -> Iterator[np.ndarr
 
 
 def shingle_profile(rows: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds: ``(id, tid, n, sig)`` per document and ``(element, seen)`` per batch.
+    """Rows of two kinds: ``(id, tid, n, sig)`` per document and ``(element, seen)``.
 
     ``tid`` identifies the text and ``sig`` the set, NULL for an empty one. ``element`` was on at least
-    ``LOCAL_COUNT`` different sets of a batch.
+    ``LOCAL_COUNT`` different sets of those that a task counted together.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
-        for batch in stream:
-            ns, sigs, parts, known = [], [], [], set()
+        parts, known, held = [], set(), 0
+        kind = None
+
+        def counts() -> pa.RecordBatch:
+            values, seen = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
+            often = seen >= LOCAL_COUNT
+            n = int(often.sum())
+            none = [pa.nulls(n, kind), *(pa.nulls(n, pa.int64()) for _ in range(3))]
+            found = [pa.array(values[often].view(_S)), pa.array(seen[often].astype(_S))]
+            return pa.RecordBatch.from_arrays(none + found, names=names)
+
+        for batch in slices(stream):
+            ns, sigs, kind = [], [], batch.column(0).type
             for found in _sets(hasher, texts_of(batch.column(1)), width):
                 sig = set_key(found) if len(found) else None
                 ns.append(len(found))
@@ -76,22 +88,19 @@ def shingle_profile(rows: DataFrame, width: int) -> DataFrame:
                 if sig is not None and sig not in known:
                     known.add(sig)
                     parts.append(found)
-            values, counts = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= LOCAL_COUNT
-            element, seen = values[often].view(_S), counts[often]
-            a, b = len(ns), len(seen)
+                    held += len(found)
+            none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0), pa.nulls(b, batch.column(0).type)]),
-                    pa.concat_arrays([batch.column(2), pa.nulls(b, pa.int64())]),
-                    pa.array(ns + [None] * b, pa.int64()),
-                    pa.array(sigs + [None] * b, pa.int64()),
-                    pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(element)]),
-                    pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(seen.astype(_S))]),
-                ],
-                names=["id", "tid", "n", "sig", "element", "seen"],
+                [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), none, none],
+                names=names,
             )
+            if held > COUNTED:
+                yield counts()
+                parts, known, held = [], set(), 0
+        if parts:
+            yield counts()
 
+    names = ["id", "tid", "n", "sig", "element", "seen"]
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, tid bigint, n bigint, sig bigint, element bigint, seen bigint")
 
@@ -121,7 +130,7 @@ def first_elements(rows: DataFrame, width: int, percent: int, long: np.ndarray)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known, late = WordHasher(lower=True), set(), shared.value
-        for batch in stream:
+        for batch in slices(stream):
             elements, sigs = [np.zeros(0, np.uint64)], [np.zeros(0, _S)]
             for found in _sets(hasher, texts_of(batch.column(0)), width):
                 if not len(found) or (sig := set_key(found)) in known:
@@ -248,7 +257,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = query = None
         held: list[tuple[int, np.ndarray]] = []
-        for batch in stream:
+        for batch in slices(stream):
             links = []
             for a, part, b, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (a, part) != key or len(held) >= 64:
@@ -317,7 +326,7 @@ def search_clusters(open_sets: DataFrame, sets: DataFrame, percent: int) -> Data
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for batch in stream:
+        for batch in slices(stream):
             links = []
             for task, sig, component, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if task != now:
@@ -383,7 +392,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
-        for batch in stream:
+        for batch in slices(stream):
             made = [s.tobytes() for s in _sets(hasher, texts_of(batch.column(1)), width)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(made, pa.binary())], names=["sig", "elements"]

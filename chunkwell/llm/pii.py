@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import map_texts
+from chunkwell.llm.common import map_texts, slices
 
 #: Kinds in the order of reports. The first four follow fixed patterns.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -235,7 +235,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
-        for batch in stream:
+        for batch in slices(stream):
             clean = [
                 t and redact_text(t, find_spans(t, automaton))
                 for t in batch.column(place).to_pylist()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from chunkwell.llm.common import slices
 from chunkwell.llm.words import mix
 from chunkwell.session import written
 
@@ -97,7 +98,7 @@ def fingerprints(
         task = TaskContext.get().partitionId()
         held = None  # the row before: id, text, fingerprint
         first = None
-        for batch in stream:
+        for batch in slices(stream):
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mark = fingerprint(text)
@@ -123,7 +124,7 @@ def fingerprints(
     rest = ends.drop("next_fingerprint").join(tasks, "task").join(heads, "following")
 
     def finish(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in slices(stream):
             columns = (c.to_pylist() for c in batch.columns)
             yield _batch([_row(k, t, m, head, mark) for k, t, m, head, mark in zip(*columns)], short)
 

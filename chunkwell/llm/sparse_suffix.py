@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import texts_of
+from chunkwell.llm.common import slices, texts_of
 from chunkwell.llm.words import WordHasher, mix
 from chunkwell.session import written
 
@@ -27,8 +27,9 @@ from chunkwell.session import written
 GRAM, WINDOW = 6, 12
 #: Keys known to be on many texts: 8 bytes each, so at most 1 MB travels to each task.
 HOT_KEYS = 1 << 17
-#: A key on so many texts of one batch may be hot; a hot key is dealt over so many tasks.
-LOCAL_COUNT, SALT = 8, 64
+#: A key on so many of the texts that a task counts together, which have about so many
+#: keys, may be hot; a hot key is dealt over so many tasks.
+LOCAL_COUNT, COUNTED, SALT = 8, 1_000_000, 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,36 +78,44 @@ def _kept(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_heads(rows: DataFrame, length: int) -> DataFrame:
-    """``(id, tid, n_words)`` per row of ``(text, id, tid)``, and ``(key, seen)`` per batch.
+    """``(id, tid, n_words)`` per row of ``(text, id, tid)``, and ``(key, seen)``.
 
-    ``seen`` counts the different texts of the batch that have the key, if many do.
+    ``seen`` counts the different texts, of those a task looks at together, with the key.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=False)
-        for batch in stream:
-            counts, parts, known = [], [np.zeros(0, np.int64)], set()
+        parts, known, held = [], set(), 0
+        kind = None
+
+        def common() -> pa.RecordBatch:
+            keys, seen = np.unique(np.concatenate(parts or [np.zeros(0, np.int64)]), return_counts=True)
+            often = seen >= LOCAL_COUNT
+            n = int(often.sum())
+            none = [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            found = [pa.array(keys[often]), pa.array(seen[often].astype(np.int64))]
+            return pa.RecordBatch.from_arrays(none + found, names=names)
+
+        for batch in slices(stream):
+            counts, kind = [], batch.column(1).type
             tids = batch.column(2).to_pylist()
             for (_, words, _, _), tid in zip(hasher.texts(_texts(batch)), tids):
                 counts.append(len(words))
                 if tid not in known:
                     known.add(tid)
                     parts.append(np.unique(_kept(words, length)[0]))
-            keys, seen = np.unique(np.concatenate(parts), return_counts=True)
-            often = seen >= LOCAL_COUNT
-            a, b = len(counts), int(often.sum())
-            none = pa.nulls(a, pa.int64())
+                    held += len(parts[-1])
+            none = pa.nulls(len(counts), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(1), pa.nulls(b, batch.column(1).type)]),
-                    pa.concat_arrays([batch.column(2), pa.nulls(b, pa.int64())]),
-                    pa.array(counts + [None] * b, pa.int64()),
-                    pa.concat_arrays([none, pa.array(keys[often])]),
-                    pa.concat_arrays([none, pa.array(seen[often].astype(np.int64))]),
-                ],
-                names=["id", "tid", "n_words", "key", "seen"],
+                [batch.column(1), batch.column(2), pa.array(counts, pa.int64()), none, none], names=names
             )
+            if held > COUNTED:
+                yield common()
+                parts, known, held = [], set(), 0
+        if parts:
+            yield common()
 
+    names = ["id", "tid", "n_words", "key", "seen"]
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, tid bigint, n_words bigint, key bigint, seen bigint")
 
@@ -124,7 +133,7 @@ def suffixes(rows: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known, hot = WordHasher(lower=False), set(), shared.value
-        for batch in stream:
+        for batch in slices(stream):
             keys, tids, places = ([np.zeros(0, np.int64)] for _ in range(3))
             for (_, words, _, _), tid in zip(hasher.texts(_texts(batch)), batch.column(2).to_pylist()):
                 if tid not in known:
@@ -162,7 +171,7 @@ def extended_runs(texts: DataFrame, least: int) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=False)
-        for batch in stream:
+        for batch in slices(stream):
             keys, tids, starts, salts = ([np.zeros(0, np.int64)] for _ in range(4))
             rows = zip(hasher.texts(_texts(batch)), *(batch.column(k).to_pylist() for k in (1, 2, 3)))
             for (_, words, _, _), tid, at, hot in rows:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import map_texts, texts_of
+from chunkwell.llm.common import map_texts, slices, texts_of
 
 #: About so many labelled documents at most are fitted on, chosen by a hash of their text.
 FIT_ROWS = 20_000
@@ -164,7 +164,7 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
     labelled = _chosen(labelled.where("toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic")))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in slices(stream):
             sums: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 sums[toxic].update(features(text))
@@ -198,7 +198,7 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
 
     def tally(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(raw)
-        for batch in stream:
+        for batch in slices(stream):
             sums: Counter = Counter()
             for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 n, found = scanner.tokens(text)
@@ -216,7 +216,7 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
 
     def weigh(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(raw)
-        for batch in stream:
+        for batch in slices(stream):
             sums = Counter(
                 (round(math.log1p(scanner.evidence(text)[0]), 2), toxic)
                 for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist())
