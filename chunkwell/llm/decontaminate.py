@@ -1,9 +1,12 @@
 """Passages of a benchmark in documents, up to edits, by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows. A window of w characters that stands in
-a text with at most k edits shares at least ``w + 1 - q (k + 1)`` of its q-grams with it,
-on diagonals at most k apart. Shared q-grams are counted in bands of diagonals that
-overlap so far that one of them holds them all; bands with enough are aligned in full.
+The unit is the shortest passage that counts as a leak: ``WORDS`` words in a row. A window
+of one word less, at most ``WINDOW`` characters of it, begins at every second word of a
+benchmark item, so wherever such a passage is cut it holds a whole window. A window of w
+characters that stands in a text with at most k edits shares at least ``w + 1 - q (k + 1)``
+of its q-grams with it, on diagonals at most k apart. Shared q-grams are counted once for
+the whole item, in bands of diagonals that overlap so far that one of them holds them all;
+the windows with enough of them in a band are aligned in full.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ from chunkwell.llm.common import map_texts, slices
 from chunkwell.llm.words import mix
 from chunkwell.session import written
 
-Q, WINDOW, STEP, EDITS = 8, 100, 50, 0.1
-#: Characters of the benchmark that one pass over the documents looks for: 16 bytes each.
+Q, EDITS = 8, 0.1
+#: Words of the shortest leak, characters of a window at most, and how far apart windows begin
+#: within words that are longer than two such steps.
+WORDS, WINDOW, STEP = 13, 64, 8
+#: Characters of the benchmark that one pass over the documents looks for: 24 bytes each.
 SLICE = 1 << 20
 _FILTER_BITS = 20
 _PIECE = 1 << 18
+_SHORT = 4
 _NOT_WORDS = re.compile(r"[\W_]+")
 
 
@@ -49,65 +56,113 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Windows and their q-grams, sorted by hash."""
+    """Windows, and the q-grams of the texts they are cut from, sorted by hash.
+
+    ``first`` has the number of each text's first window, and of all windows at its end;
+    a window's q-grams have the places ``within`` to ``until`` of its text; ``step``, ``fewest`` and ``span`` are the
+    most edits and 1, the least q-grams and their farthest places over a text's windows.
+    """
 
     items: list
     windows: list[str]
     edits: np.ndarray
     least: np.ndarray
+    within: np.ndarray
+    until: np.ndarray
+    first: np.ndarray
+    step: np.ndarray
+    fewest: np.ndarray
+    span: np.ndarray
     hashes: np.ndarray
-    window_of: np.ndarray
+    text_of: np.ndarray
     place_of: np.ndarray
     seen: np.ndarray
 
 
+def cuts(text: str) -> list[tuple[int, int]]:
+    """Start and end of the windows of a normal text: one at every second word, whole if it is short."""
+    spans = [m.span() for m in re.finditer(r"[^ ]+", text)]
+    found = []
+    for k, (start, end) in enumerate(spans):
+        stop = spans[k + WORDS - 2][1] if k + WORDS - 1 <= len(spans) else None
+        # writing without blanks has few words: their inside is cut too
+        inside = range(start, end, STEP) if end - start > 2 * STEP else (start,) if k % 2 == 0 else ()
+        for at in inside:
+            if at + WINDOW <= len(text) or stop is not None:
+                found.append((at, min(at + WINDOW, stop or len(text))))
+    if not found or found[-1][1] < len(text):
+        found.append((max(0, len(text) - WINDOW) if found else 0, len(text)))
+    return found
+
+
 def make_index(items: list[tuple[object, str]]) -> Index:
     """The index of ``(item_id, text)``; items under ``Q`` characters are too short to find."""
-    ids, windows = [], []
+    ids, windows, within, first, parts = [], [], [], [0], []
     for item, text in items:
         text = normal(text or "")
-        last = max(0, len(text) - WINDOW)
-        for at in sorted({*range(0, last, STEP), last}):
-            part = text[at : at + WINDOW]
-            if len(part) >= Q:
-                ids.append(item)
-                windows.append(part)
+        if len(text) < Q:
+            continue
+        found = [(a, b) for a, b in cuts(text) if b - a >= Q]
+        ids += [item] * len(found)
+        windows += [text[a:b] for a, b in found]
+        within += [a for a, _ in found]
+        first.append(len(windows))
+        parts.append(grams(text))
     sizes = np.array([len(w) for w in windows], dtype=np.int64)
     # short windows: no more edits than the lemma can still see
     edits = np.minimum((EDITS * sizes).astype(np.int64), sizes // Q - 1).clip(0)
-    parts = [grams(w) for w in windows] or [np.zeros(0, np.uint64)]
-    hashes = np.concatenate(parts)
+    least = np.maximum(1, sizes + 1 - Q * (edits + 1))
+    starts = np.array(first[:-1], dtype=np.int64)
+    step, fewest, span = (
+        f.reduceat(x, starts) if len(starts) else x
+        for f, x in ((np.maximum, edits + 1), (np.minimum, least), (np.maximum, sizes - Q))
+    )
+    within = np.array(within, dtype=np.int64)
+    hashes = np.concatenate(parts or [np.zeros(0, np.uint64)])
     order = np.argsort(hashes, kind="stable")
-    owner = np.repeat(np.arange(len(windows)), [len(p) for p in parts] if windows else [])
-    place = np.concatenate([np.arange(len(p)) for p in parts])
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    place = np.concatenate([np.arange(len(p)) for p in parts] or [np.zeros(0, np.int64)])
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    least = np.maximum(1, sizes + 1 - Q * (edits + 1))
-    return Index(ids, windows, edits, least, hashes[order], owner[order], place[order], seen)
+    return Index(
+        ids, windows, edits, least, within, within + sizes + 1 - Q, np.array(first), step, fewest, span,
+        hashes[order], owner[order], place[order], seen,
+    )
 
 
 def aligned(window: str, region: str, edits: int) -> int | None:
     """The least edits with which the window stands somewhere in the region, None beyond ``edits``.
 
-    Row by row over the window, free at both ends of the region; the region is only as wide
-    as the band. Steps along a row are a running minimum.
+    A column of differences per character of the region, held as the bits of two numbers
+    (Myers, 1999, as put by Hyyrö); free at both ends of the region.
     """
     if window in region:
         return 0
     if not edits:
         return None
-    width = len(region)
-    codes = np.frombuffer(region.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    along = np.arange(width + 1)
-    row = np.zeros(width + 1, np.int64)
-    for k, char in enumerate(np.frombuffer(window.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 1):
-        now = np.empty_like(row)
-        now[0] = k
-        now[1:] = np.minimum(row[:-1] + (codes != char), row[1:] + 1)
-        row = np.minimum.accumulate(now - along) + along
-        if row.min() > edits:
-            return None
-    return int(row.min())
+    # the lemma again, with shorter grams wherever they stand in the region
+    held = {region[k : k + _SHORT] for k in range(len(region) + 1 - _SHORT)}
+    shared = sum(window[k : k + _SHORT] in held for k in range(len(window) + 1 - _SHORT))
+    if shared < len(window) + 1 - _SHORT * (edits + 1):
+        return None
+    places: dict[str, int] = {}
+    for k, char in enumerate(window):
+        places[char] = places.get(char, 0) | 1 << k
+    every, last = (1 << len(window)) - 1, 1 << (len(window) - 1)
+    more, less, score = every, 0, len(window)
+    best = score
+    for char in region:
+        same = places.get(char, 0)
+        across = (((same & more) + more) ^ more) | same | less
+        up, down = less | (every & ~(across | more)), more & across
+        if up & last:
+            score += 1
+        elif down & last:
+            score -= 1
+            best = min(best, score)
+        up, down = up << 1 & every, down << 1 & every
+        more, less = down | (every & ~(across | up)), up & across
+    return best if best <= edits else None
 
 
 def leaks(text: str, index: Index) -> dict[object, int]:
@@ -127,31 +182,56 @@ def leaks(text: str, index: Index) -> dict[object, int]:
         if not total:
             continue
         entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
-        window = index.window_of[entry]
-        diagonal = np.repeat(near, many) - index.place_of[entry] + WINDOW
-        step = index.edits[window] + 1
-        band = diagonal // step
-        wide = np.int64(len(part) + 2 * WINDOW)
-        keys, counts = np.unique(
-            np.concatenate([window * wide + band, window * wide + np.maximum(band - 1, 0)]), return_counts=True
-        )
-        for key in keys[counts >= index.least[keys // wide]]:
-            w, b = divmod(int(key), int(wide))
-            item, k = index.items[w], int(index.edits[w])
-            if found.get(item) == 0:
-                continue
-            # a q-gram of the window counts once, however often the text repeats it
-            here = (window == w) & ((band == b) | (band == b + 1))
-            if len(np.unique(index.place_of[entry[here]])) < index.least[w]:
-                continue
-            start = b * (k + 1) - WINDOW - k
-            end = (b + 2) * (k + 1) - WINDOW + len(index.windows[w]) + k
-            edits = aligned(index.windows[w], part[max(0, start) : max(0, end)], k)
-            if edits is not None:
-                found[item] = min(edits, found.get(item, edits))
+        owner, place = index.text_of[entry], index.place_of[entry]
+        widest = int(index.place_of.max()) + 1
+        band = (np.repeat(near, many) - place + widest) // index.step[owner] + 1
+        wide = np.int64(len(part) + widest + 2)
+        key = owner * wide + band
+        # most are chance: pairs of bands with too few, counted with whatever shares their slot, go
+        mask = (1 << int(total).bit_length() + 2) - 1
+        count = np.bincount(key & mask, minlength=mask + 1)
+        beside = np.maximum(count[(key - 1) & mask], count[(key + 1) & mask])
+        rest = count[key & mask] + beside >= index.fewest[owner]
+        key, place = key[rest], place[rest]
+        # a q-gram of an item counts once in a band, however often the text repeats it
+        key = np.concatenate([key, key - 1])
+        spot = np.concatenate([place, place])
+        order = np.lexsort((spot, key))
+        key, spot = key[order], spot[order]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])
+        key, spot = key[once], spot[once]
+        # enough of them as close together as a window is long
+        owner = key // wide
+        last = np.arange(len(key)) + index.fewest[owner] - 1
+        full = last < len(key)
+        last = last[full]
+        full[full] = (key[last] == key[full]) & (spot[last] - spot[full] <= index.span[owner[full]])
+        for k in np.unique(key[full]):
+            _align(index, part, *divmod(int(k), int(wide)), widest, spot[slice(*np.searchsorted(key, [k, k + 1]))], found)
     return found
 
 
+def _align(
+    index: Index, part: str, owner: int, band: int, widest: int, spots: np.ndarray, found: dict[object, int]
+) -> None:
+    """Aligns the windows of an item that have enough q-grams at ``spots`` of the band."""
+    first, end = int(index.first[owner]), int(index.first[owner + 1])
+    item, step = index.items[first], int(index.step[owner])
+    held = np.searchsorted(spots, index.until[first:end]) - np.searchsorted(spots, index.within[first:end])
+    enough = np.flatnonzero(held >= index.least[first:end])
+    # those with most q-grams first: after one without edits the others change nothing
+    for w in enough[np.argsort(-held[enough])] + first:
+        if found.get(item) == 0:
+            return
+        k, window = int(index.edits[w]), index.windows[w]
+        start = (band - 1) * step - widest + int(index.within[w]) - k
+        stop = start + k + 2 * step + len(window) + k
+        edits = aligned(window, part[max(0, start) : max(0, stop)], k)
+        if edits is not None:
+            found[item] = min(edits, found.get(item, edits))
+
+
 def _slices(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list]:
     """The distinct items ``(id, text)`` in parts of about ``SLICE`` characters."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text"))
@@ -174,9 +254,10 @@ def find_leaks(
 ) -> DataFrame:
     """``(id, items array<bigint>, edits)``, one row per input row.
 
-    ``items`` are the benchmark items of which a window of ``WINDOW`` characters (a shorter
-    item as a whole) stands in the text with at most a tenth of its characters edited,
-    after case, punctuation and white space are made alike; ``edits`` is the least number
+    ``items`` are the benchmark items of which a window (see :func:`cuts`; a shorter item as
+    a whole) stands in the text with at most a tenth of its characters edited, after case,
+    punctuation and white space are made alike. Any ``WORDS`` words of an item in a row, and
+    any ``WINDOW + STEP`` characters of writing without blanks, hold one; ``edits`` is the least number
     found, NULL without items. NULL and empty texts and items match nothing; items under
     ``Q`` characters are too short to tell. Repeated rows stay; repeated items are one.
 

@@ -77,3 +77,24 @@ def test_query_catches_whole_items_and_nothing_else(spark):
     items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     got = {r.doc_id: r.contaminated for r in REGISTRY["op8_decontamination"](spark, SMALL).collect()}
     assert got == {d: any(i in t for i in items) for d, t in docs.items()}
+
+
+def test_passages_at_any_offset_are_found():
+    rng = random.Random(6)
+    items = [(k, words(rng, rng.choice([40, 60, 120]))) for k in range(20)]
+    items += [(100 + k, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300))) for k in range(5)]
+    index = dc.make_index(items)
+    for _ in range(200):
+        item, text = items[rng.randrange(20)]
+        tokens = text.split()
+        n = rng.choice([13, 14, 17, 25])
+        at = rng.randrange(len(tokens) - n + 1)
+        doc = f"{words(rng, 30)} {' '.join(tokens[at : at + n])} {words(rng, 30)}"
+        assert dc.leaks(doc, index) == {item: 0}
+    for k in range(40):
+        item, text = items[20 + k % 5]
+        at = rng.randrange(300 - 78)
+        assert dc.leaks(f"{words(rng, 30)} {text[at : at + 78]}, {words(rng, 30)}", index) == {item: 0}
+    # half of the words in a row are no leak
+    tokens = items[0][1].split()
+    assert dc.leaks(f"{words(rng, 30)} {' '.join(tokens[3:9])} {words(rng, 30)}", index) == {}
