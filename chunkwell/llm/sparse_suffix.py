@@ -193,17 +193,18 @@ def extended_runs(texts: DataFrame, least: int) -> DataFrame:
 def repeated_runs(runs: DataFrame) -> DataFrame:
     """``(tid, start)`` of the runs that another text has too.
 
-    A salted key is compared within each of its tasks first; what met no other text there
-    meets one row of each of the key's other tasks.
+    A salt depends on the text around a run as well, so a key may be salted in one text and
+    not in another. Runs are compared within each task of their key first; what met no
+    other text there meets one row of each of the key's other tasks, salted or not.
     """
     same = Window.partitionBy("key", "salt")
     met = runs.withColumn("several", F.min("tid").over(same) < F.max("tid").over(same))
-    met = met.withColumn("place", F.when(F.col("salt") > 0, F.row_number().over(same.orderBy("tid", "start"))))
-    met = written(met.where("several OR salt > 0"))
+    met = written(met.withColumn("place", F.row_number().over(same.orderBy("tid", "start"))))
     key = Window.partitionBy("key")
-    alone = met.where("salt > 0 AND (NOT several OR place = 1)")
-    alone = alone.withColumn("more", F.min("tid").over(key) < F.max("tid").over(key))
-    alone = alone.where("NOT several AND more")
+    alone = met.where("NOT several OR place = 1")
+    # a text may have a run twice, salted and not: a task with several texts has another one for sure
+    more = (F.min("tid").over(key) < F.max("tid").over(key)) | F.max("several").over(key)
+    alone = alone.withColumn("more", more).where("NOT several AND more")
     return met.where("several").select("tid", "start").union(alone.select("tid", "start"))
 
 

@@ -63,6 +63,25 @@ def test_spans_are_those_of_all_runs(spark, monkeypatch, seed):
     assert got(sparse_suffix.repeated_passages(docs, 25)) == brute(rows, 25)
 
 
+def test_runs_salted_in_one_text_only(spark, monkeypatch):
+    monkeypatch.setattr(sparse_suffix, "LOCAL_COUNT", 3)
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(5000)]
+
+    def words(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    rows = []
+    for k in range(40):
+        often, tail = words(rng.randrange(40, 50)), words(rng.randrange(10, 30))
+        for _ in range(5):
+            rows.append((len(rows), " ".join(words(20) + often + words(20))))
+        for _ in range(2):
+            rows.append((len(rows), " ".join(words(rng.choice([0, 1, 20])) + often + tail)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    assert got(sparse_suffix.repeated_passages(docs, 50)) == brute(rows, 50)
+
+
 def test_query_and_empty_table(spark):
     from chunkwell.llm.queries import REGISTRY
 
