@@ -35,6 +35,7 @@ from chunkwell.operators.search import (
     hit_schema,
     merge_winners,
     query_rows,
+    search_batch,
 )
 from chunkwell.session import written
 
@@ -42,8 +43,8 @@ from chunkwell.session import written
 MAX_BITS = 12
 DEFAULT_BITS = 8
 DEFAULT_TABLES = 1
-#: Share of the buckets a query probes unless told otherwise.
-DEFAULT_PROBE_SHARE = 0.125
+#: A query probes as many buckets as reach this recall on so many rows of the index, unless told otherwise.
+LEAST_RECALL, RECALL_ROWS = 0.9, 256
 
 #: Batches that a query table is cut into at most.
 MAX_BATCHES = 1 << 14
@@ -61,6 +62,7 @@ SPEC = T.StructType(
         T.StructField("folder", T.StringType()),
         T.StructField("columns", T.StringType()),
         T.StructField("version", T.LongType()),
+        T.StructField("probes", T.IntegerType()),
     ]
 )
 
@@ -154,6 +156,9 @@ def build_index(
     over several tasks. ``filter_columns`` can be filtered on before the search;
     they may be columns or fields of the metadata, an unknown one is an error.
 
+    The description also has the ``probes`` that searches use by default, measured by
+    :func:`enough_probes` on the rows written.
+
     Vectors go to a folder of their own; the description that names it is added
     last, and readers take the latest. A build that fails leaves the index as it was.
     """
@@ -170,12 +175,47 @@ def build_index(
         .parquet(f"{place}/{folder}")
     )
     filters = [field_name(c) for c in filter_columns]
+    held = spark.read.schema(rows.schema).parquet(f"{place}/{folder}")
+    probes = enough_probes(held, dims, tables, bits, seed, id_col, vector_col)
     spec = (collection_name, vector_col, dims, "cosine", tables, bits, seed, filters, folder,
-            rows.schema.json(), time.time_ns())
+            rows.schema.json(), time.time_ns(), probes)
     spark.createDataFrame([spec], SPEC).coalesce(1).write.mode("append").parquet(f"{place}/spec")
     return index_spec(spark, root, collection_name)
 
 
+def enough_probes(
+    index: DataFrame, dims: int, tables: int, bits: int, seed: int, id_col: str, vector_col: str
+) -> int:
+    """The fewest probes with recall ``LEAST_RECALL`` on a bounded sample, all buckets if none has it.
+
+    The sample is ``RECALL_ROWS`` rows of the index by a hash of their ids. Their
+    ``DEFAULT_LIMIT`` nearest other rows are found by brute force; a neighbour is found with
+    as many probes as its bucket comes in a query's order, in the best of its tables.
+    """
+    n_buckets = 1 << bits
+    rows = index.where("table_no = 0").select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(RECALL_ROWS).toArrow()
+    known, matrix = to_matrix(sample.column("vector").combine_chunks(), dims)
+    if not len(known):
+        return n_buckets
+    ids = [sample.column("id")[int(k)].as_py() for k in known]
+    asked = [(k, [float(x) for x in v]) for k, v in enumerate(matrix)]
+    asked = index.sparkSession.createDataFrame(asked, "query_id int, embedding array<double>")
+    hits = search_batch(rows, asked, DEFAULT_LIMIT + 1, id_col="id", vector_col="vector").select("query_id", "id")
+    where = index.select(F.col(id_col).alias("id"), "table_no", "bucket")
+    hits = where.join(F.broadcast(hits), "id").select("query_id", "id", "table_no", "bucket")
+    margins = matrix @ _planes(dims, tables, bits, seed).T
+    place = [np.argsort(_probe_order(margins, t, bits), axis=1) for t in range(tables)]
+    best: dict[tuple, int] = {}
+    for query, row, table, bucket in hits.collect():
+        if row != ids[query]:
+            best[query, row] = min(best.get((query, row), n_buckets), int(place[table][query, bucket]) + 1)
+    if not best:
+        return n_buckets
+    needed = np.sort(list(best.values()))
+    return int(needed[int(np.ceil(LEAST_RECALL * len(needed))) - 1])
+
+
 def index_spec(spark: SparkSession, root: str, collection_name: str) -> DataFrame:
     """The description of the latest build of an index, one row."""
     specs = spark.read.schema(SPEC).parquet(f"{root}/{collection_name}/spec")
@@ -198,19 +238,23 @@ def probe_mask(
     if not len(queries):
         return mask
     margins = queries.vectors @ _planes(dims, tables, bits, seed).T
-    bit_table = (np.arange(n_buckets)[:, None] >> np.arange(bits)) & 1
     for t in range(tables):
-        side = margins[:, t * bits : (t + 1) * bits]
-        doubt = side**2
-        # cost of a bucket: squared margins of all signs in which it differs
-        ones_cost = np.where(side >= 0, 0.0, doubt) @ bit_table.T
-        zeros_cost = np.where(side >= 0, doubt, 0.0) @ (1 - bit_table).T
-        cost = ones_cost + zeros_cost
-        nearest = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+        nearest = _probe_order(margins, t, bits)[:, :probes]
         np.put_along_axis(mask, nearest + t * n_buckets, True, axis=1)
     return mask
 
 
+def _probe_order(margins: np.ndarray, table: int, bits: int) -> np.ndarray:
+    """The buckets of a table in the order in which each query looks into them."""
+    bit_table = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    side = margins[:, table * bits : (table + 1) * bits]
+    doubt = side**2
+    # cost of a bucket: squared margins of all signs in which it differs
+    ones_cost = np.where(side >= 0, 0.0, doubt) @ bit_table.T
+    zeros_cost = np.where(side >= 0, doubt, 0.0) @ (1 - bit_table).T
+    return np.argsort(ones_cost + zeros_cost, axis=1, kind="stable")
+
+
 def search_ann(
     spark: SparkSession,
     root: str,
@@ -231,7 +275,8 @@ def search_ann(
     """Approximate top ``limit`` per query from the index of a collection.
 
     ``probes`` is the number of buckets per table a query looks into; with all
-    of them the result is exact. Every row found there is scored exactly and
+    of them the result is exact. By default it is the number that the build of the
+    index measured to reach a recall of ``LEAST_RECALL`` on a sample of its rows. Every row found there is scored exactly and
     there is no cap on candidates. The filter runs before the search and may
     use the index's filter columns. ``columns`` are fetched from ``collection``.
     """
@@ -244,7 +289,7 @@ def search_ann(
         raise ValueError("give the collection to fetch columns from")
     spec = index_spec(spark, root, collection_name).head()
     n_buckets = 1 << spec["bits"]
-    probes = max(1, int(n_buckets * DEFAULT_PROBE_SHARE)) if probes is None else probes
+    probes = (spec["probes"] or n_buckets) if probes is None else probes
     if not 1 <= probes <= n_buckets:
         raise ValueError(f"probes must be within 1 to {n_buckets}")
     asked = query_rows(

@@ -48,6 +48,31 @@ def test_recall_and_exact_scores(spark, clustered, new_dir, tables):
     assert index.groupBy("table_no").count().where("count = 1500").count() == tables
 
 
+def test_default_probes_reach_the_recall(spark, clustered, new_dir):
+    df, q = clustered
+    root = new_dir()
+    # few buckets do for clusters, most are needed without any structure
+    rng = np.random.default_rng(5)
+    flat = spark.createDataFrame(
+        [(i, p.tolist()) for i, p in enumerate(rng.normal(size=(1500, 16)))], "chunk_id int, embedding array<float>"
+    )
+    chosen = {}
+    for name, rows in (("clustered", df), ("flat", flat)):
+        chosen[name] = cw.build_index(rows, root, name, 16, bits=6).head().probes
+        asked = rows.where("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id") if name == "flat" else q
+        exact = pairs(cw.search_batch(rows, asked, 5))
+        found = pairs(cw.search_ann(spark, root, name, asked, 5))
+        assert len(found.keys() & exact.keys()) / len(exact) >= 0.9
+    assert chosen["clustered"] < chosen["flat"] <= 64
+
+
+def test_registered_query_reaches_the_recall(spark):
+    from checks.queries import REGISTRY
+
+    rows = REGISTRY["search_ann"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.recall for r in rows) / len(rows) >= 0.9
+
+
 def test_caller_fields_empty_indexes_and_wild_limits(spark, new_dir):
     root = new_dir()
     schema = "chunk_id string, embedding array<float>, metadata map<string,string>"
