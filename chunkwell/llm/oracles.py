@@ -107,3 +107,96 @@ WITH RECURSIVE p AS (
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN m.bad THEN 'block' ELSE 'allow' END) AS verdict, v.alias AS alias
 FROM v LEFT JOIN m ON v.alias = m.alias
 """
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (
+  SELECT doc, lang, source, unnest(terms) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+), v AS (
+  SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL
+), n AS (
+  SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0) + v.v) AS p,
+         1 + (1000000000::HUGEINT * (k.c + 1)) // (v.n + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM f
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES["op12_resampling"] = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k:
+           CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b::BIGINT)) AS steps
+), d AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), w AS (
+  SELECT doc, unnest(words) AS word FROM d
+), q AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), x AS (
+  SELECT word, hex(encode(word)) AS digits FROM (SELECT word FROM w UNION SELECT word FROM q)
+), y AS (
+  SELECT word, list_transform(range(len(digits) // 2), lambda k: ('0x' || substr(digits, 2 * k + 1, 2))::BIGINT) AS bytes
+  FROM x
+), b AS (
+  SELECT word, xor(list_reduce(bytes, lambda c, o: xor(c // 256, steps[xor(c % 256, o) + 1]), 4294967295), 4294967295)
+               % 10000 AS bucket
+  FROM y, crc
+), s AS (
+  SELECT bucket, count(*) AS s, sum(count(*)) OVER () AS total FROM w JOIN b USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM q JOIN b USING (word) GROUP BY bucket
+), g AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (s.total + 10000)::DOUBLE
+           / ((s.s + 1)::DOUBLE * ((SELECT count(*) FROM q) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), m AS (
+  SELECT doc, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM w JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc
+), e AS (
+  SELECT d.doc, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN m USING (doc)
+), f AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM e
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS able
+  FROM f
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank
+FROM r
+"""

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from chunkwell.llm import (
     decontaminate,
+    divergence,
     language,
     mixing,
     ngram_join,
     pii,
+    resampling,
     simhash,
     sparse_suffix,
     token_counts,
@@ -177,3 +179,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return counted.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id")
