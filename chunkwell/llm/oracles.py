@@ -200,3 +200,21 @@ SELECT doc_id, n_features, weight, score,
        CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank
 FROM r
 """
+
+ORACLES["op13_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digits FROM pages
+), d AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first,
+         list_transform(range(8), lambda k: ('0x' || substr(digits, 5 * k + 1, 5))::INT) AS parts
+  FROM p
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(parts, lambda x:
+         array_to_string(list_transform([32768, 1024, 32, 1], lambda u:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // u) % 32 + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       true AS intact
+FROM d
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,10 @@ from chunkwell.llm import (
     token_counts,
     toxicity,
     url_rules,
+    warc,
 )
 from chunkwell.llm.common import table
-from chunkwell.session import written
+from chunkwell.session import shared_dir, written
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -190,3 +192,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path).select(
+        warc.row_id("record_id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.row_id("refers_to").cast("bigint").alias("refers_to"),
+        "intact",
+    )
