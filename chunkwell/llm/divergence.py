@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,34 +42,24 @@ _STRIPE = "lang string, term binary, n_docs bigint, sources array<string>, count
 _FOUND = "lang string, source string, part string, item binary, value bigint, n_terms bigint"
 
 
-def _stripe_batches(stripes: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Batches of stripes given as ``(lang, term, n_docs, {source: count})``."""
-    rows: list[tuple] = []
-    for stripe in stripes:
-        rows.append(stripe)
-        if len(rows) >= BATCH_STRIPES:
-            yield _stripe_batch(rows)
-            rows = []
-    if rows:
-        yield _stripe_batch(rows)
-
-
-def _stripe_batch(rows: list[tuple]) -> pa.RecordBatch:
+def _stripe_batch(langs, terms, n_docs, sizes: np.ndarray, sources, counts) -> pa.RecordBatch:
+    """Stripes from flat columns; ``sizes`` says how many sources belong to each."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
     columns = [
-        pa.array([r[0] for r in rows], pa.string()),
-        pa.array([r[1] for r in rows], pa.binary()),
-        pa.array([r[2] for r in rows], pa.int64()),
-        pa.array([list(r[3]) for r in rows], pa.list_(pa.string())),
-        pa.array([list(r[3].values()) for r in rows], pa.list_(pa.int64())),
+        pa.array(langs, pa.string()),
+        pa.array(terms, pa.binary()),
+        pa.array(n_docs, pa.int64()),
+        pa.ListArray.from_arrays(offsets, pa.array(sources, pa.string())),
+        pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "n_docs", "sources", "counts"])
 
 
 class _Stripes:
-    """Stripes of a task: language to term to ``[documents, {source: count}]``."""
+    """Stripes of a task: language to term to ``{source: count}``, with the documents under ``0``."""
 
     def __init__(self) -> None:
-        self.langs: dict[str, dict[bytes, list]] = {}
+        self.langs: dict[str, dict[bytes, dict]] = {}
         self.entries = 0
 
     def fold(self, lang: str, source: str, data: bytes) -> None:
@@ -79,20 +70,28 @@ class _Stripes:
         for term, n in counted.items():
             stripe = stripes.get(term)
             if stripe is None:
-                stripe = stripes[term] = [0, {}]
+                stripes[term] = {0: 1, source: n}
+                self.entries += 1
+                continue
             stripe[0] += 1
-            held = stripe[1]
-            if source in held:
-                held[source] += n
+            if source in stripe:
+                stripe[source] += n
             else:
-                held[source] = n
+                stripe[source] = n
                 self.entries += 1
 
-    def take(self) -> Iterator[tuple]:
-        for lang, stripes in self.langs.items():
-            for term, (n_docs, held) in stripes.items():
-                yield lang, term, n_docs, held
-        self.langs, self.entries = {}, 0
+    def take(self) -> Iterator[pa.RecordBatch]:
+        """All stripes in batches; none are left."""
+        while self.langs:
+            lang, stripes = self.langs.popitem()
+            rows = iter(stripes.items())
+            while part := list(islice(rows, BATCH_STRIPES)):
+                terms, held = zip(*part)
+                n_docs = [stripe.pop(0) for stripe in held]
+                sizes = np.fromiter(map(len, held), np.int64, len(held))
+                counts = list(chain.from_iterable(stripe.values() for stripe in held))
+                yield _stripe_batch([lang] * len(part), terms, n_docs, sizes, list(chain.from_iterable(held)), counts)
+        self.entries = 0
 
 
 def _folded_stripes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,24 +101,87 @@ def _folded_stripes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for lang, source, data in zip(langs, sources, folded(batch.column(2))):
             stripes.fold(lang, source, data)
             if stripes.entries >= SPILL_ENTRIES:
-                yield from _stripe_batches(stripes.take())
-    yield from _stripe_batches(stripes.take())
+                yield from stripes.take()
+    yield from stripes.take()
+
+
+class _Flat:
+    """Columns of stripes with their lists flat, so that stripes are merged array by array."""
+
+    def __init__(self, langs, terms, n_docs: np.ndarray, sizes: np.ndarray, sources, counts: np.ndarray):
+        self.langs, self.terms, self.n_docs = langs, terms, n_docs
+        self.sizes, self.sources, self.counts = sizes, sources, counts
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Flat:
+        sources = batch.column(3)
+        return cls(
+            batch.column(0).cast(pa.string()),
+            batch.column(1).cast(pa.binary()),
+            batch.column(2).to_numpy(zero_copy_only=False),
+            pc.list_value_length(sources).to_numpy(zero_copy_only=False).astype(np.int64),
+            pc.list_flatten(sources).cast(pa.string()),
+            pc.list_flatten(batch.column(4)).to_numpy(zero_copy_only=False),
+        )
+
+    def then(self, other: _Flat) -> _Flat:
+        return _Flat(
+            pa.concat_arrays([self.langs, other.langs]),
+            pa.concat_arrays([self.terms, other.terms]),
+            np.concatenate([self.n_docs, other.n_docs]),
+            np.concatenate([self.sizes, other.sizes]),
+            pa.concat_arrays([self.sources, other.sources]),
+            np.concatenate([self.counts, other.counts]),
+        )
+
+    def merged(self) -> _Flat:
+        """One stripe per run of the same language and term."""
+        n = len(self.terms)
+        other = pc.or_(
+            pc.not_equal(self.terms.slice(1), self.terms.slice(0, n - 1)),
+            pc.not_equal(self.langs.slice(1), self.langs.slice(0, n - 1)),
+        )
+        run = np.concatenate([[0], np.cumsum(other.to_numpy(zero_copy_only=False).astype(np.int64))])
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        coded = self.sources.dictionary_encode()
+        names = len(coded.dictionary) or 1
+        key = np.repeat(run, self.sizes) * names + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return _Flat(
+            self.langs.take(pa.array(starts)),
+            self.terms.take(pa.array(starts)),
+            np.add.reduceat(self.n_docs, starts),
+            np.bincount(key[first] // names, minlength=len(starts)),
+            coded.dictionary.take(pa.array(key[first] % names)),
+            np.add.reduceat(self.counts[order], first),
+        )
+
+    def split(self, at: int) -> tuple[_Flat, _Flat]:
+        """The stripes before a place and from it on."""
+        cut = int(self.sizes[:at].sum())
+        columns = (self.langs, self.terms, self.n_docs, self.sizes), (self.sources, self.counts)
+        parts = []
+        for rows, entries in ((slice(None, at), slice(None, cut)), (slice(at, None), slice(cut, None))):
+            head, tail = [c[rows] for c in columns[0]], [c[entries] for c in columns[1]]
+            parts.append(_Flat(*head, *tail))
+        return parts[0], parts[1]
+
+    def batch(self) -> pa.RecordBatch:
+        return _stripe_batch(self.langs, self.terms, self.n_docs, self.sizes, self.sources, self.counts)
 
 
-def _merged(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Stripes of rows that are sorted by language and term; holds one stripe at a time."""
-    key, n_docs, held = None, 0, {}
+def _merged(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges rows that are sorted by language and term; of the last stripe more may come."""
+    last = None
     for batch in stream:
-        for lang, term, n, sources, counts in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if (lang, term) != key:
-                if key is not None:
-                    yield *key, n_docs, held
-                key, n_docs, held = (lang, term), 0, {}
-            n_docs += n
-            for source, count in zip(sources, counts):
-                held[source] = held.get(source, 0) + count
-    if key is not None:
-        yield *key, n_docs, held
+        if batch.num_rows:
+            flat = _Flat.of(batch)
+            whole, last = (last.then(flat) if last else flat).merged().split(-1)
+            yield whole.batch()
+    if last:
+        yield last.batch()
 
 
 def term_stripes(
@@ -137,7 +199,7 @@ def term_stripes(
     rows = docs.select(*[F.coalesce(F.col(c), blank).alias(c) for c in (lang_col, source_col, text_col)])
     partial = rows.mapInArrow(_folded_stripes, _STRIPE)
     sorted_rows = partial.repartition("lang", "term").sortWithinPartitions("lang", "term")
-    return sorted_rows.mapInArrow(lambda stream: _stripe_batches(_merged(stream)), _STRIPE)
+    return sorted_rows.mapInArrow(_merged, _STRIPE)
 
 
 def share(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
