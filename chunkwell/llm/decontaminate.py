@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,18 @@ SLICE = 1 << 20
 _FILTER_BITS = 20
 _PIECE = 1 << 18
 _SHORT = 4
-_NOT_WORDS = re.compile(r"[\W_]+")
+_WORDS = re.compile(r"[^\W_]+")
+#: An item is searched in segments whose windows begin within so many characters.
+SEGMENT = 1 << 10
+#: Pairs of a place in a text and a place in an item that are held at a time.
+ENTRIES = 1 << 17
+#: Windows whose short grams a task remembers.
+_REMEMBERED = 20_000
 
 
 def normal(text: str) -> str:
     """Letters and digits in lower case, with one blank where anything else stood."""
-    return _NOT_WORDS.sub(" ", text.lower()).strip()
+    return " ".join(_WORDS.findall(text.lower()))
 
 
 def grams(text: str) -> np.ndarray:
@@ -58,7 +65,7 @@ def grams(text: str) -> np.ndarray:
 class Index:
     """Windows, and the q-grams of the texts they are cut from, sorted by hash.
 
-    ``first`` has the number of each text's first window, and of all windows at its end;
+    The texts are segments of items. ``first`` has the number of each text's first window, and of all windows at its end;
     a window's q-grams have the places ``within`` to ``until`` of its text; ``step``, ``fewest`` and ``span`` are the
     most edits and 1, the least q-grams and their farthest places over a text's windows.
     """
@@ -77,6 +84,12 @@ class Index:
     text_of: np.ndarray
     place_of: np.ndarray
     seen: np.ndarray
+    shorts: dict
+
+    @property
+    def widest(self) -> int:
+        """One more than the last place of any text."""
+        return int(self.place_of.max()) + 1
 
 
 def cuts(text: str) -> list[tuple[int, int]]:
@@ -102,12 +115,15 @@ def make_index(items: list[tuple[object, str]]) -> Index:
         text = normal(text or "")
         if len(text) < Q:
             continue
-        found = [(a, b) for a, b in cuts(text) if b - a >= Q]
-        ids += [item] * len(found)
-        windows += [text[a:b] for a, b in found]
-        within += [a for a, _ in found]
-        first.append(len(windows))
-        parts.append(grams(text))
+        found = sorted((a, b) for a, b in cuts(text) if b - a >= Q)
+        for _, segment in groupby(found, lambda cut: cut[0] // SEGMENT):
+            held = list(segment)
+            begin = held[0][0]
+            ids += [item] * len(held)
+            windows += [text[a:b] for a, b in held]
+            within += [a - begin for a, _ in held]
+            first.append(len(windows))
+            parts.append(grams(text[begin : max(b for _, b in held)]))
     sizes = np.array([len(w) for w in windows], dtype=np.int64)
     # short windows: no more edits than the lemma can still see
     edits = np.minimum((EDITS * sizes).astype(np.int64), sizes // Q - 1).clip(0)
@@ -126,23 +142,28 @@ def make_index(items: list[tuple[object, str]]) -> Index:
     seen[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
     return Index(
         ids, windows, edits, least, within, within + sizes + 1 - Q, np.array(first), step, fewest, span,
-        hashes[order], owner[order], place[order], seen,
+        hashes[order], owner[order], place[order], seen, {},
     )
 
 
-def aligned(window: str, region: str, edits: int) -> int | None:
+def short_grams(text: str) -> list[str]:
+    return [text[k : k + _SHORT] for k in range(len(text) + 1 - _SHORT)]
+
+
+def aligned(window: str, region: str, edits: int, shorts: list[str] | None = None) -> int | None:
     """The least edits with which the window stands somewhere in the region, None beyond ``edits``.
 
     A column of differences per character of the region, held as the bits of two numbers
-    (Myers, 1999, as put by Hyyrö); free at both ends of the region.
+    (Myers, 1999, as put by Hyyrö); free at both ends of the region. ``shorts`` are the
+    window's :func:`short_grams`, if known.
     """
     if window in region:
         return 0
     if not edits:
         return None
     # the lemma again, with shorter grams wherever they stand in the region
-    held = {region[k : k + _SHORT] for k in range(len(region) + 1 - _SHORT)}
-    shared = sum(window[k : k + _SHORT] in held for k in range(len(window) + 1 - _SHORT))
+    held = set(short_grams(region))
+    shared = sum(map(held.__contains__, short_grams(window) if shorts is None else shorts))
     if shared < len(window) + 1 - _SHORT * (edits + 1):
         return None
     places: dict[str, int] = {}
@@ -173,61 +194,106 @@ def leaks(text: str, index: Index) -> dict[object, int]:
         return found
     # pieces overlap by more than the longest region
     for at in range(0, max(1, len(text) - 2 * WINDOW), _PIECE):
-        part = text[at : at + _PIECE + 4 * WINDOW]
-        hashes = grams(part)
-        near = np.flatnonzero(index.seen[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        low = np.searchsorted(index.hashes, hashes[near], "left")
-        many = np.searchsorted(index.hashes, hashes[near], "right") - low
-        total = int(many.sum())
-        if not total:
-            continue
-        entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
-        owner, place = index.text_of[entry], index.place_of[entry]
-        widest = int(index.place_of.max()) + 1
-        band = (np.repeat(near, many) - place + widest) // index.step[owner] + 1
-        wide = np.int64(len(part) + widest + 2)
-        key = owner * wide + band
-        # most are chance: pairs of bands with too few, counted with whatever shares their slot, go
-        mask = (1 << int(total).bit_length() + 2) - 1
-        count = np.bincount(key & mask, minlength=mask + 1)
-        beside = np.maximum(count[(key - 1) & mask], count[(key + 1) & mask])
-        rest = count[key & mask] + beside >= index.fewest[owner]
-        key, place = key[rest], place[rest]
-        # a q-gram of an item counts once in a band, however often the text repeats it
-        key = np.concatenate([key, key - 1])
-        spot = np.concatenate([place, place])
-        order = np.lexsort((spot, key))
-        key, spot = key[order], spot[order]
-        once = np.ones(len(key), bool)
-        once[1:] = (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])
-        key, spot = key[once], spot[once]
-        # enough of them as close together as a window is long
-        owner = key // wide
-        last = np.arange(len(key)) + index.fewest[owner] - 1
-        full = last < len(key)
-        last = last[full]
-        full[full] = (key[last] == key[full]) & (spot[last] - spot[full] <= index.span[owner[full]])
-        for k in np.unique(key[full]):
-            _align(index, part, *divmod(int(k), int(wide)), widest, spot[slice(*np.searchsorted(key, [k, k + 1]))], found)
+        _look(index, text[at : at + _PIECE + 4 * WINDOW], found)
     return found
 
 
-def _align(
-    index: Index, part: str, owner: int, band: int, widest: int, spots: np.ndarray, found: dict[object, int]
+def _look(index: Index, part: str, found: dict[object, int]) -> None:
+    """Adds the items of which a window stands in a part of a text.
+
+    A part whose q-grams have too many places, as a run of one character has, is halved, and
+    if it is short taken segment by segment; items found without edits are done.
+    """
+    hashes = grams(part)
+    near = np.flatnonzero(index.seen[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+    low = np.searchsorted(index.hashes, hashes[near], "left")
+    many = np.searchsorted(index.hashes, hashes[near], "right") - low
+    total = int(many.sum())
+    if total < index.fewest.min():
+        return
+    if total <= ENTRIES:
+        _count(index, part, near, low, many, found)
+    elif len(part) > 16 * WINDOW:
+        half = len(part) // 2
+        _look(index, part[: half + 2 * WINDOW], found)
+        _look(index, part[half - 2 * WINDOW :], found)
+    else:
+        # places of a q-gram are in the order of their texts
+        each, at = np.unique(low[many > 0], return_index=True)
+        ends = each + many[many > 0][at]
+        texts = np.unique(np.concatenate([index.text_of[a:b] for a, b in zip(each, ends)]))
+        of = np.minimum(np.searchsorted(each, low), len(each) - 1)
+        for text in texts.tolist():
+            if found.get(index.items[index.first[text]]) == 0:
+                continue
+            mine = [a + np.searchsorted(index.text_of[a:b], [text, text + 1]) for a, b in zip(each, ends)]
+            mine = np.array(mine)[of]
+            mine[many == 0] = 0
+            _count(index, part, near, mine[:, 0], mine[:, 1] - mine[:, 0], found)
+
+
+def _count(
+    index: Index, part: str, near: np.ndarray, low: np.ndarray, many: np.ndarray, found: dict[object, int]
 ) -> None:
-    """Aligns the windows of an item that have enough q-grams at ``spots`` of the band."""
-    first, end = int(index.first[owner]), int(index.first[owner + 1])
-    item, step = index.items[first], int(index.step[owner])
-    held = np.searchsorted(spots, index.until[first:end]) - np.searchsorted(spots, index.within[first:end])
-    enough = np.flatnonzero(held >= index.least[first:end])
+    """Aligns windows with enough q-grams in a band of diagonals.
+
+    The q-gram at place ``near`` of the part is the index's entries from ``low``, ``many`` of them.
+    """
+    total = int(many.sum())
+    entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
+    owner, place, near = index.text_of[entry], index.place_of[entry], np.repeat(near, many)
+    if 0 in found.values():
+        done = [text for text in np.unique(owner).tolist() if found.get(index.items[index.first[text]]) == 0]
+        rest = ~np.isin(owner, done)
+        owner, place, near = owner[rest], place[rest], near[rest]
+    widest = index.widest
+    band = (near - place + widest) // index.step[owner] + 1
+    wide = np.int64(len(part) + widest + 2)
+    key = owner * wide + band
+    # most are chance: pairs of bands with too few, counted with whatever shares their slot, go
+    mask = (1 << int(total).bit_length() + 2) - 1
+    count = np.bincount(key & mask, minlength=mask + 1)
+    beside = np.maximum(count[(key - 1) & mask], count[(key + 1) & mask])
+    rest = count[key & mask] + beside >= index.fewest[owner]
+    key, place = key[rest], place[rest]
+    # a q-gram of an item counts once in a band, however often the text repeats it
+    key = np.concatenate([key, key - 1])
+    spot = np.concatenate([place, place])
+    both = np.unique(key * np.int64(widest + 1) + spot)
+    key, spot = np.divmod(both, widest + 1)
+    # enough of them as close together as a window is long
+    owner = key // wide
+    last = np.arange(len(key)) + index.fewest[owner] - 1
+    full = last < len(key)
+    last = last[full]
+    full[full] = (key[last] == key[full]) & (spot[last] - spot[full] <= index.span[owner[full]])
+    if not full.any():
+        return
+    # every window of the texts of those bands: how many of its q-grams stand there
+    keys = np.unique(key[full])
+    owner = keys // wide
+    windows = index.first[owner + 1] - index.first[owner]
+    number = np.repeat(index.first[owner] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
+    number += np.arange(len(number))
+    base = np.repeat(keys, windows) * np.int64(widest + 1)
+    held = np.searchsorted(both, base + index.until[number]) - np.searchsorted(both, base + index.within[number])
+    enough = np.flatnonzero(held >= index.least[number])
     # those with most q-grams first: after one without edits the others change nothing
-    for w in enough[np.argsort(-held[enough])] + first:
+    enough = enough[np.argsort(-held[enough], kind="stable")]
+    bands = np.repeat(keys % wide, windows)[enough].tolist()
+    steps = np.repeat(index.step[owner], windows)[enough].tolist()
+    for w, band, step in zip(number[enough].tolist(), bands, steps):
+        item = index.items[w]
         if found.get(item) == 0:
-            return
+            continue
         k, window = int(index.edits[w]), index.windows[w]
         start = (band - 1) * step - widest + int(index.within[w]) - k
         stop = start + k + 2 * step + len(window) + k
-        edits = aligned(window, part[max(0, start) : max(0, stop)], k)
+        if w not in index.shorts:
+            if len(index.shorts) >= _REMEMBERED:
+                index.shorts.clear()
+            index.shorts[w] = short_grams(window)
+        edits = aligned(window, part[max(0, start) : max(0, stop)], k, index.shorts[w])
         if edits is not None:
             found[item] = min(edits, found.get(item, edits))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 from chunkwell.llm import decontaminate as dc
 from chunkwell.llm.queries import REGISTRY
@@ -98,3 +99,41 @@ def test_passages_at_any_offset_are_found():
     # half of the words in a row are no leak
     tokens = items[0][1].split()
     assert dc.leaks(f"{words(rng, 30)} {' '.join(tokens[3:9])} {words(rng, 30)}", index) == {}
+
+
+def test_long_items_are_cut_into_segments(monkeypatch):
+    rng = random.Random(8)
+    items = [(k, words(rng, 400)) for k in range(4)]
+    docs = []
+    for _ in range(60):
+        item, text = items[rng.randrange(4)]
+        tokens = text.split()
+        at = rng.randrange(len(tokens) - 15)
+        docs.append((item, f"{words(rng, 30)} {' '.join(tokens[at : at + 15])} {words(rng, 30)}"))
+    whole = dc.make_index(items)
+    monkeypatch.setattr(dc, "SEGMENT", 150)
+    cut = dc.make_index(items)
+    assert len(cut.first) > 4 * len(whole.first) and sorted(cut.windows) == sorted(whole.windows)
+    for item, doc in docs:
+        assert dc.leaks(doc, cut) == dc.leaks(doc, whole) == {item: 0}
+
+
+def test_few_entries_at_a_time_give_the_same(monkeypatch):
+    rng = random.Random(9)
+    items = [(k, words(rng, 30)) for k in range(6)] + [(50, "la " * 80), (51, "a" * 300)]
+    index = dc.make_index(items)
+    docs = [words(rng, 400) + " " + edited(rng, items[k % 6][1], k % 5) + " " + "la " * (k * 7) + words(rng, 300) for k in range(20)]
+    wanted = [dc.leaks(d, index) for d in docs]
+    monkeypatch.setattr(dc, "ENTRIES", 30)
+    assert [dc.leaks(d, index) for d in docs] == wanted
+
+
+def test_runs_of_one_character_need_little_memory():
+    index = dc.make_index([(1, "0 " * 4_000), (2, "0" * 3_000), (3, "1 " * 200 + "0 1 " * 100)])
+    tracemalloc.start()
+    assert dc.leaks("0 " * 5_000, index) == {1: 0}
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert dc.leaks("0 " * 40_000, index) == {1: 0}
+    assert dc.leaks("0" * 1_000_000, index) == {2: 0}
+    assert dc.leaks("0 1 " * 20_000, index) == {3: 0}
