@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from chunkwell.llm.common import slices, texts_of
 from chunkwell.llm.components import connected_components
+from chunkwell.llm.membership import split_by_keys
 from chunkwell.llm.words import WordHasher, ngrams, set_key
 from chunkwell.session import written
 
@@ -388,7 +389,10 @@ def block_links(held: list[tuple[int, int, np.ndarray]], percent: int) -> list[t
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(sig, elements)``: the sorted sets of the wanted documents ``(sig, id, tid)``."""
+    """``(sig, elements)``: the sorted sets of the wanted documents ``(sig, id, tid)``.
+
+    Only texts that can be wanted are moved, so ``wanted`` should be a written table.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
@@ -398,8 +402,9 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array(made, pa.binary())], names=["sig", "elements"]
             )
 
-    same = docs["id"].eqNullSafe(wanted["id"]) & (docs["tid"] == wanted["tid"])
-    found = docs.join(wanted, same).select("sig", "text")
+    near, _ = split_by_keys(docs, wanted.select("id", "tid"), ["id", "tid"])
+    same = near["id"].eqNullSafe(wanted["id"]) & (near["tid"] == wanted["tid"])
+    found = near.join(wanted.hint("merge"), same).select("sig", "text")
     return found.mapInArrow(run, "sig bigint, elements binary")
 
 
@@ -459,7 +464,7 @@ def jaccard_members(
     lists = written(lists.select("sig", "element", "leader", "n"))
 
     wanted = lists.select("sig").union(lists.select("leader")).distinct()
-    wanted = nodes.join(wanted, "sig", "left_semi").select("sig", "one.id", "one.tid")
+    wanted = written(nodes.join(wanted, "sig", "left_semi").select("sig", "one.id", "one.tid"))
     sets = written(stored_sets(rows, wanted, width))
 
     leaders = lists.where("leader != sig").groupBy("sig", "leader").agg(F.count(F.lit(1)).alias("k"))
