@@ -12,21 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwell.llm import decontaminate, language, mixing, ngram_join, pii
+from chunkwell.llm.membership import split_by_keys
 from chunkwell.session import shared_dir, written
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents that are not among ``gone``, rows of ``(id, tid)``.
+def _key() -> list:
+    """What a row is told by: its id and its text's hash."""
+    return [F.col("doc_id"), F.xxhash64("text")]
+
+
+def _meet(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of documents that are (or, ``left_anti``, are not) among keys ``(id, tid)``."""
+    names = [f"key_{uuid.uuid4().hex}" for _ in range(2)]  # no column of the documents
+    named = keys.toDF(*names).hint("merge")
+    mine = [own.eqNullSafe(F.col(name)) for own, name in zip(_key(), names)]
+    return docs.join(named, mine[0] & mine[1], how)
 
-    ``gone`` is written first: while it is small Spark sends it to the tasks and leaves
-    the texts where they are.
-    """
-    same = docs["doc_id"].eqNullSafe(gone["id"]) & (_text_key() == gone["tid"])
-    return docs.join(gone, same, "left_anti")
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents that are not among ``gone``, a written table of ``(id, tid)``.
 
-def _text_key():
-    return F.xxhash64("text")
+    Texts stay where they are, but for those that a filter of ``gone`` knows.
+    """
+    near, rest = split_by_keys(docs, gone, _key())
+    return rest.union(_meet(near, gone, "left_anti"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit_languages(docs)
     rows = docs.select(
         F.col("doc_id").alias("id"),
-        _text_key().alias("tid"),
+        F.xxhash64("text").alias("tid"),
         F.col("source").alias("host"),
         F.lit(None).cast("string").alias("suffix"),
         F.col("lang").alias("declared"),
@@ -58,14 +67,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = found.groupBy("component").agg(F.min(row).alias("first"))
     gone = found.join(first, "component").where(row != F.col("first")).select("id", "tid").distinct()
     gone = written(gone)
-    # the same row may stand there several times
-    twice = found.groupBy("id", "tid").count().where("count > 1").select("id", "tid")
-    twice = written(twice)
     kept = _without(docs, gone)
-    same = kept["doc_id"].eqNullSafe(twice["id"]) & (_text_key() == twice["tid"])
-    once = kept.join(twice, same, "left_semi").withColumn("tid", _text_key())
-    once = once.dropDuplicates(["doc_id", "tid"]).select(*docs.columns)
-    return _without(kept, twice).union(once)
+    # the same row may stand there several times
+    twice = written(found.groupBy("id", "tid").count().where("count > 1").select("id", "tid"))
+    if twice.isEmpty():
+        return kept
+    near, rest = split_by_keys(kept, twice, _key())
+    tid = f"key_{uuid.uuid4().hex}"
+    once = _meet(near, twice, "left_semi").withColumn(tid, F.xxhash64("text"))
+    once = once.dropDuplicates(["doc_id", tid]).select(*docs.columns)
+    return rest.union(_meet(near, twice, "left_anti")).union(once)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
