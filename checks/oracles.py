@@ -447,6 +447,24 @@ SELECT s.doc_id, chunk_index::BIGINT AS chunk_index, content, element_type, tota
        strlen(d.text)::BIGINT AS file_size, s.doc_id || '.txt' AS source_file, lang,
        count(*) OVER () AS chunks_stored
 FROM stored s JOIN documents d USING (doc_id)""",
+    "ingest_partial": f"""WITH RECURSIVE {_packed(True)},
+judged AS (
+  SELECT doc_id, chunk_index,
+         CASE WHEN length(content) % 5 = 0 THEN 'ValueError: length'
+              WHEN length(content) % 7 = 0 THEN 'no embedding' END AS cause
+  FROM chunks),
+counted AS (
+  SELECT doc_id, count(*) AS made, count(*) FILTER (WHERE cause IS NULL) AS stored,
+         arg_min(cause, chunk_index) FILTER (WHERE cause IS NOT NULL) AS cause
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(made, 0) AS chunks_made, coalesce(stored, 0) AS chunks_stored,
+       coalesce(made - stored, 0) AS chunks_lost,
+       CASE WHEN stored < made THEN 'embedding count differs from chunk count'
+            WHEN made > 0 THEN 'stored' ELSE 'no content' END AS status,
+       c.cause,
+       CASE WHEN stored < made THEN 'stored' WHEN made > 0 THEN 'skipped' ELSE 'no content' END AS "then",
+       coalesce(made, 0) AS chunks_held
+FROM documents d LEFT JOIN counted c USING (doc_id)""",
     "search_documents": f"""WITH RECURSIVE {_ranked_chunks(5, 0.7)}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id,
        round(score, 6) AS similarity_score, {_SCORE_TEXT} AS score,

@@ -25,6 +25,7 @@ from checks.tables import (
 )
 from chunkwell.operators.ann import index_rows, read_index
 from chunkwell.plans.search import ranked_chunks
+from chunkwell.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -651,6 +652,41 @@ def ingest_documents(spark, sf_dir):
     )
 
 
+def _fails_at_times(batch: Sequence[str]) -> list[list[float] | None]:
+    if any(len(text) % 5 == 0 for text in batch):
+        raise ValueError("length")
+    return [None if len(text) % 7 == 0 else [1.0, float(len(text))] for text in batch]
+
+
+def _length_vectors(batch: Sequence[str]) -> list[list[float]]:
+    return [[1.0, float(len(text))] for text in batch]
+
+
+@query
+def ingest_partial(spark, sf_dir):
+    """A model that fails on some chunks, what becomes of each document, and a second ingest that mends it."""
+    root = fresh_dir(spark)
+    rows = documents(spark, sf_dir)
+    first = cw.ingest_documents(rows, root, CORPUS, fn=_fails_at_times)
+    report = first["summary"]
+    lost = cw.read_lost(spark, root, CORPUS).groupBy("document_url").agg(F.count(F.lit(1)).alias("chunks_lost"))
+    lost = written(report.join(lost.withColumnRenamed("document_url", "doc_uri"), "doc_uri", "left"))
+    second = cw.ingest_documents(rows, root, CORPUS, fn=_length_vectors, mode="skip_existing")
+    mended = second["summary"].select("doc_uri", F.col("status").alias("then"))
+    held = cw.read_collection(spark, root, CORPUS).groupBy(F.col("document_url").alias("doc_uri"))
+    held = held.agg(F.count(F.lit(1)).alias("chunks_held"))
+    return lost.join(mended, "doc_uri").join(held, "doc_uri", "left").select(
+        doc_number("doc_uri"),
+        "chunks_made",
+        "chunks_stored",
+        F.coalesce("chunks_lost", F.lit(0)).alias("chunks_lost"),
+        "status",
+        "cause",
+        "then",
+        F.coalesce("chunks_held", F.lit(0)).alias("chunks_held"),
+    )
+
+
 @query
 def search_documents(spark, sf_dir):
     found = cw.search_documents(

@@ -61,9 +61,11 @@ from chunkwell.sources.collections import (  # noqa: E402
     list_collections,
     read_all,
     read_collection,
+    read_lost,
     storage_stats,
     store_chunks,
 )
+from chunkwell.sources.commits import remove_unfinished  # noqa: E402
 from chunkwell.sources.documents import (  # noqa: E402
     documents_from_table,
     read_documents,
@@ -114,6 +116,8 @@ __all__ = [
     "query_contract",
     "read_all",
     "read_collection",
+    "read_lost",
+    "remove_unfinished",
     "read_documents",
     "read_records",
     "route_collection",

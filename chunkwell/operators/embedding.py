@@ -21,6 +21,9 @@ BATCH_SIZE = 100
 
 Model = Callable[[Sequence[str]], Sequence]
 
+#: Why a row has no vector that can be searched, and how much of an exception is kept.
+NO_VECTOR, NOT_USABLE, CAUSE_CHARS = "no embedding", "zero or not finite", 500
+
 
 def cleaned(text: Column, max_chars: int | None = None) -> Column:
     """What a model gets to see: stripped, and NULL if nothing is left; cut only if asked."""
@@ -83,6 +86,35 @@ def _run_batches(
         yield pack(results)
 
 
+def _causes(
+    batches: Iterator[pa.Array], load: Callable[[], Model], batch_size: int
+) -> Iterator[pa.Array]:
+    """As :func:`_run_batches`, for a model that may fail: vectors with the cause of those missing.
+
+    A call that fails is repeated text by text, so that only texts the model cannot take
+    are without a vector.
+    """
+
+    def call(model: Model, texts: list[str]) -> list[tuple]:
+        try:
+            answers = list(model(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"the model returned {len(answers)} results for {len(texts)} texts")
+            return [(a, None) for a in answers]
+        except Exception as error:  # noqa: BLE001 - becomes the row's cause
+            if len(texts) > 1:
+                return [call(model, [t])[0] for t in texts]
+            return [(None, f"{type(error).__name__}: {error}"[:CAUSE_CHARS])]
+
+    def pack(answers: list) -> pa.Array:
+        pairs = [a if a is not None else (None, None) for a in answers]
+        vectors = _vectors([v for v, _ in pairs])
+        return pa.StructArray.from_arrays([vectors, pa.array([c for _, c in pairs], pa.string())], ["vector", "cause"])
+
+    model = load()
+    yield from _run_batches(batches, lambda: lambda texts: call(model, texts), batch_size, pack)
+
+
 def _loader(fn: Model | None, factory: Callable[[], Model] | None) -> Callable[[], Model]:
     if (fn is None) == (factory is None):
         raise ValueError("give either fn or factory")
@@ -104,6 +136,7 @@ def embed_texts(
     embedding_col: str = "embedding",
     keep_blank: bool = False,
     max_chars: int | None = None,
+    error_col: str | None = None,
 ) -> DataFrame:
     """Add one vector per row: ``fn(list of texts) -> list of vectors``.
 
@@ -112,15 +145,30 @@ def embed_texts(
     Give a ``factory`` instead of ``fn`` for a model that is costly to load; it
     is called once per task. Only the text column crosses into Python. Blank
     texts never reach the model; they are dropped, or kept with a NULL vector.
+
+    An exception of the model ends the job. With ``error_col`` it ends the row only: that
+    column says why a row has no usable vector, and is NULL where it has one.
     """
     _check_batch_size(batch_size)
     load = _loader(fn, factory)
+    rows = df if keep_blank else df.where(~is_blank(F.col(text_col)))
+    if error_col:
+        kind = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("cause", T.StringType())])
+
+        @F.arrow_udf(kind)
+        def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from _causes(texts, load, batch_size)
+
+        made = rows.withColumn("_made", judged.asNondeterministic()(cleaned(F.col(text_col), max_chars)))
+        vector = F.col("_made.vector")
+        cause = F.coalesce("_made.cause", F.when(vector.isNull(), NO_VECTOR).when(~usable(vector), NOT_USABLE))
+        keep = [c for c in rows.columns if c not in (embedding_col, error_col)]
+        return made.select(*keep, vector.alias(embedding_col), cause.alias(error_col))
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def vectors(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from _run_batches(texts, load, batch_size, _vectors)
 
-    rows = df if keep_blank else df.where(~is_blank(F.col(text_col)))
     # once per row, whatever filters follow: a model call is never duplicated
     once = vectors.asNondeterministic()
     return rows.withColumn(embedding_col, once(cleaned(F.col(text_col), max_chars)))

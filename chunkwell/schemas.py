@@ -31,7 +31,8 @@ DOCUMENTS = T.StructType(
 
 #: A stored chunk. System fields are typed columns, so they prune and push
 #: down; caller fields stay in the map. ``logical_size`` is kept so that
-#: statistics never have to read the content or the vectors.
+#: statistics never have to read the content or the vectors. The last two are
+#: partitions: the collection, and the attempt that wrote the row.
 COLLECTION = T.StructType(
     [
         T.StructField("chunk_id", T.StringType()),
@@ -55,6 +56,7 @@ COLLECTION = T.StructType(
         T.StructField("document_hash", T.LongType()),
         T.StructField("ingest_id", T.StringType()),
         T.StructField("collection_name", T.StringType()),
+        T.StructField("write_id", T.StringType()),
     ]
 )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from chunkwell.functions.metadata import merge_metadata, string_map
 from chunkwell.schemas import COLLECTION
 from chunkwell.session import path_exists
+from chunkwell.sources.commits import LOST, finish, finished_write, finished_writes, new_write
 
 _MODES = ("append", "skip_existing")
 
@@ -34,9 +36,13 @@ def collection_rows(
     source_metadata: Mapping[str, object] | None = None,
     ingest_id: str = "",
     row_ids: bool = True,
+    write_id: str = "",
 ) -> DataFrame:
     """Chunks with vectors in the stored layout; absent columns become NULL.
 
+    A row with an ``ingest_error`` is set aside: it goes to folders that no search
+    reads, with the error among its metadata.
+
     A chunk without an id gets one made of its collection, document, position,
     ingest and row, so every stored row has an id of its own, as in a store that
     hands out ids, even if a document comes twice. Ids are fixed by being written.
@@ -55,14 +61,21 @@ def collection_rows(
         ),
         256,
     )
+    metadata, write = merge_metadata(own, string_map(source_metadata)), F.lit(write_id)
+    if "ingest_error" in df.columns:
+        error = F.col("ingest_error")
+        noted = merge_metadata(metadata, F.create_map(F.lit("ingest_error"), error))
+        metadata = F.when(error.isNull(), metadata).otherwise(noted)
+        write = F.when(error.isNull(), write).otherwise(F.lit(LOST + write_id))
     given = {
         "chunk_id": F.coalesce(F.col("chunk_id"), new_id) if "chunk_id" in df.columns else new_id,
         "document_url": url,
-        "metadata": merge_metadata(own, string_map(source_metadata)),
+        "metadata": metadata,
         "processed_at": F.current_timestamp(),
         "logical_size": logical_size(df),
         "ingest_id": F.lit(ingest_id),
         "collection_name": name,
+        "write_id": write,
     }
     columns = []
     for field in COLLECTION.fields:
@@ -84,6 +97,7 @@ def store_chunks(
     *,
     mode: str = "append",
     ingest_id: str | None = None,
+    strict: bool = False,
 ) -> dict:
     """Append chunks with vectors to a collection and report what was stored.
 
@@ -91,51 +105,99 @@ def store_chunks(
     rows to many collections; they are rebalanced by name first, which splits a
     large collection over many tasks and keeps small ones in few files.
 
-    ``mode="skip_existing"`` leaves out documents of which the collection has a
-    chunk already, so versions never mix. ``inserted_ids`` is a lazy DataFrame.
-    Only the collection that is written is looked at, all of them if a column
-    routes rows.
+    The rows can be read from the moment a marker is created, after all files are in
+    place, so a reader sees all of them or none and a crash leaves nothing to be seen. An
+    ``ingest_id`` that is stored already is not stored again: its report comes back,
+    with ``already_stored``.
+
+    Rows with an ``ingest_error`` are set aside in the same write (see :func:`read_lost`);
+    with ``strict`` one of them is an error and nothing is stored.
+
+    ``mode="skip_existing"`` leaves out documents that the collection has: by address and
+    ``document_hash`` if the chunks have one, else by address, so versions never mix.
+    ``inserted_ids`` is a lazy DataFrame. Only the collection that is written is looked at, all
+    of them if a column routes rows.
     """
     if mode not in _MODES:
         raise ValueError(f"mode must be one of {_MODES}")
     spark = df.sparkSession
     ingest_id = ingest_id or uuid.uuid4().hex
-    rows = collection_rows(df, collection_name, source_metadata, ingest_id)
-    if mode == "skip_existing":
-        key = ["collection_name", "document_url"]
-        stored = read_target(spark, root, collection_name)
-        rows = rows.join(stored.select(*key).distinct(), key, "left_anti").select(
-            *[f.name for f in COLLECTION.fields]
+    done = finished_write(spark, root, ingest_id)
+    if done is None:
+        write_id = new_write(ingest_id)
+        rows = collection_rows(df, collection_name, source_metadata, ingest_id, write_id=write_id)
+        if mode == "skip_existing":
+            key = ["collection_name", "document_url"]
+            key += ["document_hash"] if "document_hash" in df.columns else []
+            stored = read_target(spark, root, collection_name)
+            rows = rows.join(stored.select(*key).distinct(), key, "left_anti").select(
+                *[f.name for f in COLLECTION.fields]
+            )
+        if isinstance(collection_name, Column):
+            rows = rows.hint("rebalance", "collection_name")
+        counted, kept = Observation(), F.col("write_id") == write_id
+        (
+            rows.observe(counted, F.count_if(kept).alias("stored"), F.count_if(~kept).alias("lost"))
+            .write.mode("append")
+            .partitionBy("collection_name", "write_id")
+            .parquet(root)
         )
-    if isinstance(collection_name, Column):
-        rows = rows.hint("rebalance", "collection_name")
-    counted = Observation()
-    (
-        rows.observe(counted, F.count(F.lit(1)).alias("rows"))
-        .write.mode("append")
-        .partitionBy("collection_name")
-        .parquet(root)
-    )
+        facts = {"ingest_id": ingest_id, "chunks_stored": counted.get["stored"], "chunks_lost": counted.get["lost"]}
+        if strict and facts["chunks_lost"]:
+            lost = _read(spark, root, root).where(F.col("write_id") == LOST + write_id)
+            first = lost.select("document_url", F.col("metadata")["ingest_error"]).head()
+            raise ValueError(f"{first[1]} for a chunk of {first[0]}")
+        finish(spark, root, write_id, facts)
+    else:
+        write_id, facts = done
     return {
         "success": True,
+        "already_stored": done is not None,
         "collection_name": collection_name if isinstance(collection_name, str) else None,
-        "chunks_stored": counted.get["rows"],
+        "chunks_stored": facts["chunks_stored"],
+        "chunks_lost": facts["chunks_lost"],
         "ingest_id": ingest_id,
-        "inserted_ids": read_target(spark, root, collection_name)
-        .where(F.col("ingest_id") == ingest_id)
-        .select("chunk_id"),
+        "write_id": write_id,
+        "inserted_ids": _read(spark, root, root).where(F.col("write_id") == write_id).select("chunk_id"),
     }
 
 
 def _read(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """All rows of a path, also of writes that are not finished."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], COLLECTION)
     return spark.read.schema(COLLECTION).option("basePath", root).parquet(path)
 
 
+def _read_finished(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """The rows of the writes that are finished now; later ones do not change the result."""
+    return _read(spark, root, path).where(F.col("write_id").isin(finished_writes(spark, root)))
+
+
 def read_all(spark: SparkSession, root: str) -> DataFrame:
     """All collections under a root; nothing stored yet is an empty table."""
-    return _read(spark, root, root)
+    return _read_finished(spark, root, root)
+
+
+def read_write(spark: SparkSession, root: str, write_id: str) -> DataFrame:
+    """What one finished write has stored and, with a ``cause``, what it has set aside."""
+    rows = _read(spark, root, root).where(F.col("write_id").isin(write_id, LOST + write_id))
+    cause = F.when(F.col("write_id") != write_id, F.col("metadata")["ingest_error"])
+    return rows.withColumn("cause", cause)
+
+
+def read_lost(spark: SparkSession, root: str, collection_name: str) -> DataFrame:
+    """The chunks of a collection that could not be stored, with a ``cause``.
+
+    A chunk that a later ingest has stored is no longer among them.
+    """
+    lost = [LOST + write for write in finished_writes(spark, root)]
+    rows = _read(spark, root, root).where(F.col("collection_name") == collection_name)
+    rows = rows.where(F.col("write_id").isin(lost)).withColumn("cause", F.col("metadata")["ingest_error"])
+    key = ["document_url", "document_hash", "chunk_index"]
+    stored = read_collection(spark, root, collection_name).select(*key)
+    same = reduce(lambda x, y: x & y, (rows[k].eqNullSafe(stored[k]) for k in key))
+    return rows.join(stored, same, "left_anti")
 
 
 def read_target(spark: SparkSession, root: str, collection_name: str | Column) -> DataFrame:
@@ -154,7 +216,7 @@ def read_collection(spark: SparkSession, root: str, collection_name: str) -> Dat
     path = root
     if PLAIN_NAME.fullmatch(collection_name):
         path = f"{root}/collection_name={collection_name}"
-    return _read(spark, root, path).where(F.col("collection_name") == collection_name)
+    return _read_finished(spark, root, path).where(F.col("collection_name") == collection_name)
 
 
 def list_collections(spark: SparkSession, root: str) -> DataFrame:

@@ -5,12 +5,10 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chunkwell.plans.ingest import ingest_documents
 from chunkwell.session import shared_dir
-from chunkwell.sources.collections import read_collection
 from chunkwell.sources.documents import TEXT_FILES, as_documents
 
 # The columns of Spark's binary file source.
@@ -32,10 +30,10 @@ def ingest_incremental(
 
     Files seen before are skipped thanks to the checkpoint. Every batch is stored
     as :func:`ingest_documents` would store it, in the same collection that batch
-    jobs write to, under an ingest id made of the checkpoint and the batch number;
-    the first batch after a start is left out if that id is stored already, so a
-    restart after a crash does not store it twice. ``options`` are those of
-    :func:`ingest_documents`, ``strict`` included.
+    jobs write to, under an ingest id made of the checkpoint and the batch number. A
+    batch counts as stored once its marker stands: one that comes again after a crash is
+    left out if it does, and else stored anew, while what the crash left is never
+    read. ``options`` are those of :func:`ingest_documents`.
     """
     if checkpoint is None:
         checkpoint = f"{shared_dir(spark)}/ingest-{collection_name}"
@@ -47,16 +45,9 @@ def ingest_incremental(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    started: list[int] = []
 
     def store(batch: DataFrame, batch_id: int) -> None:
         ingest_id = f"{stream}-{batch_id}"
-        first = not started
-        started.append(batch_id)
-        if first:
-            stored = read_collection(batch.sparkSession, root, collection_name)
-            if stored.where(F.col("ingest_id") == ingest_id).limit(1).count():
-                return
         ingest_documents(as_documents(batch), root, collection_name, ingest_id=ingest_id, **options)
 
     writer = reader.load(source).writeStream.foreachBatch(store)

@@ -68,15 +68,18 @@ def test_chunks_without_a_vector(spark, documents, new_dir):
         return [None if "Title" in t else [1.0] for t in texts]
 
     root = new_dir()
-    report = cw.ingest_documents(documents, root, "c", fn=no_titles, strict=False)
-    status = {r.doc_uri: r.status for r in report["summary"].collect()}
-    assert status["d/marks.txt"] == "embedding count differs from chunk count"
-    assert status["a/ml.txt"] == "stored"
+    report = cw.ingest_documents(documents, root, "c", fn=no_titles)
+    summary = {r.doc_uri: r for r in report["summary"].collect()}
+    assert summary["d/marks.txt"].status == "embedding count differs from chunk count"
+    assert summary["d/marks.txt"].cause == "no embedding" and report["chunks_lost"] == 1
+    assert summary["a/ml.txt"].status == "stored" and summary["a/ml.txt"].cause is None
+    [lost] = cw.read_lost(spark, root, "c").collect()
+    assert lost.document_url == "d/marks.txt" and "Title" in lost.content and lost.cause == "no embedding"
+    strict = new_dir()
     with pytest.raises(Exception, match="no embedding for a chunk of d/marks.txt"):
-        cw.ingest_documents(documents, new_dir(), "c", fn=no_titles)
-    again = cw.ingest_documents(
-        documents, root, "c", fn=lambda texts: [None] * len(texts), strict=False
-    )
+        cw.ingest_documents(documents, strict, "c", fn=no_titles, strict=True)
+    assert cw.read_collection(spark, strict, "c").count() == 0
+    again = cw.ingest_documents(documents, root, "c", fn=lambda texts: [None] * len(texts))
     got = {r.doc_uri: r for r in again["summary"].collect()}
     assert got["a/ml.txt"].status == "embedding count differs from chunk count"
     assert got["a/ml.txt"].chunks_made > 0 == got["a/ml.txt"].chunks_stored
@@ -119,6 +122,113 @@ def test_a_batch_of_a_stream_is_stored_once(spark, new_dir):
     assert cw.read_collection(spark, root, "c").count() == 1
 
 
+def test_a_half_stored_batch_comes_again_whole(spark, new_dir):
+    import shutil
+    from pathlib import Path
+
+    landing, root, state = new_dir(), new_dir(), new_dir()
+    texts = spark.createDataFrame([(f"text number {k}",) for k in range(3)], "value string")
+    texts.repartition(3).write.text(landing)
+    cw.ingest_incremental(spark, landing, root, "c", checkpoint=state).awaitTermination()
+    # the crash: files of one document in place, the marker not, the batch not committed
+    files = sorted(Path(root).glob("collection_name=c/*/*.parquet"))
+    assert len(files) == 3
+    for file in files[1:]:
+        file.unlink()
+    shutil.rmtree(f"{root}/_finished")
+    shutil.rmtree(f"{state}/commits")
+    assert cw.read_collection(spark, root, "c").count() == 0  # no reader sees half
+    cw.ingest_incremental(spark, landing, root, "c", checkpoint=state).awaitTermination()
+    rows = cw.read_collection(spark, root, "c")
+    assert sorted(r.content for r in rows.collect()) == [f"text number {k}" for k in range(3)]
+    assert len(cw.remove_unfinished(spark, root)) == 0  # too young
+    assert len(cw.remove_unfinished(spark, root, older_than=-60)) == 1
+    assert cw.read_collection(spark, root, "c").count() == 3
+    assert len(list(Path(root).glob("collection_name=c/*"))) == 1
+
+
+def test_an_ingest_is_stored_once_however_often_it_is_tried(spark, new_dir, documents):
+    import shutil
+    from pathlib import Path
+
+    root = new_dir()
+    first = cw.ingest_documents(documents, root, "c", ingest_id="monday")
+    again = cw.ingest_documents(documents, root, "c", ingest_id="monday")
+    assert again["already_stored"] and not first["already_stored"]
+    assert again["chunks_stored"] == first["chunks_stored"] == cw.read_collection(spark, root, "c").count()
+    assert {tuple(r) for r in again["summary"].collect()} == {tuple(r) for r in first["summary"].collect()}
+    # two attempts that both end: one of them counts
+    shutil.move(f"{root}/_finished", f"{root}/_aside")
+    cw.ingest_documents(documents, root, "c", ingest_id="monday")
+    for marker in Path(f"{root}/_aside").glob("[!.]*"):
+        shutil.copy(marker, f"{root}/_finished")
+    assert cw.read_collection(spark, root, "c").count() == first["chunks_stored"]
+    before = cw.read_collection(spark, root, "c")
+    cw.ingest_documents(documents, root, "c", ingest_id="tuesday")
+    assert before.count() == first["chunks_stored"]  # a reader keeps what it saw
+
+
+def test_incomplete_documents_are_mended(spark, new_dir):
+    long = "\n\n".join(f"Paragraph {k} has words enough to fill a chunk on its own." for k in range(4))
+    rows = spark.createDataFrame([("a", long), ("b", "sound text"), ("c", "also sound")], "doc_uri string, content string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def broken(texts):
+        return [None if "Paragraph 2" in t else [1.0, 2.0] for t in texts]
+
+    def sound(texts):
+        calls.add(len(texts))
+        return [[1.0, 2.0] for _ in texts]
+
+    root = new_dir()
+    options = {"max_chunk_size": 70, "chunk_overlap": 0, "mode": "skip_existing"}
+    first = cw.ingest_documents(rows, root, "c", fn=broken, **options)
+    assert (first["chunks_stored"], first["chunks_lost"]) == (5, 1)
+    more = rows.unionByName(spark.createDataFrame([("d", "new")], rows.schema))
+    report = cw.ingest_documents(more, root, "c", fn=sound, **options)
+    assert report["chunks_stored"] == calls.value == 2
+    got = {r.doc_uri: (r.chunks_made, r.status) for r in report["summary"].collect()}
+    assert got == {"a": (1, "stored"), "b": (0, "skipped"), "c": (0, "skipped"), "d": (1, "stored")}
+    stored = cw.read_collection(spark, root, "c").where("document_url = 'a'").collect()
+    assert sorted(r.chunk_index for r in stored) == [0, 1, 2, 3]
+    assert cw.read_lost(spark, root, "c").count() == 0
+    third = cw.ingest_documents(more, root, "c", fn=sound, **options)
+    assert third["chunks_stored"] == 0 and {r.status for r in third["summary"].collect()} == {"skipped"}
+
+
+def test_a_text_the_model_fails_on_fails_its_document_only(spark, new_dir):
+    def model(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("service said no")
+        return [[1.0] for _ in texts]
+
+    rows = [(f"d{k}", "bad text" if k == 3 else f"text {k}") for k in range(7)] + [("junk", "---"), ("blank", " ")]
+    docs = spark.createDataFrame(rows, "doc_uri string, content string").coalesce(1)
+    root = new_dir()
+    report = cw.ingest_documents(docs, root, "c", fn=model)
+    got = {r.doc_uri: (r.status, r.cause) for r in report["summary"].collect()}
+    assert got.pop("d3") == ("embedding count differs from chunk count", "RuntimeError: service said no")
+    assert got.pop("blank") == ("no content", None)
+    assert set(got.values()) == {("stored", None)}
+    # the default model has no vector for a text without letters or digits
+    report = cw.ingest_documents(docs, new_dir(), "c")
+    got = {r.doc_uri: r.cause for r in report["summary"].collect()}
+    assert got["junk"] == "no embedding" and report["chunks_stored"] == 7
+
+
+def test_skipping_moves_no_contents_of_known_documents(spark, new_dir, plan_of):
+    from chunkwell.plans.ingest import _by_state, document_states
+
+    docs = spark.createDataFrame([(f"d{k}", f"text {k} " * 50) for k in range(2_000)], "doc_uri string, content string")
+    root = new_dir()
+    cw.ingest_documents(docs.where("doc_uri < 'd5'"), root, "c", fn=lambda texts: [[1.0] for _ in texts])
+    stored = cw.read_collection(spark, root, "c")
+    states = document_states(docs, stored, "c")
+    fresh, partly, skipped = _by_state(docs, states, "c")
+    assert partly is None and fresh.count() + skipped.count() == 2_000
+    assert fresh.where("doc_uri < 'd5'").count() == 0
+
+
 @pytest.fixture(scope="module")
 def requests(spark):
     return spark.createDataFrame(
