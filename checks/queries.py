@@ -24,6 +24,7 @@ from checks.tables import (
     vectors,
 )
 from chunkwell.operators.ann import index_rows, read_index
+from chunkwell.operators.learned import read_learned_index
 from chunkwell.plans.search import ranked_chunks
 from chunkwell.session import written
 
@@ -432,6 +433,71 @@ def search_ann_all_buckets(spark, sf_dir):
     return _indexed(spark, sf_dir, 64)
 
 
+def _given_centres(spark, sf_dir):
+    rows = vectors(spark, sf_dir).where("vec_id < 16").orderBy("vec_id").select("embedding")
+    return [r[0] for r in rows.collect()]
+
+
+def _with_given_centres(spark, sf_dir):
+    root = fresh_dir(spark)
+    cw.build_learned_index(
+        vectors(spark, sf_dir), root, "vectors", 64, centroids=_given_centres(spark, sf_dir), id_col="vec_id",
+        filter_columns=["label"],
+    )
+    return root
+
+
+@query
+def search_learned(spark, sf_dir):
+    """Four of sixteen lists, whose centres are vectors of the table."""
+    root = _with_given_centres(spark, sf_dir)
+    return cw.search_learned(spark, root, "vectors", vector_queries(spark, sf_dir), 5, 0.6, probes=4)
+
+
+@query
+def build_learned_index(spark, sf_dir):
+    """The list of every vector."""
+    root = _with_given_centres(spark, sf_dir)
+    return read_learned_index(spark, root, "vectors").select("vec_id", "label", F.col("list_no").cast("bigint").alias("list_no"))
+
+
+@query
+def search_learned_recall(spark, sf_dir):
+    """Fitted centres in two levels and the default number of cells, against the exact result."""
+    root = fresh_dir(spark)
+    rows, asked = vectors(spark, sf_dir), vector_queries(spark, sf_dir)
+    cw.build_learned_index(rows, root, "vectors", 64, fine=2, id_col="vec_id")
+    found = cw.search_learned(spark, root, "vectors", asked, 5).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = cw.search_batch(rows, asked, 5, id_col="vec_id").join(found, ["query_id", "vec_id"], "left")
+    recall = exact.agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"), F.count_distinct("query_id").alias("queries"))
+    held = read_learned_index(spark, root, "vectors").agg(F.count(F.lit(1)).alias("rows_indexed"))
+    return recall.crossJoin(held)
+
+
+@query
+def index_segments(spark, sf_dir):
+    """An index that follows ingests: rows are found before they have a segment, then in it, then merged."""
+    root, place = fresh_dir(spark), fresh_dir(spark)
+    chunks = _labelled_chunks(spark, sf_dir)
+    asked = vector_queries(spark, sf_dir)
+    cw.store_chunks(chunks.where("chunk_index % 2 = 0"), root, "vectors")
+    cw.build_learned_index(cw.read_collection(spark, root, "vectors"), place, "vectors", 64, lists=8)
+    cw.store_chunks(chunks.where("chunk_index % 2 = 1"), root, "vectors")
+    stored = cw.read_collection(spark, root, "vectors")
+
+    def found(state):
+        hits = cw.search_learned(spark, place, "vectors", asked, 5, probes=8, collection=stored)
+        return written(hits.withColumn("state", F.lit(state)))
+
+    states = [found("not indexed")]
+    cw.extend_learned_index(stored, place, "vectors")
+    states.append(found("two segments"))
+    cw.merge_learned_index(spark, place, "vectors")
+    states.append(found("merged"))
+    rows = states[0].union(states[1]).union(states[2])
+    return rows.withColumn("vec_id", F.col("chunk_id").cast("bigint")).drop("chunk_id")
+
+
 @query
 def search_collections(spark, sf_dir):
     coll = vectors(spark, sf_dir).withColumn(

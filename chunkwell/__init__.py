@@ -31,6 +31,12 @@ from chunkwell.operators.embedding import (  # noqa: E402
     embed_texts,
     validate_embeddings,
 )
+from chunkwell.operators.learned import (  # noqa: E402
+    build_learned_index,
+    extend_learned_index,
+    merge_learned_index,
+    search_learned,
+)
 from chunkwell.operators.requests import check_request, validate_requests  # noqa: E402
 from chunkwell.operators.results import (  # noqa: E402
     answer_summary,
@@ -80,6 +86,7 @@ __all__ = [
     "apply_model",
     "build_context",
     "build_index",
+    "build_learned_index",
     "build_prompts",
     "check_request",
     "chunk_basic",
@@ -98,6 +105,7 @@ __all__ = [
     "embed_hashed",
     "embed_queries",
     "embed_texts",
+    "extend_learned_index",
     "fetch_rows",
     "filter_hits",
     "format_hits",
@@ -107,6 +115,7 @@ __all__ = [
     "ingest_incremental",
     "ingest_summary",
     "list_collections",
+    "merge_learned_index",
     "merge_metadata",
     "merged_view",
     "partition_documents",
@@ -125,6 +134,7 @@ __all__ = [
     "search_batch",
     "search_collections",
     "search_documents",
+    "search_learned",
     "similarity_score",
     "source_attribution",
     "storage_stats",
