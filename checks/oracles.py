@@ -290,6 +290,39 @@ SELECT page_id, {_html_text("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"
        len(list_filter(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1),
                        lambda x: {_html_text('x')} <> ''))::BIGINT AS list_items
 FROM pages""",
+    "html_elements": f"""
+WITH b AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+           '(?s)<head>.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>', '', 'g'),
+           '<br>', ' ', 'g') AS body FROM pages),
+s AS (
+  SELECT page_id, string_split(regexp_replace(body,
+           '<(/?)(nav|ul|li|div|article|h1|p|footer|body|html)\\b[^>]*>', chr(1) || '\\1\\2' || chr(2), 'g'), chr(1)) AS pieces
+  FROM b),
+e AS (
+  SELECT page_id, list_transform(pieces, lambda x: {{
+           'category': CASE split_part(x, chr(2), 1) WHEN 'h1' THEN 'Title' WHEN 'li' THEN 'ListItem' ELSE 'NarrativeText' END,
+           'text': {_html_text("regexp_replace(regexp_replace(regexp_replace(x, '^[^' || chr(2) || ']*' || chr(2), ''), '&copy;', '©', 'g'), '&middot;', '·', 'g')")}}}) AS found
+  FROM s)
+SELECT page_id, array_to_string(list_transform(list_filter(found, lambda x: x.text <> ''),
+         lambda x: x.category || ': ' || x.text), chr(10)) AS elements
+FROM e""",
+    "html_tables": """
+WITH i AS (
+  SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<&]*)</a></li>', 1) AS items FROM pages),
+c AS (
+  SELECT page_id, len(items) AS n, unnest(items) AS item, generate_subscripts(items, 1) AS row FROM i),
+cells AS (
+  SELECT page_id, 0 AS row, unnest([0, 1, 2]) AS "column", true AS header, unnest([page_id::VARCHAR, page_id::VARCHAR, 'side']) AS text
+  FROM i
+  UNION ALL
+  SELECT page_id, row, unnest([0, 1, 2]), false,
+         unnest([trim(regexp_replace(item, '\\s+', ' ', 'g')), length(item)::VARCHAR, n::VARCHAR]) FROM c)
+SELECT page_id, 0::BIGINT AS table_no, 1::BIGINT AS element_index, row::BIGINT AS row, "column"::BIGINT AS "column", header, text
+FROM cells""",
+    "filter_promoted": f"""
+WITH {_batch(3, pairs="e.label IN (1, 3) AND e.vec_id % 2 = 0")}
+SELECT {_TOP_COLUMNS} FROM top""",
     "chunk_basic": f"WITH RECURSIVE {_packed(False)} {_CHUNK_ROWS}",
     "chunk_by_title": f"WITH RECURSIVE {_packed(True)} {_CHUNK_ROWS}",
     "chunk_windows": f"""

@@ -180,6 +180,35 @@ def partition_html(spark, sf_dir):
     )
 
 
+@query
+def html_elements(spark, sf_dir):
+    """All elements of every page in order."""
+    pages = cw.spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content")))
+    shown = F.transform("elements", lambda e: F.concat_ws(": ", e["category"], e["text"]))
+    return cw.partition_html(pages).select("page_id", F.array_join(shown, "\n").alias("elements"))
+
+
+@query
+def html_tables(spark, sf_dir):
+    """Tables made of every page's links, with spans, missing end tags and a heading that ends them."""
+    items = F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<&]*)</a></li>'), F.lit(1))
+    pages = cw.spread(table(spark, sf_dir, "pages").select("page_id", items.alias("items")))
+    rows = F.transform(
+        "items",
+        lambda item, k: F.concat(
+            F.lit("<tr><td>"), item, F.lit("<td>"), F.length(item).cast("string"),
+            F.when(k == 0, F.concat(F.lit('<td rowspan="99">'), F.size("items").cast("string"))).otherwise(""),
+        ),
+    )
+    end = F.when(F.col("page_id") % 2 == 0, "</table>").otherwise("</tr>")
+    html = F.concat(
+        F.lit('<p>before<table><thead><tr><th colspan="2">'), F.col("page_id").cast("string"),
+        F.lit("<th>side<tbody>"), F.array_join(rows, ""), end, F.lit("<h1>after</h1>"),
+    )
+    parted = cw.partition_html(pages.select("page_id", html.alias("content")), tables=True)
+    return cw.table_cells(parted)
+
+
 _CHUNK_COLUMNS = ("doc_id", "chunk_index", "content", "element_type", "page_number")
 
 
@@ -380,6 +409,24 @@ def filter_pre_range(spark, sf_dir):
     return hits.select("vec_id", "label", "similarity_score")
 
 
+@query
+def filter_promoted(spark, sf_dir):
+    """Filters on a stored collection whose caller fields are columns as well, some nested ones too."""
+    root = fresh_dir(spark)
+    chunks = _labelled_chunks(spark, sf_dir).withColumn(
+        "metadata", F.create_map(F.lit("label"), F.regexp_extract("name", r"(\d+)", 1))
+    )
+    half = chunks.where("chunk_index % 2 = 0"), chunks.where("chunk_index % 2 = 1")
+    cw.store_chunks(half[0], root, "c", {"place": {"town": "x"}, "page_number": 3}, promote=["label", "place.town"])
+    cw.store_chunks(half[1], root, "c", {"place": {"town": "y"}})
+    stored = cw.read_collection(spark, root, "c")
+    hits = cw.search_batch(
+        stored, vector_queries(spark, sf_dir), 3, None, {"label": ["1", "3"], "place.town": "x", "page_number": 3},
+        filter_mode="pre",
+    )
+    return hits.withColumn("vec_id", F.col("chunk_id").cast("bigint")).drop("chunk_id")
+
+
 @query
 def filter_pre(spark, sf_dir):
     return _single(spark, sf_dir, 50, 0.6, {"label": 3}, filter_mode="pre")

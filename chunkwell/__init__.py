@@ -23,6 +23,7 @@ from chunkwell.operators.elements import (  # noqa: E402
     partition_documents,
     partition_html,
     partition_text,
+    table_cells,
 )
 from chunkwell.operators.embedding import (  # noqa: E402
     clean_texts,
@@ -142,6 +143,7 @@ __all__ = [
     "store_chunks",
     "string_map",
     "threshold_filter",
+    "table_cells",
     "unmatched_queries",
     "validate_embeddings",
     "validate_requests",

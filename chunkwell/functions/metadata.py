@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Iterator, Mapping
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,17 +17,35 @@ _NO_FIELDS = "map<string,string>"
 
 
 def string_map(fields: Mapping[str, object] | None) -> Column:
-    """A literal map with all values as strings; NULL values are kept."""
+    """A literal map with all values as strings; NULL values are kept.
+
+    A mapping within is flat: its values get dotted names, as ``address.city``.
+    """
     if not fields:
         return F.create_map().cast(_NO_FIELDS)
     parts: list[Column] = []
+    for key, value in _flat(fields):
+        parts += [F.lit(key), F.lit(as_text(value)).cast("string")]
+    return F.create_map(*parts) if parts else F.create_map().cast(_NO_FIELDS)
+
+
+def _flat(fields: Mapping, prefix: str = "") -> Iterator[tuple[str, object]]:
     for key, value in fields.items():
-        parts += [F.lit(str(key)), F.lit(as_text(value)).cast("string")]
-    return F.create_map(*parts)
+        if isinstance(value, Mapping):
+            yield from _flat(value, f"{prefix}{key}.")
+        else:
+            yield f"{prefix}{key}", value
+
+
+def promoted_column(name: str) -> str:
+    """The column that a caller field is stored in as well if it is promoted."""
+    return "field_" + quote(name, safe="").replace(".", "%2E")
 
 
 def as_text(value: object) -> str | None:
-    """A metadata value as stored: NULL stays, booleans read as in SQL."""
+    """A metadata value as stored: NULL stays, booleans read as in SQL, lists as JSON."""
+    if isinstance(value, (list, tuple)):
+        return json.dumps(list(value), ensure_ascii=False)
     if value is None or isinstance(value, str):
         return value
     return str(value).lower() if isinstance(value, bool) else str(value)
@@ -133,9 +153,11 @@ def metadata_predicate(
     AND-ed. A value means equality, ``None`` an absent field, a list any of its
     values, and a mapping of ``eq ne in nin gt gte lt lte`` (with or without
     ``$``) all of its conditions. A key that names a real column is compared in
-    its type and reaches the scan, unless the record's own map may override it;
-    fields of the map are texts, and compare as numbers where a range is given in
-    numbers. A key that is neither a column nor can be in a map is an error.
+    its type; where the record's own map may override it, stored rows say whether it
+    does, so a necessary part of the test still reaches the scan. Fields of the map are
+    texts, and compare as numbers where a range is given in numbers; those that were
+    promoted reach the scan as well. A key that is neither a column nor can be in a map
+    is an error.
     """
     if metadata_filter is None:
         return None
@@ -152,9 +174,16 @@ def metadata_predicate(
             test = _test(F.col(name), wanted, _Literal(df.schema[name].dataType), key)
             if in_map:
                 own = F.map_contains_key(F.col(metadata_col), F.lit(name))
-                test = F.when(own, _test(held, wanted, _Literal(None), key)).otherwise(test)
+                exact = F.when(own, _test(held, wanted, _Literal(None), key)).otherwise(test)
+                if "overrides" in df.columns:  # true wherever a map hides any column
+                    tests.append(F.col("overrides") | test)
+                test = exact
         elif in_map:
             test = _test(held, wanted, _Literal(None), key)
+            if (promoted := promoted_column(name)) in df.columns:
+                # NULL where the write did not promote the field
+                column = F.col(f"`{promoted}`")
+                tests.append(column.isNull() | _test(column, wanted, _Literal(None), key))
         else:
             raise ValueError(f"no field {key!r} to filter on")
         tests.append(test)

@@ -86,9 +86,14 @@ class Winners:
         self.query = np.empty(0, np.int64)
         self.score = np.empty(0, np.float64)
         self.id = np.empty(0, id_dtype)
+        self.place = np.empty(0, np.int64)
         self.floor = np.full(n_queries, -np.inf)
 
-    def offer(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    def offer(
+        self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, place: np.ndarray | None = None
+    ) -> None:
+        """``place`` travels with the rows and decides nothing."""
+        place = np.concatenate([self.place, np.zeros(len(ids), np.int64) if place is None else place])
         query = np.concatenate([self.query, query])
         score = np.concatenate([self.score, score])
         ids = np.concatenate([self.id, ids])
@@ -98,7 +103,7 @@ class Winners:
             q, i = query[order], id_rank[order]
             order = order[np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])]]
         order = order[_first_k(query[order], self.k)]
-        self.query, self.score, self.id = query[order], score[order], ids[order]
+        self.query, self.score, self.id, self.place = query[order], score[order], ids[order], place[order]
         # a query with a full list needs at least its worst score from now on
         ends = np.flatnonzero(np.r_[self.query[1:] != self.query[:-1], True])
         starts = np.r_[0, ends[:-1] + 1]
@@ -162,10 +167,9 @@ def _contenders(
     queries: Queries,
     chosen: np.ndarray,
     vectors: np.ndarray,
-    ids: np.ndarray,
     id_rank: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query numbers, scores and ids of what can still win a place.
+    """Query numbers, scores and row numbers of what can still win a place.
 
     Cosines that cannot reach a list are dropped before they become scores:
     once lists are full, that is nearly all of them, and a block costs little
@@ -189,7 +193,7 @@ def _contenders(
         order = np.lexsort((id_rank[c], -values, q))
         order = order[_first_k(q[order], k)]
         q, c, values = q[order], c[order], values[order]
-    return chosen[q], values, ids[c]
+    return chosen[q], values, c
 
 
 def local_top_k(
@@ -199,7 +203,8 @@ def local_top_k(
 ) -> Iterator[pa.RecordBatch]:
     """One task's best rows per query and group.
 
-    Batches hold ``(id, vector, group)``. Rows of different groups (collections)
+    Batches hold ``(id, vector, group)`` and maybe a number ``place`` that comes back
+    with the winners. Rows of different groups (collections)
     compete in lists of their own. With ``probes``, a mask ``(query, bucket)``,
     the group is a bucket that only selects the queries to score; all rows then
     compete in one list, in which an id counts once.
@@ -209,14 +214,16 @@ def local_top_k(
     limit = int(queries.limits.max())
     best: dict[object, Winners] = {}
     id_type = group_type = None
+    placed = False
     everyone = np.arange(len(queries))
     for batch in batches:
-        ids, vectors, groups = batch.columns
-        id_type, group_type = ids.type, groups.type
+        ids, vectors, groups, *places = batch.columns
+        id_type, group_type, placed = ids.type, groups.type, bool(places)
         rows, matrix = to_matrix(vectors, queries.width)
         if not len(rows):
             continue
         ids = ids.to_numpy(zero_copy_only=False)[rows]
+        place = places[0].to_numpy(zero_copy_only=False)[rows] if places else np.zeros(len(ids), np.int64)
         id_rank = np.empty(len(ids), np.int64)
         id_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
         labels, member = np.unique(
@@ -231,26 +238,27 @@ def local_top_k(
             if key not in best:
                 best[key] = Winners(len(queries), limit, ids.dtype, probes is not None)
             at = np.flatnonzero(member == g) if len(labels) > 1 else slice(None)
-            block = (matrix[at], ids[at], id_rank[at])
+            block = (matrix[at], id_rank[at])
             step = max(1, BLOCK_SCORES // len(block[1]))
             found = [
                 _contenders(best[key], queries, chosen[i : i + step], *block)
                 for i in range(0, len(chosen), step)
             ]
             if any(len(scores) for _, scores, _ in found):
-                best[key].offer(*map(np.concatenate, zip(*found)))
+                query, score, row = map(np.concatenate, zip(*found))
+                best[key].offer(query, score, ids[at][row], place[at][row])
     for label, winners in best.items():
         n = len(winners.query)
         if n:
             at = pa.array(winners.query)
             grp = pa.nulls(n, group_type) if probes is not None else pa.array([label] * n, group_type)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    queries.ids.take(at),
-                    pa.array(winners.id, id_type),
-                    pa.array(winners.score, pa.float64()),
-                    pa.array(queries.limits[winners.query], pa.int64()),
-                    grp,
-                ],
-                names=["query_id", "id", "similarity_score", "lim", "grp"],
-            )
+            columns = {
+                "query_id": queries.ids.take(at),
+                "id": pa.array(winners.id, id_type),
+                "similarity_score": pa.array(winners.score, pa.float64()),
+                "lim": pa.array(queries.limits[winners.query], pa.int64()),
+                "grp": grp,
+            }
+            if placed:
+                columns["place"] = pa.array(winners.place, pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from chunkwell.functions.markup import html_elements
+from chunkwell.functions.markup import html_parts
 from chunkwell.functions.rows import with_computed
 from chunkwell.functions.text import strip
-from chunkwell.schemas import ELEMENT, ELEMENTS
+from chunkwell.schemas import ELEMENT, ELEMENTS, TABLES
 
 HTML_FORMATS = ("html", "htm")
 
@@ -65,9 +69,34 @@ def text_elements(content: Column) -> Column:
     )
 
 
-@F.pandas_udf(ELEMENTS)
-def _html_elements(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: None if h is None else html_elements(h))
+_HTML = T.StructType([T.StructField("elements", ELEMENTS), T.StructField("tables", TABLES)])
+_HTML_TABLES, _NUMBER = to_arrow_type(TABLES), pa.int32()
+
+
+@F.arrow_udf(_HTML)
+def _html_parts(html: pa.Array) -> pa.Array:
+    """Elements and tables of a batch of pages, built from flat lists."""
+    parsed = [None if page is None else html_parts(page) for page in html.to_pylist()]
+    sizes = [0 if p is None else len(p[0]) for p in parsed]
+    flat = [element for p in parsed if p is not None for element in p[0]]
+    structs = pa.StructArray.from_arrays(
+        [
+            pa.array([k for size in sizes for k in range(size)], _NUMBER),
+            pa.array([category for category, _ in flat], pa.string()),
+            pa.array([text for _, text in flat], pa.string()),
+            pa.array([1] * len(flat), _NUMBER),
+        ],
+        ["element_index", "category", "text", "page_number"],
+    )
+    none = pa.array([p is None for p in parsed], pa.bool_())
+    offsets = pa.array(list(accumulate(sizes, initial=0)), _NUMBER)
+    elements = pa.ListArray.from_arrays(offsets, structs, mask=none)
+    tables = pa.array([None if p is None else p[1] for p in parsed], _HTML_TABLES)
+    return pa.StructArray.from_arrays([elements, tables], ["elements", "tables"])
+
+
+def _html_elements(html: Column) -> Column:
+    return _html_parts(html)["elements"]
 
 
 def partition_text(documents: DataFrame, content_col: str = "content") -> DataFrame:
@@ -75,9 +104,41 @@ def partition_text(documents: DataFrame, content_col: str = "content") -> DataFr
     return with_computed(documents, "elements", text_elements(F.col(content_col)))
 
 
-def partition_html(documents: DataFrame, content_col: str = "content") -> DataFrame:
-    """Add ``elements`` to HTML documents (headings, text, list items, tables)."""
-    return documents.withColumn("elements", _html_elements(F.col(content_col)))
+def partition_html(
+    documents: DataFrame, content_col: str = "content", tables: bool = False
+) -> DataFrame:
+    """Add ``elements`` to HTML documents (headings, text, list items, tables).
+
+    With ``tables`` also ``tables``, the grid of every table: its element, how deep it is nested
+    in another, its size, its leading header rows, and its cells with row, column,
+    spans and text. End tags may be missing, and a heading or paragraph outside a cell ends
+    a table.
+    """
+    if not tables:
+        return documents.withColumn("elements", _html_elements(F.col(content_col)))
+    keep = [c for c in documents.columns if c not in ("elements", "tables")]
+    parsed = documents.withColumn("_parts", _html_parts.asNondeterministic()(F.col(content_col)))
+    return parsed.select(*keep, "_parts.elements", "_parts.tables")
+
+
+def table_cells(partitioned: DataFrame) -> DataFrame:
+    """A row per place of a table's grid; a cell that spans several fills all of them.
+
+    ``(..., table_no, element_index, row, column, header, text)`` next to the document's
+    other columns.
+    """
+    keep = [c for c in partitioned.columns if c not in ("elements", "tables", "content")]
+    tables = partitioned.select(*keep, F.posexplode("tables").alias("table_no", "_t"))
+    cells = tables.select(*keep, "table_no", F.col("_t.element_index").alias("element_index"), F.explode("_t.cells").alias("_c"))
+
+    def places(start: str, span: str) -> Column:
+        first = F.col(f"_c.{start}")
+        return F.explode(F.sequence(first, first + F.col(f"_c.{span}") - 1))
+
+    rows = cells.withColumn("row", places("row", "row_span")).withColumn("column", places("column", "column_span"))
+    return rows.select(
+        *keep, "table_no", "element_index", "row", "column", F.col("_c.header").alias("header"), F.col("_c.text").alias("text")
+    )
 
 
 def partition_documents(

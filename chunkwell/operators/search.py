@@ -42,6 +42,8 @@ LEAST_TASKS = 512
 #: Vectors per side of a block pair when the queries are too many to broadcast.
 BLOCK_BYTES = 64 << 20
 
+#: Files that hold winners of a table of queries and are named to the scan of their contents.
+READ_FILES = 10_000
 #: Winners of a single query that come to the driver to name the files to read.
 COLLECTED_WINNERS = 10_000
 
@@ -244,21 +246,22 @@ def vector_width(rows: DataFrame) -> int:
 
 def hit_schema(rows: DataFrame, queries: DataFrame) -> T.StructType:
     """Columns of a local winner."""
-    return T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("id", rows.schema["id"].dataType),
-            T.StructField("similarity_score", T.DoubleType()),
-            T.StructField("lim", T.LongType()),
-            T.StructField("grp", rows.schema["grp"].dataType),
-        ]
-    )
+    fields = [
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("id", rows.schema["id"].dataType),
+        T.StructField("similarity_score", T.DoubleType()),
+        T.StructField("lim", T.LongType()),
+        T.StructField("grp", rows.schema["grp"].dataType),
+    ]
+    if "place" in rows.columns:
+        fields.append(T.StructField("place", T.LongType()))
+    return T.StructType(fields)
 
 
 def broadcast_top_k(
     rows: DataFrame, queries: Queries, schema: T.StructType, probes: np.ndarray | None = None
 ) -> DataFrame:
-    """Local winners of every task; ``rows`` holds ``(id, vector, grp)``."""
+    """Local winners of every task; ``rows`` holds ``(id, vector, grp)`` and maybe ``place``."""
     shared = rows.sparkSession.sparkContext.broadcast((queries.parts(), probes))
 
     def winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +297,12 @@ def _block_top_k(
         "qb", every(query_blocks)
     )
 
+    names = [c for c in ("id", "vector", "grp", "place") if c in rows.columns]
+
     def pair(q: pa.Table, r: pa.Table) -> pa.Table:
         out = _empty_hits(schema)
         if q.num_rows and r.num_rows:
-            batches = r.select(["id", "vector", "grp"]).to_batches(max_chunksize=10_000)
+            batches = r.select(names).to_batches(max_chunksize=10_000)
             found = list(local_top_k(batches, Queries.from_table(q, raw)))
             if found:
                 out = pa.Table.from_batches(found)
@@ -382,6 +387,9 @@ def search_batch(
     A query table of bounded size is broadcast and every task scores blocks of
     vectors against all of it; only ``limit`` rows per query and task are
     shuffled. A larger one is joined block by block.
+
+    Where the collection lies in files, winners carry theirs: with ``columns`` or a filter
+    afterwards the ranking runs at once, and contents are read from those files only.
     """
     raw = _check(filter_mode, score)
     if not isinstance(limit, str):
@@ -395,6 +403,7 @@ def search_batch(
         F.col(id_col).alias("id"),
         F.col(vector_col).cast("array<float>").alias("vector"),
         (F.col(group_col) if group_col else F.lit("")).alias("grp"),
+        *_places(source, bool(set(columns) - {id_col}) or (filter_mode == "post" and metadata_filter is not None)),
     )
     asked = query_rows(
         queries, limit, max_limit, similarity_threshold, query_id_col, query_vector_col
@@ -416,6 +425,21 @@ def search_batch(
     )
 
 
+def _places(source: DataFrame, wanted: bool) -> list[Column]:
+    """The file of every row as a number, if contents are to be fetched and there are files."""
+    if not wanted or not has_files(source):
+        return []
+    return [F.xxhash64(F.col("_metadata.file_path")).alias("place")]
+
+
+def _winners_files(ranked: DataFrame, collection: DataFrame) -> DataFrame:
+    """The rows of the files that hold winners; of all files if those are too many to name."""
+    found = ranked.select("place").distinct().limit(READ_FILES + 1).collect()
+    if len(found) > READ_FILES:
+        return collection
+    return collection.where(F.xxhash64(F.col("_metadata.file_path")).isin([r[0] for r in found]))
+
+
 def finish_hits(
     ranked: DataFrame,
     collection: DataFrame,
@@ -428,6 +452,9 @@ def finish_hits(
     max_hits: int | None,
 ) -> DataFrame:
     """Name the columns of a ranking, fetch row columns, filter afterwards."""
+    if "place" in ranked.columns:
+        ranked = written(ranked)
+        collection = _winners_files(ranked, collection)
     base = [
         F.col("query_id").alias(query_id_col),
         F.col("id").alias(id_col),

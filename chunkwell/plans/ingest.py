@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -91,6 +91,7 @@ def ingest_documents(
     changed: str = "add",
     strict: bool = False,
     ingest_id: str | None = None,
+    promote: Sequence[str] = (),
 ) -> dict:
     """Partition, chunk, embed and store a table of documents in one write.
 
@@ -98,6 +99,7 @@ def ingest_documents(
     with its cause (see :func:`read_lost`), its document is incomplete and all others are
     stored; with ``strict`` it is an error and nothing is stored. Readers see all of an
     ingest or nothing; an ``ingest_id`` that is stored already is not stored again.
+    Filters on the caller fields named in ``promote`` reach the scans of later searches.
 
     ``mode="skip_existing"`` skips documents whose address and content the
     collection has, before anything is chunked or embedded. Of a document that is
@@ -129,7 +131,7 @@ def ingest_documents(
         if partial_ones is not None:
             chunks = chunks.unionByName(_missing(_chunked(partial_ones, *plan), stored, collection_name))
     made = _embedded(chunks, fn, factory, embedding_model, batch_size, "ingest_error")
-    report = store_chunks(made, root, collection_name, ingest_id=ingest_id, strict=strict)
+    report = store_chunks(made, root, collection_name, ingest_id=ingest_id, strict=strict, promote=promote)
     report["summary"] = write_summary(documents, read_write(spark, root, report["write_id"]), skipped)
     return report
 

@@ -19,6 +19,34 @@ ELEMENT = T.StructType(
 
 ELEMENTS = T.ArrayType(ELEMENT)
 
+#: The grid of a table: every cell once, where its upper left corner stands.
+TABLES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("element_index", T.IntegerType()),
+            T.StructField("depth", T.IntegerType()),
+            T.StructField("n_rows", T.IntegerType()),
+            T.StructField("n_columns", T.IntegerType()),
+            T.StructField("header_rows", T.IntegerType()),
+            T.StructField(
+                "cells",
+                T.ArrayType(
+                    T.StructType(
+                        [
+                            T.StructField("row", T.IntegerType()),
+                            T.StructField("column", T.IntegerType()),
+                            T.StructField("row_span", T.IntegerType()),
+                            T.StructField("column_span", T.IntegerType()),
+                            T.StructField("header", T.BooleanType()),
+                            T.StructField("text", T.StringType()),
+                        ]
+                    )
+                ),
+            ),
+        ]
+    )
+)
+
 DOCUMENTS = T.StructType(
     [
         T.StructField("doc_uri", T.StringType()),
@@ -31,7 +59,8 @@ DOCUMENTS = T.StructType(
 
 #: A stored chunk. System fields are typed columns, so they prune and push
 #: down; caller fields stay in the map. ``logical_size`` is kept so that
-#: statistics never have to read the content or the vectors. The last two are
+#: statistics never have to read the content or the vectors; ``overrides`` says whether a
+#: caller field has the name of one of these columns and hides it. The last two are
 #: partitions: the collection, and the attempt that wrote the row.
 COLLECTION = T.StructType(
     [
@@ -55,6 +84,7 @@ COLLECTION = T.StructType(
         T.StructField("logical_size", T.LongType()),
         T.StructField("document_hash", T.LongType()),
         T.StructField("ingest_id", T.StringType()),
+        T.StructField("overrides", T.BooleanType()),
         T.StructField("collection_name", T.StringType()),
         T.StructField("write_id", T.StringType()),
     ]

@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chunkwell.functions.metadata import merge_metadata, string_map
+from chunkwell.functions.metadata import merge_metadata, promoted_column, string_map
 from chunkwell.schemas import COLLECTION
 from chunkwell.session import path_exists
-from chunkwell.sources.commits import LOST, finish, finished_write, finished_writes, new_write
+from chunkwell.sources.commits import (
+    LOST,
+    finish,
+    finished_write,
+    finished_writes,
+    new_write,
+    promote_fields,
+    promoted_fields,
+)
 
 _MODES = ("append", "skip_existing")
 
@@ -37,9 +46,12 @@ def collection_rows(
     ingest_id: str = "",
     row_ids: bool = True,
     write_id: str = "",
+    promote: Sequence[str] = (),
 ) -> DataFrame:
     """Chunks with vectors in the stored layout; absent columns become NULL.
 
+    Caller fields in ``promote`` also get a column of their own, which scans can test.
+
     A row with an ``ingest_error`` is set aside: it goes to folders that no search
     reads, with the error among its metadata.
 
@@ -74,6 +86,9 @@ def collection_rows(
         "processed_at": F.current_timestamp(),
         "logical_size": logical_size(df),
         "ingest_id": F.lit(ingest_id),
+        "overrides": F.coalesce(
+            F.arrays_overlap(F.map_keys(metadata), F.array(*[F.lit(f.name) for f in COLLECTION.fields])), F.lit(False)
+        ),
         "collection_name": name,
         "write_id": write,
     }
@@ -86,6 +101,7 @@ def collection_rows(
         else:
             value = F.lit(None)
         columns.append(value.cast(field.dataType).alias(field.name))
+    columns += [metadata[field].alias(promoted_column(field)) for field in promote]
     return df.select(*columns)
 
 
@@ -98,6 +114,7 @@ def store_chunks(
     mode: str = "append",
     ingest_id: str | None = None,
     strict: bool = False,
+    promote: Sequence[str] = (),
 ) -> dict:
     """Append chunks with vectors to a collection and report what was stored.
 
@@ -110,6 +127,9 @@ def store_chunks(
     ``ingest_id`` that is stored already is not stored again: its report comes back,
     with ``already_stored``.
 
+    Caller fields named in ``promote`` are stored as columns as well, so that filters on them
+    reach the scan; other writes need not promote the same.
+
     Rows with an ``ingest_error`` are set aside in the same write (see :func:`read_lost`);
     with ``strict`` one of them is an error and nothing is stored.
 
@@ -125,13 +145,17 @@ def store_chunks(
     done = finished_write(spark, root, ingest_id)
     if done is None:
         write_id = new_write(ingest_id)
-        rows = collection_rows(df, collection_name, source_metadata, ingest_id, write_id=write_id)
+        promote_fields(spark, root, promote)
+        rows = collection_rows(
+            df, collection_name, source_metadata, ingest_id, write_id=write_id, promote=promote
+        )
+        names = rows.columns
         if mode == "skip_existing":
             key = ["collection_name", "document_url"]
             key += ["document_hash"] if "document_hash" in df.columns else []
             stored = read_target(spark, root, collection_name)
             rows = rows.join(stored.select(*key).distinct(), key, "left_anti").select(
-                *[f.name for f in COLLECTION.fields]
+                *[F.col(f"`{name}`") for name in names]
             )
         if isinstance(collection_name, Column):
             rows = rows.hint("rebalance", "collection_name")
@@ -164,9 +188,11 @@ def store_chunks(
 
 def _read(spark: SparkSession, root: str, path: str) -> DataFrame:
     """All rows of a path, also of writes that are not finished."""
+    extra = [T.StructField(name, T.StringType()) for name in promoted_fields(spark, root)]
+    schema = T.StructType(COLLECTION.fields[:-2] + extra + COLLECTION.fields[-2:])
     if not path_exists(spark, path):
-        return spark.createDataFrame([], COLLECTION)
-    return spark.read.schema(COLLECTION).option("basePath", root).parquet(path)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", root).parquet(path)
 
 
 def _read_finished(spark: SparkSession, root: str, path: str) -> DataFrame:

@@ -12,11 +12,16 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from chunkwell.functions.metadata import promoted_column
+
 #: Folder of the markers; Spark does not read names that begin like this.
 MARKERS = "_finished"
+#: Folder of the names of promoted caller fields.
+FIELDS = "_fields"
 #: Begins the id of rows that a write sets aside; no marker has such a name.
 LOST = "lost-"
 
@@ -70,6 +75,21 @@ def finished_write(spark: SparkSession, root: str, ingest_id: str) -> tuple[str,
     return marker.getName(), json.loads(text[0])
 
 
+def promote_fields(spark: SparkSession, root: str, names: Sequence[str]) -> None:
+    """Notes that caller fields are stored as columns as well; the notes only ever grow."""
+    for name in names:
+        system, place = _place(spark, f"{root}/{FIELDS}/{promoted_column(name)}")
+        if not system.exists(place):
+            system.create(place, True).close()
+
+
+def promoted_fields(spark: SparkSession, root: str) -> list[str]:
+    """The columns of promoted caller fields that any write may have."""
+    system, place = _place(spark, f"{root}/{FIELDS}")
+    found = system.listStatus(place) if system.exists(place) else []
+    return sorted(f.getPath().getName() for f in found)
+
+
 def remove_unfinished(spark: SparkSession, root: str, older_than: float = 7 * 86_400) -> list[str]:
     """Removes folders of writes that did not finish within ``older_than`` seconds.
 

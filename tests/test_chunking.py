@@ -156,3 +156,64 @@ def test_pages_with_tags_left_open(spark):
         [("Title", "Hi"), ("NarrativeText", "text")],
         [("Title", "A B"), ("NarrativeText", "one two")],
     ]
+
+
+def _parts(*pages):
+    from chunkwell.functions.markup import html_parts
+
+    return [html_parts(p) for p in pages]
+
+
+def test_headings_and_paragraphs_end_tables_and_noscript_hides_nothing():
+    [(ended, tables), (shown, _), (inside, _), (nested, _)] = _parts(
+        "<table><tr><td>x</td></tr><h1>T</h1><p>para</p>",
+        "<p>a</p><noscript><p>b</p><p>c</p>",
+        "<table><tr><td><p>in</p><h2>cell</h2></table>after<noscript>gone</noscript>",
+        "<p>a<template><noscript>b<p>c",
+    )
+    assert ended == [("Table", "x"), ("Title", "T"), ("NarrativeText", "para")] and len(tables) == 1
+    assert shown == [("NarrativeText", t) for t in "abc"]
+    assert inside == [("Table", "in cell"), ("NarrativeText", "after")]
+    assert nested == [("NarrativeText", "ab"), ("NarrativeText", "c")]
+
+
+def test_table_grids(spark):
+    page = (
+        "<p>x<table><caption>Cap</caption><thead><tr><th>A<th colspan=2>B<tbody>"
+        "<tr><td rowspan=2>1</td><td>2<td>3</tr><tr><td colspan=2>4<table><tr><td>in<td>ner</table></table>"
+        "<table><tr></table><table><tr><td rowspan=0 colspan=x>y<td rowspan=9>z</table>"
+    )
+    rows = spark.createDataFrame([(1, page), (2, None), (3, "<p>none")], "id int, content string")
+    parted = cw.partition_html(rows, tables=True).orderBy("id").collect()
+    first, inner, last = parted[0].tables
+    assert [e.text for e in parted[0].elements] == ["x", "Cap A B 1 2 3 4 in ner", "y z"]
+    assert (first.element_index, first.depth, first.n_rows, first.n_columns, first.header_rows) == (1, 0, 3, 3, 1)
+    got = [(c.row, c.column, c.row_span, c.column_span, c.header, c.text) for c in first.cells]
+    assert got == [
+        (0, 0, 1, 1, True, "A"), (0, 1, 1, 2, True, "B"), (1, 0, 2, 1, False, "1"), (1, 1, 1, 1, False, "2"),
+        (1, 2, 1, 1, False, "3"), (2, 1, 1, 2, False, "4 in ner"),
+    ]
+    assert (inner.element_index, inner.depth, [c.text for c in inner.cells]) == (1, 1, ["in", "ner"])
+    assert [(c.row, c.column, c.row_span, c.column_span) for c in last.cells] == [(0, 0, 1, 1), (0, 1, 1, 1)]
+    assert parted[1].tables is None and parted[1].elements is None and parted[2].tables == []
+    cells = cw.table_cells(cw.partition_html(rows, tables=True)).where("table_no = 0").collect()
+    grid = {(c.row, c.column): c.text for c in cells}
+    assert [[grid[r, c] for c in range(3)] for r in range(3)] == [["A", "B", "B"], ["1", "2", "3"], ["1", "4 in ner", "4 in ner"]]
+
+
+def test_every_place_of_a_random_grid_is_filled_once():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        html = "<table>" + "".join(
+            "<tr>" + "".join(f"<td rowspan={rng.randrange(4)} colspan={rng.randrange(1, 4)}>c{k}" for k in range(rng.randrange(1, 5)))
+            for _ in range(rng.randrange(1, 7))
+        )
+        [(_, [table])] = _parts(html)
+        taken = set()
+        for cell in table["cells"]:
+            assert cell["row"] + cell["row_span"] <= table["n_rows"]
+            assert cell["column"] + cell["column_span"] <= table["n_columns"]
+            assert (cell["row"], cell["column"]) not in taken
+            taken |= {(cell["row"] + r, cell["column"] + c) for r in range(cell["row_span"]) for c in range(cell["column_span"])}

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+from glob import glob
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def test_one_large_collection_is_written_by_many_tasks(spark, new_dir):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert report["chunks_stored"] == 20_000
-    files = [f for f in os.listdir(f"{root}/collection_name=big") if f.endswith(".parquet")]
+    files = glob(f"{root}/collection_name=big/*/*.parquet")
     assert len(files) > 1
 
 
@@ -99,8 +100,8 @@ def test_statistics(spark, chunks, new_dir, plan_of):
     disk = {r.collection_name: r for r in cw.storage_stats(spark, root).collect()}
     for name in ("a", "b"):
         folder = f"{root}/collection_name={name}"
-        files = [f for f in os.listdir(folder) if f.endswith(".parquet")]
-        assert disk[name].storage_size_bytes == sum(os.path.getsize(f"{folder}/{f}") for f in files)
+        files = glob(f"{folder}/*/*.parquet")
+        assert disk[name].storage_size_bytes == sum(map(os.path.getsize, files))
         assert disk[name].size_bytes == stats[name].size_bytes
     # neither contents nor vectors are read for it
     assert "ReadSchema: struct<logical_size:bigint>" in plan_of(cw.collection_stats(stored))
@@ -160,3 +161,32 @@ def test_coverage(spark):
     existing = spark.createDataFrame([("a",), ("a",), ("z",)], "collection_name string")
     got = {r.collection_name: r.status for r in cw.index_coverage(wanted, existing).collect()}
     assert got == {"a": "EXISTS", "b": "NEEDS INDEX"}
+
+
+def test_filters_reach_the_scan_of_a_stored_collection(spark, new_dir, plan_of):
+    rows = [(f"c{k}", "d", k, "t", [1.0], {"user": f"u{k % 3}"} | ({"page_number": "7"} if k == 5 else {}), k % 4) for k in range(12)]
+    df = spark.createDataFrame(
+        rows, "chunk_id string, doc_uri string, chunk_index int, content string, embedding array<float>, "
+        "metadata map<string,string>, page_number int",
+    )
+    root = new_dir()
+    cw.store_chunks(df.where("chunk_index < 6"), root, "c", {"address": {"town": "X", "geo": {"lat": 1.5}}, "tags": ["a", 2]},
+                    promote=["user", "address.town"])
+    cw.store_chunks(df.where("chunk_index >= 6"), root, "c")
+    stored = cw.read_collection(spark, root, "c")
+
+    def found(wanted):
+        return {r.chunk_index for r in cw.filter_hits(stored, wanted).collect()}
+
+    def pushed(wanted):
+        return plan_of(cw.filter_hits(stored, wanted)).split("PushedFilters: ")[1].split("ReadSchema")[0]
+
+    assert found({"page_number": 1}) == {1, 9}  # the fifth has a page number of its own
+    assert found({"page_number": 7}) == {5} and found({"page_number": {"gte": 3}}) == {3, 5, 7, 11}
+    assert "EqualTo(page_number,1)" in pushed({"page_number": 1}) and "EqualTo(overrides,true)" in pushed({"page_number": 1})
+    assert found({"user": "u1"}) == {1, 4, 7, 10} and found({"metadata.user": ["u0", "u2"]}) == {0, 2, 3, 5, 6, 8, 9, 11}
+    assert "EqualTo(field_user,u1)" in pushed({"user": "u1"}) and "In(field_user, [u0,u2])" in pushed({"user": ["u0", "u2"]})
+    assert found({"address.town": "X"}) == set(range(6)) and "field_address%2Etown" in pushed({"address.town": "X"})
+    assert found({"address.geo.lat": {"gt": 1}}) == set(range(6)) and found({"tags": '["a", 2]'}) == set(range(6))
+    assert found({"address.town": None}) == set(range(6, 12)) and found({"user": {"ne": "u0"}}) == {1, 2, 4, 5, 7, 8, 10, 11}
+    assert [r.overrides for r in stored.orderBy("chunk_index").collect()] == [k == 5 for k in range(12)]

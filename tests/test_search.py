@@ -265,3 +265,31 @@ def test_contents_come_from_the_files_of_the_winners(spark, new_dir):
     assert 1 <= sum(files(fetched._jdf.queryExecution().executedPlan())) <= 2
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("file_path") and ".parquet" in plan
+
+
+def test_contents_of_a_batch_come_from_the_files_of_its_winners(spark, new_dir):
+    root = new_dir()
+    rows = spark.range(400).selectExpr("cast(id AS string) chunk_id", "concat('text ', id) content",
+                                       "array(cast(id AS float), 400f - id) embedding", "id % 5 AS label")
+    rows.repartitionByRange(20, "chunk_id").write.parquet(root)
+    stored = spark.read.parquet(root)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, embedding array<float>")
+    hits = cw.search_batch(stored, asked, 1, columns=["content"])
+    assert {(r.query_id, r.content) for r in hits.collect()} == {(1, "text 399"), (2, "text 0")}
+
+    def files(node):
+        metrics, children = node.metrics(), node.children()
+        own = [metrics.apply("numFiles").value()] if metrics.contains("numFiles") else []
+        inner = [n for i in range(children.size()) for n in files(children.apply(i))]
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            inner = files(node.executedPlan())
+        elif "QueryStage" in node.getClass().getSimpleName():
+            inner = files(node.plan())
+        return own + inner
+
+    # two files hold the winners, one more the ranking; never all twenty
+    assert 1 <= sum(files(hits._jdf.queryExecution().executedPlan())) <= 4
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Exchange hash" not in plan
+    late = cw.search_batch(stored, asked, 3, metadata_filter={"label": 4}, columns=["content"])
+    assert {(r.query_id, r.content, r["rank"]) for r in late.collect()} == {(1, "text 399", 1)}
