@@ -100,9 +100,18 @@ WITH RECURSIVE p AS (
   SELECT k.page_id, host, path, k.rule, (SELECT verdict FROM rules WHERE rhost || rpath = k.rule) AS given,
          coalesce(c.component, k.key) AS alias
   FROM k LEFT JOIN c ON k.key = c.node
+), t AS (
+  SELECT DISTINCT regexp_extract(link, '^[^/]*') AS host, regexp_extract(link, '^[^/]*(.*)$', 1) AS path,
+         regexp_replace(regexp_replace(link, '^www\.', ''), '/+$', '') AS key
+  FROM k WHERE link <> ''
+), f AS (
+  SELECT coalesce(c.component, t.key) AS alias,
+    (SELECT rules.verdict FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+     ORDER BY length(rhost || rpath) DESC LIMIT 1) AS given
+  FROM t LEFT JOIN c ON t.key = c.node
 ), m AS (
   SELECT alias, bool_or(given = 'block') AND NOT bool_or(given = 'allow') AS bad
-  FROM v WHERE given IS NOT NULL GROUP BY alias
+  FROM (SELECT alias, given FROM v UNION ALL SELECT alias, given FROM f) WHERE given IS NOT NULL GROUP BY alias
 )
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN m.bad THEN 'block' ELSE 'allow' END) AS verdict, v.alias AS alias
 FROM v LEFT JOIN m ON v.alias = m.alias

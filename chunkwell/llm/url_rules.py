@@ -19,7 +19,8 @@ from chunkwell.session import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that do not change what a URL shows.
 TRACKING = r"^(utm_[a-z]+|gclid|fbclid|ref)(=|$)"
-MAX_RULES = 10_000
+#: Rules are broadcast: some 10 MB at most.
+MAX_RULES = 100_000
 
 _CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
@@ -54,17 +55,25 @@ def alias_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, tail))
 
 
-def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The longest rule that fits, as ``struct<rule, verdict>``; NULL if none does."""
+def matching_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The rows ``(row, host, path)`` that a rule fits, as ``(row, rule, verdict)`` with the longest.
+
+    Rules are a broadcast table. A row meets the rules of its host and of the domains above
+    it, no more of them than the longest rule has labels; of equal rules the later counts.
+    """
     if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules travel with the plan")
-    chosen = F.lit(None).cast("struct<rule string, verdict string>")
-    # shortest first: the last one that fits wraps the others
-    for verdict, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1], r[2])):
-        fits = (host == rule_host) | host.endswith("." + rule_host)
-        made = F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))
-        chosen = F.when(fits & path.startswith(rule_path), made).otherwise(chosen)
-    return chosen
+        raise ValueError(f"at most {MAX_RULES} rules travel to the tasks")
+    listed = [(k, verdict, host, path) for k, (verdict, host, path) in enumerate(rules)]
+    table = urls.sparkSession.createDataFrame(listed, "place int, verdict string, rule_host string, rule_path string")
+    most = max((host.count(".") + 1 for _, host, _ in rules), default=1)
+    labels = F.split("host", r"\.")
+    first = F.greatest(F.lit(1), F.size(labels) - most + 1)
+    above = F.transform(F.sequence(first, F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = urls.select("row", "path", F.explode(above).alias("rule_host"))
+    met = met.join(F.broadcast(table), "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    best = F.max(F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), "rule_host", "rule_path", "place", "verdict"))
+    found = met.groupBy("row").agg(best.alias("best"))
+    return found.select("row", F.concat("best.rule_host", "best.rule_path").alias("rule"), "best.verdict")
 
 
 def resolve(target: Column, url: Column) -> Column:
@@ -102,7 +111,7 @@ def filter_urls(
 ) -> DataFrame:
     """``(id, host, path, rule, verdict, alias)``, one row per input row.
 
-    ``rules`` are ``(verdict, host, path)``; a rule's own verdict holds for the pages it
+    ``rules`` are ``(verdict, host, path)``, at most ``MAX_RULES``; a rule's own verdict holds for the pages it
     fits. Another page is blocked if a URL of its component, a page or what a link points to,
     is blocked by a rule and none is allowed by one; else it is allowed. ``redirects`` may add known redirects as
     ``(from_url, to_url)``. ``alias`` is the smallest alias key of the component.
@@ -113,14 +122,17 @@ def filter_urls(
     a third of the pages is a hub of minima, not a group of rows.
     """
     url = F.col(url_col)
-    host, path = url_host(url), url_path(url)
-    found = pages.select(
-        F.col(id_col).alias("id"),
-        host.alias("host"),
-        path.alias("path"),
-        matching_rule(host, path, rules).alias("fit"),
-        alias_key(url).alias("key"),
-    ).select("id", "host", "path", "fit.rule", F.col("fit.verdict").alias("given"), "key")
+    found = written(
+        pages.select(
+            F.col(id_col).alias("id"),
+            url_host(url).alias("host"),
+            url_path(url).alias("path"),
+            alias_key(url).alias("key"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+    )
+    fits = matching_rules(found.select("row", "host", "path"), rules)
+    found = found.join(fits, "row", "left").withColumnRenamed("verdict", "given")
     edges = pages.sparkSession.createDataFrame([], "a string, b string, target string")
     if html_col:
         edges = edges.union(link_edges(pages, url_col, html_col))
@@ -134,10 +146,17 @@ def filter_urls(
     )
     # what a link points to has a fate of its own, also if it is no page of the table
     target = F.col("target")
-    ends = edges.select(
-        alias_key(target).alias("key"), matching_rule(url_host(target), url_path(target), rules)["verdict"].alias("given")
+    targets = written(
+        edges.select("target").distinct().select(
+            F.monotonically_increasing_id().alias("row"), alias_key(target).alias("key"),
+            url_host(target).alias("host"), url_path(target).alias("path"),
+        )
+    )
+    ends = targets.join(matching_rules(targets.select("row", "host", "path"), rules), "row")
+    # a link to its own page joins nothing, but its target counts
+    ends = ends.join(joined, F.col("key") == F.col("node"), "left").select(
+        F.coalesce("component", "key").alias("alias"), F.col("verdict").alias("given")
     )
-    ends = ends.join(joined, F.col("key") == F.col("node")).select("component", "given")
     # only components with a rule to pass on and only pages without one need to meet
     known = found.select("alias", "given").union(ends)
     known = known.where("given IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(

@@ -85,3 +85,23 @@ def test_block_decisions_follow_links(spark):
     again = {r.id: r.verdict for r in url_rules.filter_urls(frame, rules, known).collect()}
     assert again[6] == "block"
     assert url_rules.filter_urls(frame.limit(0), rules).collect() == []
+
+
+def test_a_link_to_its_own_page_counts(spark):
+    rules = (("allow", "com", "/"), ("block", "net", "/es/"))
+    pages = [(1, "http://a.net/es", '<link rel=canonical href="http://a.net/es/">'), (2, "http://b.net/es", None)]
+    frame = spark.createDataFrame(pages, "page_id int, url string, html string")
+    assert {r.id: (r.rule, r.verdict) for r in url_rules.filter_urls(frame, rules).collect()} == {1: (None, "block"), 2: (None, "allow")}
+
+
+def test_very_many_rules(spark):
+    rules = [("block" if k % 2 else "allow", f"h{k}.org", f"/p{k}/") for k in range(20_000)]
+    rules += [("block", "org", "/"), ("allow", "org", "/"), ("block", "a.b.c.d", "/x"), ("allow", "c.d", "/x/y")]
+    urls = ["http://h7.org/p7/x", "http://sub.h8.org/p8/", "http://h9.org/p10/", "http://a.b.c.d/x/y", "http://z.a.b.c.d/x", "http://b.c.d/x/yes",
+            "http://" + "." * 2_000 + "h8.org/p8/", "http://org", "http://org/"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r.id: (r.rule, r.verdict) for r in url_rules.filter_urls(frame, rules, html_col=None).collect()}
+    assert got == {
+        0: ("h7.org/p7/", "block"), 1: ("h8.org/p8/", "allow"), 2: ("org/", "allow"), 3: ("a.b.c.d/x", "block"),
+        4: ("a.b.c.d/x", "block"), 5: ("c.d/x/y", "allow"), 6: ("h8.org/p8/", "allow"), 7: (None, "allow"), 8: ("org/", "allow"),
+    }
