@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,10 @@ from chunkwell.llm.common import slices, texts_of
 from chunkwell.llm.words import mix
 from chunkwell.session import written
 
-#: About so many labelled rows at most are fitted on, chosen by a hash of the text.
-FIT_ROWS = 20_000
+#: About so many labelled rows of a language at most are fitted on, chosen by a hash of the text.
+FIT_ROWS = 5_000
 #: Trigram buckets of the model, and languages it can tell apart: it has a bounded size.
-BUCKETS, MAX_LANGUAGES = 1 << 15, 100
+BUCKETS, MAX_LANGUAGES = 1 << 15, 200
 #: Trigrams overlap and repeat: this many count at most, and each with this share.
 MOST_GRAMS, SHARE = 300, 0.3
 #: Share of a language's trigrams that are spread over all buckets.
@@ -60,17 +61,23 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
         yield (mix(value) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def fit_languages(labelled: DataFrame) -> LanguageModel:
+def fit_languages(labelled: DataFrame, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Fits trigram shares on ``(text, lang)`` rows; rows with a NULL label are left out.
 
-    At most about ``FIT_ROWS`` rows are used, the documented bound of the fit, and the
-    ``MAX_LANGUAGES`` most frequent labels. Without rows every text is ``und``.
+    At most about ``FIT_ROWS`` different texts of each language are used, the documented
+    bound of the fit, so neither a frequent language nor a text with many copies takes the
+    place of others. The model tells ``max_languages`` apart, the most frequent labels.
+    Without rows every text is ``und``.
     """
+    hashed = F.xxhash64("text")
     labelled = labelled.where("lang IS NOT NULL").select("text", "lang")
-    share = min(1.0, FIT_ROWS / max(1, labelled.count()))
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    known = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = tuple(sorted(r.lang for r in known.collect()))
+    known = labelled.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("n"))
+    known = {r.lang: r.n for r in known.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    languages = tuple(sorted(known))
+    least = [(lang, int(min(1.0, FIT_ROWS / max(1, n)) * 1_000_000)) for lang, n in known.items()]
+    least = labelled.sparkSession.createDataFrame(least, "lang string, least int")
+    chosen = labelled.join(F.broadcast(least), "lang").where(F.pmod(hashed, F.lit(1_000_000)) < F.col("least"))
+    chosen = chosen.select("text", "lang").dropDuplicates()
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {lang: np.zeros(BUCKETS, np.int64) for lang in languages}
@@ -87,8 +94,9 @@ def fit_languages(labelled: DataFrame) -> LanguageModel:
 
     counts = chosen.mapInArrow(count, "lang string, bucket bigint, n bigint")
     table = np.zeros((len(languages), BUCKETS))
-    for lang, bucket, n in counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-        table[languages.index(lang), bucket] += n
+    found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = pc.index_in(found["lang"], value_set=pa.array(languages, pa.string())).to_numpy()
+    table[rows.astype(np.int64), found["bucket"].to_numpy()] = found["n"].to_numpy()
     # a trigram that was never seen has a share all the same
     seen = table.sum(axis=1, keepdims=True)
     table = (1 - UNSEEN) * table / np.maximum(seen, 1) + UNSEEN / BUCKETS
@@ -120,8 +128,8 @@ def identify(rows: DataFrame, model: LanguageModel, *, text: str = "text", least
     """All columns but the text, with ``language``, ``confidence``, ``text_language`` and ``accepted``.
 
     ``rows`` have ``host``, ``suffix`` and ``declared`` (strings, NULL for no evidence) and
-    the text; any further columns pass through, so their names must not be those of the
-    result. A row is accepted if its language is a known one with confidence ``least`` or
+    the text; any further columns pass through. Only the names of the result's own four
+    columns are taken, and an input column of such a name is an error. A row is accepted if its language is a known one with confidence ``least`` or
     more. A NULL or empty text, or one without letters, has no language and is not
     accepted, whatever is declared. Repeated rows stay repeated rows.
 
@@ -132,26 +140,29 @@ def identify(rows: DataFrame, model: LanguageModel, *, text: str = "text", least
     names = (*model.languages, UNKNOWN)
     size = len(names)
     kept = [c for c in rows.columns if c != text]
+    if taken := {"language", "confidence", "text_language", "accepted"} & set(kept):
+        raise ValueError(f"columns of the result are there already: {sorted(taken)}")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(stream):
-            found = [text_evidence(model, t) for t in texts_of(batch.column(batch.schema.get_field_index("text")))]
-            rest = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            found = [text_evidence(model, t) for t in texts_of(batch.column(4))]
             posterior = [_softmax(e) if n else [0.0] * size for n, e in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *rest,
+                    *batch.columns[:4],
                     pa.array([n for n, _ in found], pa.int64()),
                     pa.array([e for _, e in found], pa.list_(pa.float64())),
                     pa.array(posterior, pa.list_(pa.float64())),
                 ],
-                names=[*kept, "n_grams", "e", "p"],
+                names=fields.names,
             )
 
-    made = rows.select(*kept, F.col(text).alias("text"))
+    # the given columns travel in one, so no name of theirs can meet one of these
+    given = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("given")
+    made = rows.select(given, "host", "suffix", "declared", F.col(f"`{text}`").alias("text"))
     added = T.StructType.fromDDL("n_grams bigint, e array<double>, p array<double>")
-    schema = T.StructType(made.drop("text").schema.fields + added.fields)
-    scored = written(made.mapInArrow(run, schema))
+    fields = T.StructType(made.drop("text").schema.fields + added.fields)
+    scored = written(made.mapInArrow(run, fields))
 
     def sums(by: str, name: str) -> DataFrame:
         one = F.array(*[F.sum(F.col("p")[k]) for k in range(size)])
@@ -192,13 +203,14 @@ def identify(rows: DataFrame, model: LanguageModel, *, text: str = "text", least
     language = F.when(F.col("n_grams") > 0, F.element_at(labels, best))
     read = F.element_at(labels, F.array_position("p", F.array_max("p")).cast("int"))
     fused = fused.select(
-        *kept,
+        "given",
         language.alias("language"),
         F.when(F.col("n_grams") > 0, share).otherwise(F.lit(0.0)).alias("confidence"),
         F.when(F.col("n_grams") > 0, read).alias("text_language"),
     )
     fine = F.coalesce((F.col("language") != UNKNOWN) & (F.col("confidence") >= least), F.lit(False))
-    return fused.withColumn("accepted", fine)
+    fused = fused.withColumn("accepted", fine)
+    return fused.select("given.*", "language", "confidence", "text_language", "accepted")
 
 
 def declared_language(html: Column) -> Column:

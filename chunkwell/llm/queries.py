@@ -145,7 +145,7 @@ def _addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.cast("bigint").alias("page_id"),
         F.col("source").alias("host"),
         none.cast("string").alias("suffix"),
-        F.col("lang").alias("declared"),
+        none.cast("string").alias("declared"),  # the label of the fit is no evidence
         "text",
     ).unionByName(
         pages.select(
