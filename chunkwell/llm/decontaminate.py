@@ -31,7 +31,7 @@ Q, EDITS = 8, 0.1
 WORDS, WINDOW, STEP = 13, 64, 8
 #: Characters of the benchmark that one pass over the documents looks for: 24 bytes each.
 SLICE = 1 << 20
-_FILTER_BITS = 20
+_FILTER_BITS = 22
 _PIECE = 1 << 18
 _SHORT = 4
 _WORDS = re.compile(r"[^\W_]+")
