@@ -240,11 +240,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     many = many.select("a", F.ceil(F.col("n") / GROUP).alias("groups"))
     asked = many.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
-    asked = asked.join(sets, asked["a"] == sets["sig"]).select(
+    # sets move however few the pairs are, so that the plan is the same at every size
+    asked = asked.hint("merge").join(sets, asked["a"] == sets["sig"]).select(
         "a", "part", F.lit(None).cast("bigint").alias("b"), "elements"
     )
     given = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("part"))
-    given = given.join(sets, given["b"] == sets["sig"]).select("a", "part", "b", "elements")
+    given = given.hint("merge").join(sets, given["b"] == sets["sig"]).select("a", "part", "b", "elements")
     met = asked.union(given).repartition("a", "part")
     met = met.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
@@ -322,7 +323,7 @@ def search_clusters(open_sets: DataFrame, sets: DataFrame, percent: int) -> Data
     worth = dealt.groupBy(*place).agg(F.min("component").alias("low"), F.max("component").alias("high"))
     dealt = dealt.join(worth.where("low < high").drop("low", "high"), place)
     task = F.xxhash64(*place).alias("task")
-    met = dealt.select(task, "sig", "component").join(sets, "sig").select("task", "sig", "component", "elements")
+    met = dealt.select(task, "sig", "component").hint("merge").join(sets, "sig").select("task", "sig", "component", "elements")
     met = met.repartition("task").sortWithinPartitions("task")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
