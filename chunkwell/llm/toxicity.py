@@ -2,8 +2,9 @@
 
 A token's evidence is that of the features it has: the word and its character n-grams with
 marks for both ends. Log-odds of features between toxic and clean documents are smoothed by
-a Dirichlet prior in proportion to the features' overall use, and only those that stand
-clear of their own standard error count. A text is then a sequence of scores, positive at
+a Dirichlet prior in proportion to the mean of their shares in both, so that they do not depend
+on how many documents are toxic, and only those that stand clear of their own standard error
+count. A text is then a sequence of scores, positive at
 such tokens and slightly negative elsewhere; one linear scan finds all maximal segments.
 Their sums are turned into expected numbers of chance segments by extreme-value theory,
 and the evidence of all significant segments into a probability by a logistic curve.
@@ -30,8 +31,8 @@ FIT_ROWS = 20_000
 #: Features of a word: itself and its n-grams of this length, with ``<`` and ``>`` at the ends.
 GRAM = 5
 #: A feature counts with so many toxic documents, this log-odds and this many standard errors.
-LEAST_DOCS, LEAST_ODDS, LEAST_Z = 3, 4.0, 2.0
-#: Strength of the prior as a share of the documents, and the score of a token without a
+LEAST_DOCS, LEAST_ODDS, LEAST_Z = 4, 3.6, 2.0
+#: Strength of the prior as a share of each label's documents, and the score of a token without a
 #: counting feature.
 PRIOR, DRIFT = 0.04, -0.3
 #: Features kept, by standard errors: the lexicon that travels to the tasks is bounded.
@@ -180,14 +181,17 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
     counts = counts.where((F.col("toxic") >= LEAST_DOCS) | (F.col("feature") == ""))
     # the two totals decide what counts; both are in the row without a feature
     totals = counts.where("feature = ''").select(F.col("toxic").alias("t"), F.col("clean").alias("c"))
-    prior = (F.col("t") + F.col("c")) * PRIOR
-    share = (F.col("toxic") + F.col("clean")) * PRIOR
-    odds_t = F.log((F.col("toxic") + share) / (F.col("t") + prior - F.col("toxic") - share))
-    odds_c = F.log((F.col("clean") + share) / (F.col("c") + prior - F.col("clean") - share))
-    error = F.sqrt(1 / (F.col("toxic") + share) + 1 / (F.col("clean") + share))
+    mean = (F.col("toxic") / F.col("t") + F.col("clean") / F.col("c")) / 2
+
+    def smoothed(seen: str, of: str) -> Column:
+        return F.col(seen) + PRIOR * F.col(of) * mean
+
+    # shares, not odds: a word that nearly all documents have says nothing
+    odds_t, odds_c = (F.log(smoothed(*x) / F.col(x[1])) for x in (("toxic", "t"), ("clean", "c")))
+    error = F.sqrt(1 / smoothed("toxic", "t") + 1 / smoothed("clean", "c"))
     lexicon = (
         counts.where("feature != ''")
-        .crossJoin(F.broadcast(totals))
+        .crossJoin(F.broadcast(totals.where("t > 0 AND c > 0")))
         .select("feature", (odds_t - odds_c).alias("odds"), ((odds_t - odds_c) / error).alias("z"))
         .where((F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z))
         .orderBy(F.desc("z"), "feature")

@@ -81,3 +81,21 @@ def test_odd_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).collect() == []
     flat = toxicity.fit_toxicity(labelled.limit(0))
     assert {r.score for r in toxicity.score_toxicity(docs, flat).collect()} == {toxicity._probability(flat, 0.0)}
+
+
+@pytest.mark.parametrize("share", [0.05, 0.12, 0.3, 0.5])
+def test_any_share_of_toxic_labels(spark, share):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text")
+    rows = docs.join(spark.read.parquet(f"{MEDIUM}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    n = min(len(toxic) / share, len(clean) / (1 - share))
+    mixed = toxic[: int(n * share)] + clean[: int(n * (1 - share))]
+    kept = spark.createDataFrame([(r.doc_id, r.text, r.toxic) for r in mixed], "doc_id bigint, text string, toxic int")
+    model = toxicity.fit_toxicity(kept.where("doc_id % 3 != 1"))
+    held = kept.where("doc_id % 3 = 1")
+    labels = {r.doc_id: r.toxic for r in held.collect()}
+    found = {r.id: r.score >= 0.7 for r in toxicity.score_toxicity(held, model).collect()}
+    caught = [found[d] for d, y in labels.items() if y]
+    alarms = [found[d] for d, y in labels.items() if not y]
+    assert sum(caught) >= 0.75 * len(caught), (sum(caught), len(caught))
+    assert sum(alarms) <= 0.03 * len(alarms), (sum(alarms), len(alarms))
