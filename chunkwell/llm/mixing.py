@@ -1,15 +1,17 @@
 """Mixing sources to target weights along a curriculum that changes over time.
 
 Every source has a weight and a schedule, the rate at which its words are wanted from
-the start (0) to the end (1) of training. The integral of the rate says how much of the
-source's target is used up at any time; inverting it turns the place of a document in
-its source's stream into a training position, and sorting by position gives the mix.
+the start (0) to the end (1) of training. What a source weighs in the whole is its weight
+integrated along its schedule. The integral up to any time says how much of the
+source's target is used up by then; inverting it turns the place of a document in
+its source's stream into a training position, and a range sort by position gives the mix.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,25 @@ SCHEDULES: tuple[Schedule, ...] = (
 )
 
 
+def _areas(schedule: Schedule) -> list[float]:
+    """The integral of a piecewise linear rate over each of its pieces."""
+    return [(t1 - t0) * (r0 + r1) / 2 for (t0, r0), (t1, r1) in zip(schedule, schedule[1:])]
+
+
+def integrated_weights(weights: Sequence[int], schedules: Sequence[Schedule]) -> list[int]:
+    """Weights of the sources in turn, integrated along their schedules, as integers in proportion.
+
+    Integrals are taken to the nearest millionth, so that targets stay exact in integers.
+    """
+    turns = range(math.lcm(len(weights), len(schedules)))
+    areas = [Fraction(round(sum(_areas(s)) * 1_000_000), 1_000_000) for s in schedules]
+    found = [weights[k % len(weights)] * areas[k % len(schedules)] for k in turns]
+    if min(found) <= 0:
+        raise ValueError("every weight and every integral of a schedule must be above 0")
+    whole = [int(w * math.lcm(*(x.denominator for x in found))) for w in found]
+    return [w // math.gcd(*whole) for w in whole]
+
+
 def invert_schedule(schedule: Schedule, share: Column) -> Column:
     """The time at which a piecewise linear rate has delivered ``share`` (0 to 1) of its integral."""
     times = [t for t, _ in schedule]
@@ -35,7 +56,7 @@ def invert_schedule(schedule: Schedule, share: Column) -> Column:
     if min(r for _, r in schedule) < 0 or all(r == 0 for _, r in schedule):
         raise ValueError("rates must not be negative and not all 0")
     pieces = list(zip(schedule, schedule[1:]))
-    areas = [(t1 - t0) * (r0 + r1) / 2 for (t0, r0), (t1, r1) in pieces]
+    areas = _areas(schedule)
     whole, before, at = sum(areas), 0.0, F.lit(1.0)
     chosen = None
     for ((t0, r0), (t1, r1)), area in zip(pieces, areas):
@@ -98,6 +119,7 @@ def curriculum(
     text_col: str = "text",
     source_col: str = "source",
     rows_per_group: int = 50_000,
+    in_order: bool = True,
 ) -> DataFrame:
     """``(id, size, source_size, target, taken, position, last_position)``, one row per input row.
 
@@ -106,6 +128,11 @@ def curriculum(
     and perhaps a part of it in the last. ``position`` and ``last_position`` are the
     training times of its first and last copy, NULL if nothing is taken.
 
+    Rows come in the order of training, by a range partitioning on position, then id; rows of
+    which nothing is taken are last. ``in_order=False`` leaves the sort out, for callers that
+    sort copies themselves (:func:`training_order`). Sources share all words by
+    :func:`integrated_weights`.
+
     A NULL or empty text has size 0 and is not taken; a NULL source is a source of its own,
     the last one; repeated rows are placed like different documents; an empty table gives
     an empty result. Only the three named columns are read.
@@ -133,7 +160,8 @@ def curriculum(
     most = sources.agg(F.max("n")).head()[0] or 1
     digits = max(1, math.ceil(math.log(most / rows_per_group + 1, 16)))
     rows = rows.withColumn("part", F.substring("key", 1, digits))
-    targets = source_targets(sources.select("skey", "source", "source_size"), weights, max_repeats)
+    shares = integrated_weights(weights, schedules)
+    targets = source_targets(sources.select("skey", "source", "source_size"), shares, max_repeats)
     parts = rows.groupBy("skey", "part").agg(F.sum("size").alias("part_size"))
     earlier = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("offset", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
@@ -154,7 +182,7 @@ def curriculum(
         .withColumn("taken", F.col("rounds") * F.col("size") + F.col("tail"))
         .withColumn("copies", F.col("rounds") + (F.col("tail") > 0).cast("bigint"))
     )
-    return placed.select(
+    placed = placed.select(
         "id",
         F.col(  # as given, so that callers can group by it
             "source"
@@ -174,6 +202,7 @@ def curriculum(
         "words",
         "place",
     )
+    return placed.orderBy(F.asc_nulls_last("position"), "id", "source") if in_order else placed
 
 
 def _time(start: str | Column, schedules: Sequence[Schedule]) -> Column:
@@ -191,7 +220,7 @@ def _time(start: str | Column, schedules: Sequence[Schedule]) -> Column:
 def training_order(placed: DataFrame, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
     """``(id, source, copy, words, position)`` sorted by position: the mix itself.
 
-    Takes the result of :func:`curriculum` with the same schedules. A row per copy that
+    Takes the result of :func:`curriculum` with the same schedules, in any order. A row per copy that
     is taken; ``words`` is less than the document's size only for a last, cut copy. The
     sort is a range partitioning on position, then id, so no task holds more than its range.
     """

@@ -91,7 +91,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def training_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, source, copy, taken_words, position)`` of every copy, by training position."""
-    return mixing.training_order(mixing.curriculum(docs)).withColumnRenamed("id", "doc_id")
+    return mixing.training_order(mixing.curriculum(docs, in_order=False)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -6,6 +6,7 @@ import pytest
 
 from chunkwell.llm import mixing, url_rules
 from chunkwell.llm.components import connected_components
+from chunkwell.llm.queries import REGISTRY
 
 
 def test_mix_of_odd_rows(spark):
@@ -31,6 +32,25 @@ def test_mix_of_odd_rows(spark):
     assert mixing.curriculum(docs.limit(0)).collect() == []
 
 
+def test_documents_come_in_training_order(spark, new_dir):
+    rows = [(k, "w " * (k % 7), "abc"[k % 3]) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    docs.write.parquet(f"{(root := new_dir())}/documents.parquet")
+    places = [r.position for r in REGISTRY["op6_mixing"](spark, root).collect()]
+    taken = [p for p in places if p is not None]
+    assert len(places) == 200 and taken and taken == sorted(taken)
+    assert places[len(taken) :] == [None] * (200 - len(taken))
+
+
+def test_weights_are_integrated_along_schedules(spark):
+    assert mixing.integrated_weights((1, 2, 3), mixing.SCHEDULES) == [1, 2, 3]
+    even, half = ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 1.0))
+    assert mixing.integrated_weights((1, 2, 3), (even, half)) == [2, 2, 6, 1, 4, 3]
+    docs = spark.createDataFrame([(k, "w x", "ab"[k % 2]) for k in range(40)], "doc_id bigint, text string, source string")
+    got = {r.source: r.target for r in mixing.curriculum(docs, (1,), (even, half)).collect()}
+    assert got["a"] == pytest.approx(160 / 3) and got["b"] == pytest.approx(80 / 3)
+
+
 @pytest.mark.parametrize("schedule", [*mixing.SCHEDULES, ((0.0, 0.0), (0.4, 2.0), (1.0, 0.0))])
 def test_schedule_is_inverted(spark, schedule):
     def integral(t):
