@@ -9,14 +9,15 @@ of it, so it is applied as early as possible.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from chunkwell.functions.metadata import metadata_predicate
 from chunkwell.functions.topk import (
@@ -39,8 +40,10 @@ BROADCAST_HITS = 1_000_000
 #: task sends a list per query to the merge, so more tasks are no free choice.
 TASKS_PER_CORE = 8
 LEAST_TASKS = 512
-#: Vectors per side of a block pair when the queries are too many to broadcast.
-BLOCK_BYTES = 64 << 20
+#: Rows of a block pair when queries and rows are too many for whole scans, as doubles, and
+#: how many times fewer its queries are. A task scores one pair, so this bounds its time, and
+#: its memory: it holds the queries, rows stream past them.
+BLOCK_BYTES, QUERY_SHARE = 64 << 20, 8
 
 #: Files that hold winners of a table of queries and are named to the scan of their contents.
 READ_FILES = 10_000
@@ -224,16 +227,28 @@ def query_rows(
     )
 
 
+def _block_sizes(width: int) -> tuple[int, int]:
+    """Rows and queries of a block pair at most, about."""
+    rows = max(1, BLOCK_BYTES // (8 * max(1, width)))
+    return rows, max(1, rows // QUERY_SHARE)
+
+
 def bounded_queries(
-    rows: DataFrame, width: int, max_limit: int, raw: bool
+    rows: DataFrame, width: int, max_limit: int, raw: bool, against: DataFrame | None = None
 ) -> Queries | None:
     """The query table in memory if it is small enough to broadcast, else None.
 
     The bound is checked before any vector moves. The count needs no vectors, so
-    it does not run the model that makes them.
+    it does not run the model that makes them. With ``against``, the table that is searched,
+    it is also None if many queries times all rows are more scores than a block pair has:
+    the tasks of a scan do not grow in number with the queries.
     """
     room = min(BROADCAST_BYTES // (8 * max(1, width)), BROADCAST_HITS // max_limit)
-    if rows.count() > room:
+    n = rows.count()
+    if n > room:
+        return None
+    row_block, query_block = _block_sizes(width)
+    if against is not None and n > query_block and n * against.count() > row_block * query_block:
         return None
     return Queries.from_table(rows.where(F.size("vector") > 0).toArrow(), raw)
 
@@ -276,47 +291,44 @@ def _block_top_k(
 ) -> DataFrame:
     """Local winners when the queries are too many for one task.
 
-    Both sides get block numbers of bounded size and every pair of blocks is
-    one group. Block numbers come from hashed ids, so no key can grow a block.
+    Both sides get block numbers of bounded size and every pair of blocks is a partition
+    of its own, which has its queries first; there are no fewer pairs than cores. Block
+    numbers come from hashed ids, so no key can grow a block.
     """
     queries = queries.where(F.size("vector") > 0)
-    per_block = max(1, BLOCK_BYTES // (8 * max(1, width)))
-    query_blocks = -(-queries.count() // per_block)
-    row_blocks = -(-rows.count() // per_block)
+    row_block, query_block = _block_sizes(width)
+    asked, cores = queries.count(), rows.sparkSession.sparkContext.defaultParallelism
+    row_blocks = max(1, -(-rows.count() // row_block))
+    query_blocks = max(1, -(-asked // query_block), min(asked, -(-cores // row_blocks)))
 
     def block(column: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
     def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))
-
-    left = queries.withColumn("qb", block("query_id", max(1, query_blocks))).withColumn(
-        "rb", every(row_blocks)
-    )
-    right = rows.withColumn("rb", block("id", max(1, row_blocks))).withColumn(
-        "qb", every(query_blocks)
-    )
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
+    asking = ["query_id", "vector", "lim", "least"]
+    left = queries.select(*asking, F.lit(0).alias("side"), block("query_id", query_blocks).alias("qb"), every(row_blocks).alias("rb"))
+    right = rows.select("*", F.lit(1).alias("side"), block("id", row_blocks).alias("rb"), every(query_blocks).alias("qb"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("pair", F.col("qb") * row_blocks + F.col("rb"))
+    dealt = both.repartitionById(query_blocks * row_blocks, "pair").sortWithinPartitions("side")
     names = [c for c in ("id", "vector", "grp", "place") if c in rows.columns]
 
-    def pair(q: pa.Table, r: pa.Table) -> pa.Table:
-        out = _empty_hits(schema)
-        if q.num_rows and r.num_rows:
-            batches = r.select(names).to_batches(max_chunksize=10_000)
-            found = list(local_top_k(batches, Queries.from_table(q, raw)))
-            if found:
-                out = pa.Table.from_batches(found)
-        return out
-
-    return (
-        left.groupBy("qb", "rb")
-        .cogroup(right.groupBy("qb", "rb"))
-        .applyInArrow(pair, schema)
-    )
-
-
-def _empty_hits(schema: T.StructType) -> pa.Table:
-    return to_arrow_schema(schema).empty_table()
+    def winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches, held, first = iter(batches), [], []
+        for batch in batches:
+            n = pc.index(batch.column("side"), 1).as_py()
+            n = batch.num_rows if n < 0 else n
+            if n:
+                held.append(batch.slice(0, n).select(asking))
+            if n < batch.num_rows:
+                first.append(batch.slice(n))
+                break
+        if held and first:
+            table = pa.Table.from_batches(held)
+            yield from local_top_k((b.select(names) for b in chain(first, batches)), Queries.from_table(table, raw))
+
+    return dealt.mapInArrow(winners, schema)
 
 
 def merge_winners(local: DataFrame, max_limit: int, distinct: bool = False) -> DataFrame:
@@ -386,7 +398,8 @@ def search_batch(
 
     A query table of bounded size is broadcast and every task scores blocks of
     vectors against all of it; only ``limit`` rows per query and task are
-    shuffled. A larger one is joined block by block.
+    shuffled. A larger one, or one that makes too many scores for the tasks of a scan, is
+    joined block by block, a task per pair of blocks.
 
     Where the collection lies in files, winners carry theirs: with ``columns`` or a filter
     afterwards the ranking runs at once, and contents are read from those files only.
@@ -410,7 +423,7 @@ def search_batch(
     )
     schema = hit_schema(rows, asked)
     width = vector_width(rows)
-    bounded = bounded_queries(asked, width, max_limit, raw)
+    bounded = bounded_queries(asked, width, max_limit, raw, rows)
     if bounded is not None:
         local = broadcast_top_k(rows, bounded, schema)
         groups = max_groups if group_col else 1

@@ -73,6 +73,21 @@ def test_block_pairs_give_the_same(data, monkeypatch):
     assert lists(filtered) == lists(again)
 
 
+def test_too_many_scores_are_dealt_in_pairs_of_blocks(data, monkeypatch):
+    vectors, df, queries, qdf = data
+    monkeypatch.setattr(search_module, "BLOCK_BYTES", 8 * 8 * 30)  # 30 rows, 3 queries
+    asked = search_module.query_rows(qdf, 7, 7, None, "query_id", "embedding")
+    rows = df.selectExpr("id", "embedding AS vector", "'' AS grp")
+    local = search_module._block_top_k(rows, asked, 8, search_module.hit_schema(rows, asked), False)
+    assert local.rdd.getNumPartitions() >= (len(vectors) // 30) * (len(queries) // 3)
+
+    def never(*_):
+        raise AssertionError("all queries went to every task")
+
+    monkeypatch.setattr(search_module, "broadcast_top_k", never)
+    assert lists(cw.search_batch(df, qdf, 7, id_col="id")) == brute(vectors, queries, 7)
+
+
 def test_batches_and_small_blocks_do_not_matter(spark, data, monkeypatch):
     vectors, df, queries, qdf = data
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
