@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Scores held at once, as doubles: 32 MB.
-BLOCK_SCORES = 4_000_000
+#: Scores held at once, as doubles: 8 MB. A worker has a few arrays of that size.
+BLOCK_SCORES = 1_000_000
 
 #: Scores are kept to nine decimals. Sums taken in another order differ in the
 #: sixteenth, so without this two copies of a text could rank by noise instead
@@ -88,6 +88,22 @@ class Winners:
         self.id = np.empty(0, id_dtype)
         self.place = np.empty(0, np.int64)
         self.floor = np.full(n_queries, -np.inf)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n_held = 0
+
+    def hold(self, *found: np.ndarray) -> None:
+        """Keep contenders back, as merging a few costs as much as merging many."""
+        if len(found[0]):
+            self.held.append(found)
+            self.n_held += len(found[0])
+        if self.n_held > max(BLOCK_SCORES // 8, len(self.query)):
+            self.settle()
+
+    def settle(self) -> None:
+        """Offer what was kept back."""
+        if self.held:
+            found, self.held, self.n_held = self.held, [], 0
+            self.offer(*map(np.concatenate, zip(*found)))
 
     def offer(
         self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, place: np.ndarray | None = None
@@ -240,13 +256,11 @@ def local_top_k(
             at = np.flatnonzero(member == g) if len(labels) > 1 else slice(None)
             block = (matrix[at], id_rank[at])
             step = max(1, BLOCK_SCORES // len(block[1]))
-            found = [
-                _contenders(best[key], queries, chosen[i : i + step], *block)
-                for i in range(0, len(chosen), step)
-            ]
-            if any(len(scores) for _, scores, _ in found):
-                query, score, row = map(np.concatenate, zip(*found))
-                best[key].offer(query, score, ids[at][row], place[at][row])
+            for i in range(0, len(chosen), step):
+                query, score, row = _contenders(best[key], queries, chosen[i : i + step], *block)
+                best[key].hold(query, score, ids[at][row], place[at][row])
+        for winners in best.values():
+            winners.settle()
     for label, winners in best.items():
         n = len(winners.query)
         if n:

@@ -14,8 +14,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwell.functions.metadata import metadata_predicate
-from chunkwell.functions.topk import Queries, to_matrix
+from chunkwell.functions.topk import BLOCK_SCORES, to_matrix
 from chunkwell.operators.search import (
     BROADCAST_HITS,
     DEFAULT_LIMIT,
@@ -34,8 +33,12 @@ from chunkwell.operators.search import (
     finish_hits,
     hit_schema,
     merge_winners,
+    probing_queries,
+    probing_top_k,
     query_rows,
     search_batch,
+    vector_width,
+    wanted_groups,
 )
 from chunkwell.session import written
 
@@ -46,9 +49,6 @@ DEFAULT_TABLES = 1
 #: A query probes as many buckets as reach this recall on so many rows of the index, unless told otherwise.
 LEAST_RECALL, RECALL_ROWS = 0.9, 256
 
-#: Batches that a query table is cut into at most.
-MAX_BATCHES = 1 << 14
-
 SPEC = T.StructType(
     [
         T.StructField("collection_name", T.StringType()),
@@ -230,17 +230,17 @@ def read_index(spark: SparkSession, root: str, collection_name: str) -> DataFram
 
 
 def probe_mask(
-    queries: Queries, dims: int, tables: int, bits: int, seed: int, probes: int
+    vectors: np.ndarray, dims: int, tables: int, bits: int, seed: int, probes: int
 ) -> np.ndarray:
     """Which buckets a query looks into, as a mask ``(query, table and bucket)``."""
     n_buckets = 1 << bits
-    mask = np.zeros((len(queries), tables * n_buckets), dtype=bool)
-    if not len(queries):
-        return mask
-    margins = queries.vectors @ _planes(dims, tables, bits, seed).T
-    for t in range(tables):
-        nearest = _probe_order(margins, t, bits)[:, :probes]
-        np.put_along_axis(mask, nearest + t * n_buckets, True, axis=1)
+    mask = np.zeros((tables * n_buckets, len(vectors)), dtype=bool).T  # read by bucket
+    planes, step = _planes(dims, tables, bits, seed).T, max(1, BLOCK_SCORES // n_buckets)
+    for at in range(0, len(vectors), step):
+        margins = vectors[at : at + step] @ planes
+        for t in range(tables):
+            nearest = _probe_order(margins, t, bits)[:, :probes]
+            np.put_along_axis(mask[at : at + step], nearest + t * n_buckets, True, axis=1)
     return mask
 
 
@@ -300,56 +300,42 @@ def search_ann(
     if predicate is not None:
         index = index.where(predicate)
 
-    def probe(batch: Queries) -> DataFrame:
-        if len(batch) and batch.width != spec["dims"]:
-            raise ValueError(f"vectors have different widths: {spec['dims']} and {batch.width}")
-        mask = probe_mask(
-            batch, spec["dims"], spec["tables"], spec["bits"], spec["seed"], probes
-        )
-        rows = _probed(index, mask, spec["tables"], n_buckets).select(
+    dims, tables, bits, seed = (spec[c] for c in ("dims", "tables", "bits", "seed"))
+    cells = tables * n_buckets
+
+    def mask(vectors: np.ndarray) -> np.ndarray:
+        return probe_mask(vectors, dims, tables, bits, seed, probes)
+
+    def rows_of(wanted: np.ndarray) -> DataFrame:
+        return _probed(index, wanted, tables, n_buckets).select(
             F.col(id_col).alias("id"),
             F.col(spec["path"]).cast("array<float>").alias("vector"),
             (F.col("table_no") * n_buckets + F.col("bucket")).cast("int").alias("grp"),
         )
-        return broadcast_top_k(rows, batch, hit_schema(rows, asked), mask)
 
-    # the mask of wanted buckets is as long per query as a vector of that width
-    widest = max(spec["dims"], spec["tables"] * n_buckets)
-    batches = list(_query_batches(asked, widest, limit, raw))
-    local = reduce(DataFrame.unionByName, map(probe, batches))
-    ranked = merge_winners(local, limit, distinct=spec["tables"] > 1)
+    most = probing_queries(dims, cells)
+    batch = bounded_queries(asked, dims, limit, raw, most=most)
+    if batch is not None:
+        check_width(batch.width if len(batch) else 0, dims)
+        wanted = mask(batch.vectors)
+        rows = rows_of(wanted)
+        local = broadcast_top_k(rows, batch, hit_schema(rows, asked), wanted)
+    else:
+        asked = written(asked)  # a model behind the vectors runs once
+        check_width(vector_width(asked), dims)
+        rows = rows_of(wanted_groups(asked, dims, cells, mask))
+        local = probing_top_k(rows, asked, dims, hit_schema(rows, asked), raw, limit, mask, most)
     return finish_hits(
-        ranked, collection, None, id_col=id_col, query_id_col=query_id_col,
-        group_col=None, columns=columns, max_hits=sum(map(len, batches)) * limit,
+        merge_winners(local, limit, distinct=tables > 1), collection, None, id_col=id_col,
+        query_id_col=query_id_col, group_col=None, columns=columns,
+        max_hits=None if batch is None else len(batch) * limit,
     )
 
 
-def _query_batches(
-    asked: DataFrame, width: int, limit: int, raw: bool
-) -> Iterator[Queries]:
-    """All queries, in as few batches of broadcast size as it takes.
-
-    Hashed ids say which batch a query is in. Should one come out too large,
-    the number of batches doubles, so every batch is of proven size.
-    """
-    whole = bounded_queries(asked, width, limit, raw)
-    if whole is not None:
-        return iter([whole])
-    asked = written(asked)  # a model behind the vectors runs once
-    blocks = 2
-    while True:
-        found = []
-        for b in range(blocks):
-            block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b
-            batch = bounded_queries(asked.where(block), width, limit, raw)
-            if batch is None:
-                break
-            found.append(batch)
-        else:
-            return iter(found)
-        blocks *= 2
-        if blocks > MAX_BATCHES:
-            raise ValueError("the queries do not fit into batches of broadcast size")
+def check_width(width: int, dims: int) -> None:
+    """Queries must be as wide as the index; width 0 stands for none."""
+    if width and width != dims:
+        raise ValueError(f"vectors have different widths: {dims} and {width}")
 
 
 def _probed(index: DataFrame, mask: np.ndarray, tables: int, n_buckets: int) -> DataFrame:

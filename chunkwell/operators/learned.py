@@ -17,7 +17,7 @@ import json
 import math
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -29,20 +29,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwell.functions.metadata import metadata_predicate
-from chunkwell.functions.topk import Queries, Winners, to_matrix
-from chunkwell.operators.ann import LEAST_RECALL, RECALL_ROWS, _query_batches, field_name, filter_column
+from chunkwell.functions.topk import BLOCK_SCORES, Queries, Winners, to_matrix
+from chunkwell.operators.ann import LEAST_RECALL, RECALL_ROWS, check_width, field_name, filter_column
 from chunkwell.operators.search import (
     BROADCAST_HITS,
     DEFAULT_LIMIT,
     _check,
+    _block_top_k,
+    bounded_queries,
     broadcast_top_k,
     few_tasks,
     finish_hits,
     hit_schema,
     merge_winners,
+    probing_queries,
+    probing_top_k,
     query_rows,
     search_batch,
     similarity_score,
+    vector_width,
+    wanted_groups,
 )
 from chunkwell.session import path_exists, written
 
@@ -53,9 +59,6 @@ MAX_LISTS, MAX_CELLS, MAX_CENTRE_BYTES = 4_096, 1 << 16, 64 << 20
 FIT_ROUNDS = 10
 #: Values of one byte of a product code, and candidates per wanted row of a first pass.
 CODES, CANDIDATES = 256, 10
-#: Scores held at once when rows meet centres.
-_BLOCK = 4_000_000
-
 _FLOATS = T.ArrayType(T.FloatType())
 MODEL = T.StructType(
     [
@@ -92,7 +95,7 @@ def _nearest(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The number of the nearest centre of every row, the lower one of equals."""
     half = np.einsum("ij,ij->i", centres, centres) / 2
     out = np.zeros(len(matrix), np.int64)
-    step = max(1, _BLOCK // max(1, len(centres)))
+    step = max(1, BLOCK_SCORES // max(1, len(centres)))
     for at in range(0, len(matrix), step):
         out[at : at + step] = np.argmax(matrix[at : at + step] @ centres.T - half, axis=1)
     return out
@@ -134,6 +137,15 @@ class Centres:
         scores = vectors @ self.cell_centres().T
         return scores, np.argsort(-scores, axis=1, kind="stable")
 
+    def wanted(self, vectors: np.ndarray, probes: int) -> np.ndarray:
+        """The best cells of every query, as a mask ``(query, cell)``."""
+        mask = np.zeros((self.cells, len(vectors)), bool).T  # read by cell
+        centres, step = self.cell_centres().T, max(1, BLOCK_SCORES // self.cells)
+        for at in range(0, len(vectors), step):
+            order = np.argsort(-(vectors[at : at + step] @ centres), axis=1, kind="stable")
+            np.put_along_axis(mask[at : at + step], order[:, :probes], True, axis=1)
+        return mask
+
 
 def _sampled(rows: DataFrame, most: int, seed: int) -> DataFrame:
     """About ``most`` rows ``(id, vector)`` by a hash of their ids, all if there are fewer."""
@@ -456,18 +468,16 @@ def _probed(index: DataFrame, mask: np.ndarray, fine: int) -> DataFrame:
     return index.where(F.col("list_no").isin(lists.tolist()) & F.col("cell").isin(cells.tolist()))
 
 
-def _coded_top_k(
-    rows: DataFrame, queries: Queries, schema: T.StructType, mask: np.ndarray, scores: np.ndarray, centres: Centres, k: int
-) -> DataFrame:
-    """Each task's best ``k`` rows per query by their codes; ``rows`` holds ``(id, code, grp)``."""
-    parts, width = len(centres.codes), centres.codes.shape[2]
-    # what every value of every byte adds to a query's score
-    tables = np.stack([queries.vectors[:, m * width : (m + 1) * width] @ centres.codes[m].T for m in range(parts)])
-    sent = (queries.ids, queries.limits, mask, scores.astype(np.float32), tables.astype(np.float32))
-    shared = rows.sparkSession.sparkContext.broadcast(sent)
+def _coded_scan(centres: Centres, probes: int, k: int) -> Callable[[Iterator[pa.RecordBatch], Queries], Iterator[pa.RecordBatch]]:
+    """A task's best ``k`` rows per query by their codes; batches hold ``(id, code, grp)``."""
+    known = centres.parts()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, limits, wanted, base, added = shared.value
+    def scan(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator[pa.RecordBatch]:
+        centres = Centres(*known)
+        parts, width = len(centres.codes), centres.codes.shape[2]
+        cell_centres, wanted = centres.cell_centres(), centres.wanted(queries.vectors, probes)
+        # what every value of every byte adds to a query's score
+        added = [(queries.vectors[:, m * width : (m + 1) * width] @ centres.codes[m].T).astype(np.float32) for m in range(parts)]
         best = id_type = None
         for batch in batches:
             ids = batch.column(0)
@@ -475,13 +485,14 @@ def _coded_top_k(
             ids = ids.to_numpy(zero_copy_only=False)
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), parts)
             cells = batch.column(2).to_numpy(zero_copy_only=False)
-            best = best or Winners(len(limits), k, ids.dtype, True)
+            best = best or Winners(len(queries), k, ids.dtype, True)
             for cell in np.unique(cells):
                 rows_here, asked = np.flatnonzero(cells == cell), np.flatnonzero(wanted[:, cell])
-                step = max(1, _BLOCK // max(1, len(rows_here)))
+                step = max(1, BLOCK_SCORES // max(1, len(rows_here)))
                 for at in range(0, len(asked), step):
                     some = asked[at : at + step]
-                    found = np.repeat(base[some, cell][:, None], len(rows_here), axis=1)
+                    base = (queries.vectors[some] @ cell_centres[cell]).astype(np.float32)
+                    found = np.repeat(base[:, None], len(rows_here), axis=1)
                     for m in range(parts):
                         found += added[m][some][:, codes[rows_here, m]]
                     q, c = np.nonzero(found >= best.floor[some][:, None])
@@ -489,10 +500,21 @@ def _coded_top_k(
                         best.offer(some[q], found[q, c].astype(np.float64), ids[rows_here[c]])
         if best is not None and len(best.query):
             n = len(best.query)
-            columns = [ids_of.take(pa.array(best.query)), pa.array(best.id, id_type), pa.array(best.score)]
-            columns += [pa.array(limits[best.query] * 0 + k, pa.int64()), pa.nulls(n, pa.int32())]
+            columns = [queries.ids.take(pa.array(best.query)), pa.array(best.id, id_type), pa.array(best.score)]
+            columns += [pa.array(queries.limits[best.query] * 0 + k, pa.int64()), pa.nulls(n, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "similarity_score", "lim", "grp"])
 
+    return scan
+
+
+def _coded_top_k(rows: DataFrame, queries: Queries, schema: T.StructType, centres: Centres, probes: int, k: int) -> DataFrame:
+    """Each task's best ``k`` rows per query by their codes; ``rows`` holds ``(id, code, grp)``."""
+    shared = rows.sparkSession.sparkContext.broadcast(queries.parts())
+    scan = _coded_scan(centres, probes, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches, Queries(*shared.value))
+
     return few_tasks(rows).mapInArrow(run, schema)
 
 
@@ -548,40 +570,51 @@ def search_learned(
         late = metadata_predicate(new, metadata_filter)
         new = (new if late is None else new.where(late)).select(id_, vector, F.lit(0).alias("grp"))
 
-    def probe(batch: Queries) -> DataFrame:
-        if len(batch) and batch.width != spec["dims"]:
-            raise ValueError(f"vectors have different widths: {spec['dims']} and {batch.width}")
-        vectors = batch.vectors if len(batch) else np.zeros((0, spec["dims"]))
-        scores, order = centres.order(vectors)
-        mask = np.zeros((len(batch), centres.cells), bool)
-        np.put_along_axis(mask, order[:, :probes], True, axis=1)
-        held = _probed(index, mask, len(centres.fine))
-        rows = held.select(id_, vector, grp)
-        schema = hit_schema(rows, asked)
-        if centres.codes is None:
-            found = broadcast_top_k(rows, batch, schema, mask)
+    dims, cells, shared = spec["dims"], centres.cells, spark.sparkContext.broadcast(centres.parts())
+
+    def mask(vectors: np.ndarray) -> np.ndarray:
+        return Centres(*shared.value).wanted(vectors, probes)
+
+    most = probing_queries(dims, cells, 4 * CODES * len(centres.codes) if centres.codes is not None else 0)
+    batch = bounded_queries(asked, dims, wide, raw, most=most)
+    if batch is not None:
+        check_width(batch.width if len(batch) else 0, dims)
+        wanted = centres.wanted(batch.vectors if len(batch) else np.zeros((0, dims)), probes)
+    else:
+        asked = written(asked)  # a model behind the vectors runs once
+        check_width(vector_width(asked), dims)
+        wanted = wanted_groups(asked, dims, cells, mask)
+    held = _probed(index, wanted, len(centres.fine))
+    rows = held.select(id_, vector, grp)
+    schema = hit_schema(rows, asked)
+    if centres.codes is not None:
+        coded = held.select(id_, "code", grp)
+        if batch is not None:
+            first = _coded_top_k(coded, batch, schema, centres, probes, wide)
         else:
-            coded = held.select(id_, "code", grp)
-            first = _coded_top_k(coded, batch, schema, mask, scores, centres, wide)
-            first = written(merge_winners(first, wide).select("query_id", "id"))
-            found = _scored(held.select(id_, vector), first, asked, score, schema)
-        if new is not None:
-            found = found.unionByName(broadcast_top_k(new, batch, schema))
-        return found.withColumn("grp", F.lit(None).cast("int"))
-
-    batches = list(_query_batches(asked, max(spec["dims"], centres.cells), wide, raw))
-    ranked = merge_winners(reduce(DataFrame.unionByName, map(probe, batches)), limit)
+            first = _block_top_k(coded, asked, dims, schema, raw, wide, _coded_scan(centres, probes, wide), most)
+        first = written(merge_winners(first, wide).select("query_id", "id"))
+        found = _scored(held.select(id_, vector), first, asked, score, schema, small=batch is not None)
+    elif batch is not None:
+        found = broadcast_top_k(rows, batch, schema, wanted)
+    else:
+        found = probing_top_k(rows, asked, dims, schema, raw, limit, mask, most)
+    if new is not None and batch is not None:
+        found = found.unionByName(broadcast_top_k(new, batch, schema))
+    elif new is not None:
+        found = found.unionByName(_block_top_k(new, asked, dims, schema, raw, limit))
     return finish_hits(
-        ranked, collection, None, id_col=id_col, query_id_col=query_id_col,
-        group_col=None, columns=columns, max_hits=sum(map(len, batches)) * limit,
+        merge_winners(found.withColumn("grp", F.lit(None).cast("int")), limit), collection, None, id_col=id_col,
+        query_id_col=query_id_col, group_col=None, columns=columns,
+        max_hits=None if batch is None else len(batch) * limit,
     )
 
 
-def _scored(rows: DataFrame, first: DataFrame, asked: DataFrame, score: str, schema: T.StructType) -> DataFrame:
-    """Exact scores of the candidates ``(query_id, id)`` of a first pass."""
+def _scored(rows: DataFrame, first: DataFrame, asked: DataFrame, score: str, schema: T.StructType, small: bool) -> DataFrame:
+    """Exact scores of the candidates ``(query_id, id)`` of a first pass; ``small``: of a bounded number of queries."""
     query = asked.select("query_id", F.col("vector").alias("_query"), "lim", "least")
-    pairs = first.join(F.broadcast(query), "query_id")
-    met = rows.join(F.broadcast(pairs), "id")
+    pairs = first.join(F.broadcast(query) if small else query, "query_id")
+    met = rows.join(F.broadcast(pairs) if small else pairs, "id")
     met = met.withColumn("similarity_score", similarity_score(F.col("vector"), F.col("_query"), score))
     enough = F.col("least").isNull() | (F.col("least") == 0) | (F.col("similarity_score") >= F.col("least"))
     return met.where(enough).withColumn("grp", F.lit(None).cast("int")).select(*schema.names)

@@ -8,7 +8,7 @@ of it, so it is applied as early as possible.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import chain
 
 import numpy as np
@@ -25,6 +25,7 @@ from chunkwell.functions.topk import (
     Queries,
     local_top_k,
     score_against,
+    to_matrix,
 )
 from chunkwell.session import written
 
@@ -44,6 +45,8 @@ LEAST_TASKS = 512
 #: how many times fewer its queries are. A task scores one pair, so this bounds its time, and
 #: its memory: it holds the queries, rows stream past them.
 BLOCK_BYTES, QUERY_SHARE = 64 << 20, 8
+#: What a task of an approximate search holds of its queries, with the cells they want.
+PROBE_BYTES = 32 << 20
 
 #: Files that hold winners of a table of queries and are named to the scan of their contents.
 READ_FILES = 10_000
@@ -233,19 +236,24 @@ def _block_sizes(width: int) -> tuple[int, int]:
     return rows, max(1, rows // QUERY_SHARE)
 
 
+def probing_queries(width: int, cells: int, others: int = 0) -> int:
+    """Queries that a task of an approximate search holds at most, with ``others`` more bytes each."""
+    return max(1, min(_block_sizes(width)[1], PROBE_BYTES // (8 * width + cells + others)))
+
+
 def bounded_queries(
-    rows: DataFrame, width: int, max_limit: int, raw: bool, against: DataFrame | None = None
+    rows: DataFrame, width: int, max_limit: int, raw: bool, against: DataFrame | None = None, most: int | None = None
 ) -> Queries | None:
     """The query table in memory if it is small enough to broadcast, else None.
 
     The bound is checked before any vector moves. The count needs no vectors, so
     it does not run the model that makes them. With ``against``, the table that is searched,
     it is also None if many queries times all rows are more scores than a block pair has:
-    the tasks of a scan do not grow in number with the queries.
+    the tasks of a scan do not grow in number with the queries. More than ``most`` are too many.
     """
     room = min(BROADCAST_BYTES // (8 * max(1, width)), BROADCAST_HITS // max_limit)
     n = rows.count()
-    if n > room:
+    if n > room or (most is not None and n > most):
         return None
     row_block, query_block = _block_sizes(width)
     if against is not None and n > query_block and n * against.count() > row_block * query_block:
@@ -287,16 +295,25 @@ def broadcast_top_k(
 
 
 def _block_top_k(
-    rows: DataFrame, queries: DataFrame, width: int, schema: T.StructType, raw: bool
+    rows: DataFrame,
+    queries: DataFrame,
+    width: int,
+    schema: T.StructType,
+    raw: bool,
+    max_limit: int = 1,
+    scan: Callable[[Iterator[pa.RecordBatch], Queries], Iterator[pa.RecordBatch]] = local_top_k,
+    most: int | None = None,
 ) -> DataFrame:
     """Local winners when the queries are too many for one task.
 
     Both sides get block numbers of bounded size and every pair of blocks is a partition
     of its own, which has its queries first; there are no fewer pairs than cores. Block
-    numbers come from hashed ids, so no key can grow a block.
+    numbers come from hashed ids, so no key can grow a block. ``scan`` gets a block's rows,
+    ordered by group, and its queries, ``most`` or fewer.
     """
     queries = queries.where(F.size("vector") > 0)
     row_block, query_block = _block_sizes(width)
+    query_block = max(1, min(query_block, BROADCAST_HITS // max_limit, most or query_block))
     asked, cores = queries.count(), rows.sparkSession.sparkContext.defaultParallelism
     row_blocks = max(1, -(-rows.count() // row_block))
     query_blocks = max(1, -(-asked // query_block), min(asked, -(-cores // row_blocks)))
@@ -311,8 +328,8 @@ def _block_top_k(
     left = queries.select(*asking, F.lit(0).alias("side"), block("query_id", query_blocks).alias("qb"), every(row_blocks).alias("rb"))
     right = rows.select("*", F.lit(1).alias("side"), block("id", row_blocks).alias("rb"), every(query_blocks).alias("qb"))
     both = left.unionByName(right, allowMissingColumns=True).withColumn("pair", F.col("qb") * row_blocks + F.col("rb"))
-    dealt = both.repartitionById(query_blocks * row_blocks, "pair").sortWithinPartitions("side")
-    names = [c for c in ("id", "vector", "grp", "place") if c in rows.columns]
+    dealt = both.repartitionById(query_blocks * row_blocks, "pair").sortWithinPartitions("side", "grp")
+    names = rows.columns
 
     def winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches, held, first = iter(batches), [], []
@@ -326,11 +343,38 @@ def _block_top_k(
                 break
         if held and first:
             table = pa.Table.from_batches(held)
-            yield from local_top_k((b.select(names) for b in chain(first, batches)), Queries.from_table(table, raw))
+            yield from scan((b.select(names) for b in chain(first, batches)), Queries.from_table(table, raw))
 
     return dealt.mapInArrow(winners, schema)
 
 
+def probing_top_k(
+    rows: DataFrame, queries: DataFrame, width: int, schema: T.StructType, raw: bool, max_limit: int,
+    mask: Callable[[np.ndarray], np.ndarray], most: int,
+) -> DataFrame:
+    """Like :func:`_block_top_k`; ``mask`` says in each task which groups its queries look into."""
+
+    def scan(batches: Iterator[pa.RecordBatch], held: Queries) -> Iterator[pa.RecordBatch]:
+        return local_top_k(batches, held, mask(held.vectors))
+
+    return _block_top_k(rows, queries, width, schema, raw, max_limit, scan, most)
+
+
+def wanted_groups(queries: DataFrame, width: int, n_groups: int, mask: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """A mask, one row, of the groups that any query looks into."""
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(n_groups, bool)
+        for batch in batches:
+            seen |= mask(to_matrix(batch.column(0), width)[1]).any(axis=0)
+        yield pa.RecordBatch.from_pydict({"grp": pa.array(np.flatnonzero(seen), pa.int32())})
+
+    found = queries.select("vector").mapInArrow(wanted, "grp int").distinct().collect()
+    every = np.zeros((1, n_groups), bool)
+    every[0, [r["grp"] for r in found]] = True
+    return every
+
+
 def merge_winners(local: DataFrame, max_limit: int, distinct: bool = False) -> DataFrame:
     """Merge local lists into the final ``rank`` per query and group.
 
@@ -429,7 +473,7 @@ def search_batch(
         groups = max_groups if group_col else 1
         max_hits = len(bounded) * max_limit * groups if groups else None
     else:  # written down, so that a model behind the vectors runs once
-        local, max_hits = _block_top_k(rows, written(asked), width, schema, raw), None
+        local, max_hits = _block_top_k(rows, written(asked), width, schema, raw, max_limit), None
     return finish_hits(
         merge_winners(local, max_limit), collection,
         metadata_filter if filter_mode == "post" else None,

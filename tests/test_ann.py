@@ -138,3 +138,29 @@ def test_bad_options(spark, clustered, new_dir):
             cw.search_ann(spark, root, "c", q, **options)
     with pytest.raises(ValueError, match="different widths"):
         cw.search_ann(spark, root, "c", q.withColumn("embedding", F.array(F.lit(1.0))))
+
+
+def test_tasks_hold_blocks_of_many_queries(spark, clustered, new_dir, monkeypatch):
+    df, q = clustered
+    root = new_dir()
+    many = df.select(F.col("chunk_id").alias("query_id"), "embedding")
+    cw.build_index(df, root, "c", 16, bits=4, tables=2)
+    wanted = pairs(cw.search_ann(spark, root, "c", many, 3, probes=4))
+    # a task holds 512 / 8 queries of 16 doubles at most, and no table of queries goes to every task
+    monkeypatch.setattr(search_module, "BLOCK_BYTES", 512 * 16 * 8)
+    monkeypatch.setattr(cw.operators.ann, "broadcast_top_k", None)
+    assert pairs(cw.search_ann(spark, root, "c", many, 3, probes=4)) == wanted
+    # buckets that no query wants are not read
+    near = many.where("query_id < 20")
+    seen = search_module.wanted_groups(near.withColumn("vector", F.col("embedding")), 16, 32, lambda v: cw.operators.ann.probe_mask(v, 16, 2, 4, 0, 1))
+    assert seen.shape == (1, 32) and 2 <= seen.sum() < 32
+
+
+def test_width_of_many_queries(spark, clustered, new_dir, monkeypatch):
+    df, q = clustered
+    root = new_dir()
+    cw.build_index(df, root, "c", 16, bits=3)
+    monkeypatch.setattr(search_module, "BROADCAST_BYTES", 0)
+    assert cw.search_ann(spark, root, "c", q.withColumn("embedding", F.lit(None).cast("array<float>")), 3).collect() == []
+    with pytest.raises(ValueError, match="different widths"):
+        cw.search_ann(spark, root, "c", q.withColumn("embedding", F.array(F.lit(1.0))))
