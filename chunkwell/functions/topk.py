@@ -184,15 +184,17 @@ def _contenders(
     chosen: np.ndarray,
     vectors: np.ndarray,
     id_rank: np.ndarray,
+    copies: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query numbers, scores and row numbers of what can still win a place.
 
+    If ids count once, ``copies`` is how often one comes at most: so many times more rows are kept.
     Cosines that cannot reach a list are dropped before they become scores:
     once lists are full, that is nearly all of them, and a block costs little
     more than its matrix product.
     """
     cosines = queries.vectors[chosen] @ vectors.T
-    k, n = winners.k, cosines.shape[1]
+    k, n = winners.k * copies, cosines.shape[1]
     floor = np.maximum(winners.floor[chosen], queries.least[chosen])
     bound = (floor if queries.raw else 2 * floor - 1) - ROUNDING
     crowded = n > k and not np.isfinite(bound).all()
@@ -242,6 +244,7 @@ def local_top_k(
         place = places[0].to_numpy(zero_copy_only=False)[rows] if places else np.zeros(len(ids), np.int64)
         id_rank = np.empty(len(ids), np.int64)
         id_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        copies = 1 if probes is None else int(np.unique(ids, return_counts=True)[1].max())
         labels, member = np.unique(
             groups.to_numpy(zero_copy_only=False)[rows], return_inverse=True
         )
@@ -257,7 +260,7 @@ def local_top_k(
             block = (matrix[at], id_rank[at])
             step = max(1, BLOCK_SCORES // len(block[1]))
             for i in range(0, len(chosen), step):
-                query, score, row = _contenders(best[key], queries, chosen[i : i + step], *block)
+                query, score, row = _contenders(best[key], queries, chosen[i : i + step], *block, copies)
                 best[key].hold(query, score, ids[at][row], place[at][row])
         for winners in best.values():
             winners.settle()

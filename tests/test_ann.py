@@ -164,3 +164,13 @@ def test_width_of_many_queries(spark, clustered, new_dir, monkeypatch):
     assert cw.search_ann(spark, root, "c", q.withColumn("embedding", F.lit(None).cast("array<float>")), 3).collect() == []
     with pytest.raises(ValueError, match="different widths"):
         cw.search_ann(spark, root, "c", q.withColumn("embedding", F.array(F.lit(1.0))))
+
+
+def test_repeated_ids_take_one_place_each(spark, new_dir):
+    rows = [(i, [1.0, i / 10]) for i in range(1, 13) for _ in range(6)]
+    df = spark.createDataFrame(rows, "chunk_id int, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    root = new_dir()
+    cw.build_index(df, root, "c", 2, bits=1, tables=2)
+    found = cw.search_ann(spark, root, "c", q, 5, probes=2).orderBy("rank").collect()
+    assert [r.chunk_id for r in found] == [1, 2, 3, 4, 5]

@@ -133,3 +133,19 @@ def test_bad_options(spark, clustered, new_dir):  # noqa: F811
             cw.search_learned(spark, root, "c", q, **options)
     with pytest.raises(ValueError, match="different widths"):
         cw.search_learned(spark, root, "c", q.withColumn("embedding", F.array(F.lit(1.0))))
+
+
+def test_tasks_hold_blocks_of_many_queries(spark, clustered, new_dir, monkeypatch):  # noqa: F811
+    df, _ = clustered
+    many = df.select(F.col("chunk_id").alias("query_id"), "embedding")
+    places = {}
+    for code_bytes in (0, 4):
+        places[code_bytes] = new_dir()
+        cw.build_learned_index(df, places[code_bytes], "c", 16, lists=8, fine=2, code_bytes=code_bytes, fit_rows=1_000)
+    wanted = {k: pairs(cw.search_learned(spark, root, "c", many, 3, probes=4)) for k, root in places.items()}
+    # a task holds 512 / 8 queries of 16 doubles at most, and no table of queries goes to every task
+    monkeypatch.setattr(search_module, "BLOCK_BYTES", 512 * 16 * 8)
+    monkeypatch.setattr(learned, "broadcast_top_k", None)
+    monkeypatch.setattr(learned, "_coded_top_k", None)
+    for k, root in places.items():
+        assert pairs(cw.search_learned(spark, root, "c", many, 3, probes=4)) == wanted[k]
