@@ -10,8 +10,10 @@ What is left names candidates, whose sets are then merged and probed for the exa
 
 Only components are wanted, so links inside a group that already hangs together are not
 looked for. A first round links every set to one leader of its lists; the second takes the
-lists on which more than one component is left and searches, block by block, the clusters
-of sets that they hold together.
+lists on which more than one component is left, and there compares short marks that bound
+how much two sets differ. Sets whose marks allow a link hang together in clusters, which are
+searched block by block. A list alone holds nothing together: by lists that sets share by
+chance most of a large corpus would be one cluster.
 """
 
 from __future__ import annotations
@@ -42,6 +44,12 @@ LONGEST = 1 << 16
 GROUP = 2_000
 #: Sets and elements of one block of a cluster; a task holds two blocks.
 BLOCK_SETS, BLOCK_ELEMENTS = 1_000, 400_000
+#: Rows of one block of an open list; a task holds two blocks.
+LIST_ROWS = 4_000
+#: Bits of a set's mark for each element, at least; bits of a mark, at most.
+MARK_BITS, LONGEST_MARK = 4, 1 << 16
+#: Words of marks compared at a time, and candidates of a set that are compared one by one.
+MARK_CELLS, FEW = 1 << 20, 64
 
 _S = np.int64
 
@@ -283,18 +291,111 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
-def search_clusters(open_sets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: links between components among sets that hang together by open lists.
+def mark(elements: np.ndarray) -> bytes:
+    """The parities of the numbers of elements that fall on each of a power of two of places.
 
-    ``open_sets`` are ``(a, sig, n, component)``, ``a`` a set that shares a list with ``sig``.
+    The bits in which the marks of two sets differ are at most as many as the elements that
+    only one of the sets has. A mark's halves, one upon the other, are the mark of half the places.
+    """
+    places = 64
+    while places < min(MARK_BITS * len(elements), LONGEST_MARK):
+        places *= 2
+    at = (elements & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+def near_marks(
+    n: np.ndarray, component: np.ndarray, marks: list[bytes], percent: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """``(q, others)``: rows of other components that by size and mark may be linked with row ``q``.
+
+    Every pair that links is there, from one of its ends at least: rows of the commonest
+    component are not asked for. Marks of different length meet at the shorter one's.
+    """
+    lengths = np.array([len(m) for m in marks])
+    names, often = np.unique(component, return_counts=True)
+    common = names[often.argmax()]
+    order = np.argsort(n, kind="stable")
+    for length in np.unique(lengths):
+        most = 100 * n[lengths == length].max() // percent
+        rows, words = order[(lengths[order] >= length) & (n[order] <= most)], int(length) // 8
+        asked = np.flatnonzero(component[rows] != common)
+        if not len(asked):
+            continue
+        folded = []
+        for long in np.unique(lengths[rows]):
+            raw = b"".join([marks[k] for k in rows[lengths[rows] == long]])
+            folded.append(np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, long // length, words), axis=1))
+        bits = np.concatenate(folded)
+        sizes, group, wide = n[rows], component[rows], lengths[rows] > length
+        step = max(1, MARK_CELLS // (len(rows) * words))
+        for start in range(0, len(asked), step):
+            some = asked[start : start + step]
+            low = int(np.searchsorted(sizes, (percent * sizes[some[0]] + 99) // 100))
+            high = int(np.searchsorted(sizes, 100 * sizes[some[-1]] // percent, side="right"))
+            apart = np.bitwise_count(bits[some][:, None, :] ^ bits[low:high]).sum(axis=2, dtype=np.int64)
+            mine, theirs = sizes[some][:, None], sizes[low:high]
+            needed = (percent * (mine + theirs) + 99 + percent) // (100 + percent)
+            open_ = (apart <= mine + theirs - 2 * needed) & (needed <= np.minimum(mine, theirs))
+            open_ &= (group[some][:, None] != group[low:high]) & ~(wide[some][:, None] & wide[low:high])
+            for k in np.flatnonzero(open_.any(axis=1)):
+                yield int(rows[some[k]]), rows[low + np.flatnonzero(open_[k])]
+
+
+def near_edges(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: edges that hold together all sets which may be linked by some list.
+
+    ``open_lists`` are ``(element, length, sig, n, component)``, all rows of a list with its
+    length. A list is cut into blocks of bounded size, and every pair of blocks is compared
+    by one task, which returns no more edges than it has sets.
+    """
+    dealt = open_lists.withColumn("k", F.ceil(F.col("length") / LIST_ROWS))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("sig"), "k")).withColumn(
+        "t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))
+    )
+    task = F.xxhash64("element", F.least("i", "t"), F.greatest("i", "t")).alias("task")
+    met = dealt.select(task, "sig", "n", "component").hint("merge").join(sets.select("sig", "mark"), "sig")
+    met = met.select("task", "sig", "n", "component", "mark").repartition("task").sortWithinPartitions("task")
+
+    def edges(held: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        sigs, n, component, marks = zip(*held)
+        tree, found = np.arange(len(held)), []
+        for q, others in near_marks(np.array(n), np.array(component), list(marks), percent):
+            names, first = np.unique(tree[others], return_index=True)
+            new = names != tree[q]
+            found += [(sigs[q], sigs[d]) for d in others[first[new]]]
+            tree[np.isin(tree, names[new])] = tree[q]
+        return found
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in slices(stream):
+            found = []
+            for task, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != now:
+                    found += edges(held)
+                    now, held = task, []
+                held.append(row)
+            yield _pairs(found)
+        yield _pairs(edges(held))
+
+    return met.mapInArrow(run, "a bigint, b bigint")
+
+
+def search_clusters(open_sets: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: links between components among sets that hang together by edges.
+
+    ``open_sets`` are ``(sig, n, component)``; ``edges`` are ``(a, b)``, which need not be
+    links, but every link is within what they hold together.
     Sets that can link are of one cluster and of the same or the next size class. A cluster's
     class is cut into blocks of bounded size, and every pair of blocks that can hold a link
     is searched by one task: a set travels once per block it may meet, not once per pair.
     """
-    clusters = connected_components(open_sets.select("a", F.col("sig").alias("b")))
+    clusters = connected_components(edges)
     base = float(np.log(100 / percent * 1.01))
-    cells = open_sets.select("sig", "n", "component").distinct()
-    cells = cells.join(clusters.withColumnRenamed("component", "cluster"), F.col("sig") == F.col("node"))
+    cells = open_sets.join(clusters.withColumnRenamed("component", "cluster"), F.col("sig") == F.col("node"))
     cells = cells.select(
         "sig", "component", "cluster", "n", F.floor(F.log("n") / base).cast("int").alias("size")
     )
@@ -323,74 +424,76 @@ def search_clusters(open_sets: DataFrame, sets: DataFrame, percent: int) -> Data
     worth = dealt.groupBy(*place).agg(F.min("component").alias("low"), F.max("component").alias("high"))
     dealt = dealt.join(worth.where("low < high").drop("low", "high"), place)
     task = F.xxhash64(*place).alias("task")
-    met = dealt.select(task, "sig", "component").hint("merge").join(sets, "sig").select("task", "sig", "component", "elements")
+    met = dealt.select(task, "sig", "component").hint("merge").join(sets, "sig")
+    met = met.select("task", "sig", "component", "elements", "mark")
     met = met.repartition("task").sortWithinPartitions("task")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in slices(stream):
             links = []
-            for task, sig, component, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for task, sig, component, raw, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if task != now:
                     links += block_links(held, percent)
                     now, held = task, []
-                held.append((sig, component, np.frombuffer(raw, np.uint64)))
+                held.append((sig, component, np.frombuffer(raw, np.uint64), own))
             yield _pairs(links)
         yield _pairs(block_links(held, percent))
 
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def block_links(held: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links between different components of a block, by DivideSkip over its inverted lists.
+def block_links(held: list[tuple[int, int, np.ndarray, bytes]], percent: int) -> list[tuple[int, int]]:
+    """Links between different components of a block: DivideSkip among the sets that marks leave.
 
+    A few of them are compared with the query, many are counted by the block's inverted lists.
     A found link joins its components, so that later queries skip what is joined already.
     """
     if len(held) < 2:
         return []
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while root.setdefault(c, c) != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    sizes = np.array([len(e) for _, _, e in held])
+    sigs, component, sets, marks = zip(*held)
+    sizes = np.array([len(e) for e in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    _, dense = np.unique(np.concatenate([e for _, _, e in held]), return_inverse=True)
-    order = np.argsort(dense, kind="stable")
-    owner = np.repeat(np.arange(len(held)), sizes)[order]
-    ends = np.searchsorted(dense[order], np.arange(dense.max() + 2))
+    root = np.array(component)
+    dense = None
     links = []
-    for q in range(len(held) - 1):
-        roots = np.array([find(c) for _, c, _ in held])
-        total = sizes[q] + sizes
-        needed = (percent * total + 99 + percent) // (100 + percent)
-        open_ = (roots != roots[q]) & (np.arange(len(held)) > q) & (needed <= np.minimum(sizes, sizes[q]))
-        if not open_.any():
-            continue
-        mine = dense[starts[q] : starts[q + 1]]
-        lengths = ends[mine + 1] - ends[mine]
-        least = int(needed[open_].min())
-        number = min(least - 1, int(least / (0.01 * np.log2(lengths.max() + 1) + 1)), len(mine))
-        divided = np.argsort(lengths, kind="stable")
-        short, long = mine[divided[: len(mine) - number]], np.sort(mine[divided[len(mine) - number :]])
-        merged = [owner[ends[e] : ends[e + 1]] for e in short]
-        counts = np.bincount(np.concatenate(merged or [np.zeros(0, np.int64)]), minlength=len(held))
-        for d in np.flatnonzero(open_ & (counts + number >= needed)):
-            if find(held[d][1]) == find(held[q][1]):
-                continue
-            theirs = dense[starts[d] : starts[d + 1]]
-            at = np.minimum(np.searchsorted(theirs, long), len(theirs) - 1)
-            if counts[d] + int((theirs[at] == long).sum()) >= needed[d]:
-                links.append((held[q][0], held[d][0]))
-                root[find(held[d][1])] = find(held[q][1])
+    for q, others in near_marks(sizes, np.array(component), list(marks), percent):
+        others = others[root[others] != root[q]]
+        needed = (percent * (sizes[q] + sizes) + 99 + percent) // (100 + percent)
+        if len(others) > FEW:
+            if dense is None:  # the block's inverted lists
+                _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+                order = np.argsort(dense, kind="stable")
+                owner = np.repeat(np.arange(len(held)), sizes)[order]
+                ends = np.searchsorted(dense[order], np.arange(dense.max() + 2))
+            mine = dense[starts[q] : starts[q + 1]]
+            lengths = ends[mine + 1] - ends[mine]
+            least = int(needed[others].min())
+            number = min(least - 1, int(least / (0.01 * np.log2(lengths.max() + 1) + 1)), len(mine))
+            divided = np.argsort(lengths, kind="stable")
+            short, long = mine[divided[: len(mine) - number]], np.sort(mine[divided[len(mine) - number :]])
+            merged = [owner[ends[e] : ends[e + 1]] for e in short]
+            counts = np.bincount(np.concatenate(merged or [np.zeros(0, np.int64)]), minlength=len(held))
+            others = others[counts[others] + number >= needed[others]]
+            for d in others:
+                if root[d] == root[q]:
+                    continue
+                theirs = dense[starts[d] : starts[d + 1]]
+                at = np.minimum(np.searchsorted(theirs, long), len(theirs) - 1)
+                if counts[d] + int((theirs[at] == long).sum()) >= needed[d]:
+                    links.append((sigs[q], sigs[d]))
+                    root[root == root[d]] = root[q]
+        elif len(others):
+            fine = overlaps(sets[q], [sets[d] for d in others], needed[others])
+            for d in others[fine]:
+                if root[d] != root[q]:
+                    links.append((sigs[q], sigs[d]))
+                    root[root == root[d]] = root[q]
     return links
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(sig, elements)``: the sorted sets of the wanted documents ``(sig, id, tid)``.
+    """``(sig, elements, mark)``: the sorted sets of the wanted documents ``(sig, id, tid)``.
 
     Only texts that can be wanted are moved, so ``wanted`` should be a written table.
     """
@@ -398,15 +501,17 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
         for batch in slices(stream):
-            made = [s.tobytes() for s in _sets(hasher, texts_of(batch.column(1)), width)]
+            made = [(s.tobytes(), mark(s)) for s in _sets(hasher, texts_of(batch.column(1)), width)]
+            sets, marks = zip(*made) if made else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made, pa.binary())], names=["sig", "elements"]
+                [batch.column(0), pa.array(sets, pa.binary()), pa.array(marks, pa.binary())],
+                names=["sig", "elements", "mark"],
             )
 
     near, _ = split_by_keys(docs, wanted.select("id", "tid"), ["id", "tid"])
     same = near["id"].eqNullSafe(wanted["id"]) & (near["tid"] == wanted["tid"])
     found = near.join(wanted.hint("merge"), same).select("sig", "text")
-    return found.mapInArrow(run, "sig bigint, elements binary")
+    return found.mapInArrow(run, "sig bigint, elements binary, mark binary")
 
 
 def jaccard_components(
@@ -478,11 +583,20 @@ def jaccard_members(
         "sig", "element", "n", F.coalesce("component", "sig").alias("component")
     )
     mixed = placed.groupBy("element").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("sig").alias("a")
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("length"),
+        F.min("sig").alias("first"),
+        F.max("sig").alias("last"),
+        F.bit_xor(F.xxhash64("sig")).alias("members"),
     )
-    open_lists = placed.join(mixed.where("low < high").select("element", "a"), "element")
-    open_sets = written(open_lists.select("a", "sig", "n", "component").distinct())
-    more = written(search_clusters(open_sets, sets, percent))
+    # of lists with the same sets one is enough
+    mixed = mixed.where("low < high").groupBy("length", "first", "last", "members").agg(F.min("element").alias("element"))
+    open_lists = placed.join(mixed.select("element", "length").hint("merge"), "element")
+    open_lists = written(open_lists.select("element", "length", "sig", "n", "component"))
+    edges = written(near_edges(open_lists, sets, percent))
+    open_sets = open_lists.select("sig", "n", "component").distinct()
+    more = written(search_clusters(open_sets, edges, sets, percent))
     groups = connected_components(links.union(more))
 
     named = nodes.join(groups, F.col("sig") == F.col("node"), "left")

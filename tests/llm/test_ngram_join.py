@@ -77,6 +77,50 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, seed):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_sets_that_share_passages_but_cannot_link_are_in_no_cluster(spark, monkeypatch):
+    rng = random.Random(3)
+    passages = [[f"p{i}w{rng.randrange(10**6)}" for _ in range(50)] for i in range(61)]
+    texts = [passages[i] + passages[i + 1] for i in range(60)]  # a chain by common passages
+    near = [texts[7][:-1] + ["other"], texts[7][:20] + ["new"] + texts[7][20:], texts[40][2:] + ["end"]]
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts + near)]
+    rng.shuffle(rows)
+    made = []
+
+    def components(edges, *columns):
+        found = whole(edges, *columns)
+        made.append(found.count())
+        return found
+
+    whole = ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", components)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 2, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.jaccard_components(docs.repartition(3)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    _, clusters, groups = made
+    assert groups == 5 and clusters <= groups
+
+
+@pytest.mark.parametrize("percent", [80, 30])
+def test_marks_differ_in_no_more_bits_than_sets_in_elements(percent):
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 2, 5, 15, 16, 17, 40, 70, 250, 260, 600):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for share in (0, 0.05, 0.1, 0.3, 0.8):
+            kept = base[rng.random(n) >= share]
+            other = rng.integers(0, 2**64, rng.integers(n - len(kept) + 1), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([kept, other])) if len(kept) + len(other) else base)
+    n = np.array([len(s) for s in sets])
+    component = np.arange(len(sets)) % 7
+    near = ngram_join.near_marks(n, component, [ngram_join.mark(s) for s in sets], percent)
+    pairs = {(min(q, d), max(q, d)) for q, others in near for d in others.tolist()}
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    linked = {k for k, v in both.items() if 100 * v >= percent * (n[k[0]] + n[k[1]] - v)}
+    linked = {(i, j) for i, j in linked if component[i] != component[j]}
+    assert len(linked) > 20 and linked <= pairs and len(pairs) < len(both) / 5
+
+
 def test_query_on_given_table(spark):
     from chunkwell.llm.queries import REGISTRY
 
