@@ -242,7 +242,8 @@ def read_collection(spark: SparkSession, root: str, collection_name: str) -> Dat
     path = root
     if PLAIN_NAME.fullmatch(collection_name):
         path = f"{root}/collection_name={collection_name}"
-    return _read_finished(spark, root, path).where(F.col("collection_name") == collection_name)
+    named = _read(spark, root, path).where(F.col("collection_name") == collection_name)
+    return named.where(F.col("write_id").isin(finished_writes(spark, root)))
 
 
 def list_collections(spark: SparkSession, root: str) -> DataFrame:
